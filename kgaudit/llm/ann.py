@@ -14,8 +14,8 @@ Inner products needn't be of unit vectors: vectors are indexed with one more coo
 so that the largest inner product is the least distance.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, neither as query nor as candidate. Equal vectors tie; ties go to the smaller id. Rows that repeat an id are
-candidates each, but not for a query of the same id. Null ids take no part. Fewer than k candidates give fewer rows. An
+part, neither as query nor as candidate. Equal vectors tie; ties go to the smaller id. Of rows that
+repeat an id the one with the least vector counts. Null ids take no part. Fewer than k candidates give fewer rows. An
 empty table gives no rows. Extra columns are ignored.
 """
 
@@ -153,7 +153,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null").filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size("v") == (common[0]["n"] if common else 0))
+    return rows.filter(F.size("v") == (common[0]["n"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def index(rows: DataFrame, tree, shard_rows: int) -> DataFrame:
@@ -281,6 +281,3 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, recall: float
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
     merged = best.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
     return merged.select("query_id", F.posexplode("p").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
-
-
-ORACLE_NOTE = "No SQL: the search is approximate; tests measure its recall against brute force."
