@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import ann, bpe, mixing, pii, secrets, toxicity, warc
+from kgaudit.llm import ann, bpe, fingerprints, mixing, pii, secrets, toxicity, warc
 from kgaudit.session import table
 
 
@@ -31,6 +31,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op3_warc": op3_warc, "op7_ann": op7_ann, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+    return {"op1_pii": op1_pii, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op3_warc": op3_warc, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
