@@ -5,7 +5,7 @@ go into a sketch of 48 cells, three cells each (one in each third): a cell holds
 and the xor of their check hashes. Two sketches subtract cell by cell, which leaves the digests that only one of the
 texts has. Peeling finds a cell with one digest, takes the digest out of its three cells, and goes on until all cells
 are empty. If cells are left, the difference was too large, and the pair is sketched anew with more cells: digests are
-dealt to groups of 48 cells, a group for every 12 of them, then for every 3. A difference that even this leaves open
+dealt to groups of cells, 24 for every 6 of them, then 48 for every 3. A difference that even this leaves open
 is taken from the digests themselves, so likeness is always exact: 1 - differing / all digests of both.
 
 The next document of each is found without a global sort in one task: ids are cut into ranges by approximate
@@ -37,47 +37,56 @@ def digests(text: str) -> str:
 
 
 def _place(j: int, d: str) -> str:
-    third = CELLS // 3
-    return f"({j * third} + pmod(xxhash64({d}, {j + 1}), {third}))"
+    """SQL: the hash that gives a digest its cell in third j."""
+    return f"(xxhash64({d}, {j + 1}) & 16777215)"
 
 
 def entries(digest_array: str) -> str:
-    """SQL: digest, check hash and the three cells of each digest."""
-    places = ", ".join(f"'p{j}', {_place(j, 'd')}" for j in range(3))
-    return f"transform({digest_array}, d -> named_struct('d', d, 'h', xxhash64(d, 11), 'g', xxhash64(d, 12), {places}))"
+    """SQL: sign, digest, check hash, group hash and the three places of each digest."""
+    return f"transform({digest_array}, d -> named_struct('n', 1, 'd', d, 'h', xxhash64(d, 11), 'g', xxhash64(d, 12) & 16777215, {_places('d')}))"
 
 
-def sketch(entry_array: str) -> str:
-    """SQL: the cells."""
-    add = "named_struct('n', s.n + 1, 'k', s.k ^ e.d, 'h', s.h ^ e.h)"
-    return f"transform(sequence(0, {CELLS - 1}), c -> aggregate(filter({entry_array}, e -> e.p0 = c OR e.p1 = c OR e.p2 = c), {_EMPTY}, (s, e) -> {add}))"
+def _places(d: str) -> str:
+    return ", ".join(f"'p{j}', {_place(j, d)}" for j in range(3))
+
+
+def sketch(entry_array: str, third: int = CELLS // 3) -> str:
+    """SQL: the cells, `third` of them for each place; an entry counts as its sign says. The array is bound first, lest
+    it be made anew for each cell."""
+    add = "named_struct('n', s.n + e.n, 'k', s.k ^ e.d, 'h', s.h ^ e.h)"
+    one = "transform(sequence(0, {m}), c -> aggregate(filter(v, e -> e.p{j} % {t} = c), {z}, (s, e) -> {add}))"
+    thirds = ", ".join(one.format(m=third - 1, j=j, t=third, z=_EMPTY, add=add) for j in range(3))
+    return f"transform(array({entry_array}), v -> concat({thirds}))[0]"
 
 
 def subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peel(cells: str) -> str:
+def peel(cells: str, third: int = CELLS // 3) -> str:
     """SQL: how many digests the difference holds; null if cells are left."""
-    pure = "array_distinct(transform(filter(s.c, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k, 11)), x -> named_struct('n', x.n, 'd', x.k, 'h', x.h, " + ", ".join(f"'p{j}', {_place(j, 'x.k')}" for j in range(3)) + ")))"
+    places = ", ".join(f"'p{j}', {j * third} + {_place(j, 'x.k')} % {third}" for j in range(3))
+    pure = f"array_distinct(transform(filter(s.c, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k, 11)), x -> named_struct('n', x.n, 'd', x.k, 'h', x.h, {places})))"
     out = "named_struct('n', y.n - e.n, 'k', y.k ^ e.d, 'h', y.h ^ e.h)"
-    step = f"named_struct('c', transform(s.c, (x, i) -> aggregate(filter(u, e -> e.p0 = i OR e.p1 = i OR e.p2 = i), x, (y, e) -> {out})), 'm', s.m + size(u))"
+    step = f"named_struct('c', transform(s.c, (x, i) -> aggregate(filter(u, e -> e.p0 = i OR e.p1 = i OR e.p2 = i), x, (y, e) -> {out})), 'm', s.m + size(u), 'stop', false)"
+    one = f"transform(array({pure}), u -> if(size(u) = 0, named_struct('c', s.c, 'm', s.m, 'stop', true), {step}))[0]"
     left = "exists(z.c, x -> x.n <> 0 OR x.k <> 0 OR x.h <> 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'm', 0), (s, r) -> transform(array({pure}), u -> if(size(u) = 0, s, {step}))[0], z -> if({left}, CAST(NULL AS INT), z.m))"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'm', 0, 'stop', false), (s, r) -> if(s.stop, s, {one}), z -> if({left}, CAST(NULL AS INT), z.m))"
 
 
-def _grouped(a: str, b: str, per: int) -> str:
+def _grouped(a: str, b: str, per: int, third: int) -> str:
     """SQL: the size of the difference by groups of cells, one for every `per` digests; null if a group has cells
-    left."""
-    own = "filter({0}, e -> pmod(e.g, t) = g)"
-    one = peel(subtract(sketch(own.format(a)), sketch(own.format(b))))
-    return f"transform(array(CAST(greatest(1, ceil((size({a}) + size({b})) / {per})) AS INT)), t -> aggregate(transform(sequence(0, t - 1), g -> {one}), 0, (q, x) -> q + x))[0]"
+    left. The second text's digests go in with a minus, which is the same as subtracting its sketch."""
+    minus = f"transform({b}, e -> named_struct('n', -1, 'd', e.d, 'h', e.h, 'g', e.g, 'p0', e.p0, 'p1', e.p1, 'p2', e.p2))"
+    one = peel(sketch("filter(w, e -> e.g % t = g)", third), third)
+    groups = f"CAST(greatest(1, ceil(size(w) / {per})) AS INT)"
+    return f"transform(array(concat({a}, {minus})), w -> transform(array({groups}), t -> aggregate(transform(sequence(0, t - 1), g -> {one}), 0, (q, x) -> q + x))[0])[0]"
 
 
 def differing(a: str, b: str, cells_a: str, cells_b: str) -> Column:
     """How many digests only one of two texts has, given their entries and sketches."""
     plain = f"size(array_except(transform({a}, x -> x.d), transform({b}, x -> x.d))) + size(array_except(transform({b}, x -> x.d), transform({a}, x -> x.d)))"
-    tries = [peel(subtract(cells_a, cells_b)), _grouped(a, b, 12), _grouped(a, b, 3), plain]
+    tries = [peel(subtract(cells_a, cells_b)), _grouped(a, b, 6, 8), _grouped(a, b, 3, 16), plain]
     return F.expr(f"coalesce({', '.join(tries)})")
 
 

@@ -76,9 +76,11 @@ def _served(k: int) -> Column:
 
 
 def taken(docs: DataFrame, epochs: int = 3, **kw) -> DataFrame:
-    """doc_id, size, source_size, target and taken: the words that the mix takes, repeats counted."""
+    """doc_id, size, source_size, target, taken: the words that the mix takes, repeats counted; and the virtual finish
+    time of the first copy, by which the rows are range-sorted."""
     total = sum((_served(k) for k in range(1, epochs)), _served(0))
-    return queue(docs, epochs=epochs, **kw).select("doc_id", "size", "source_size", "target", total.alias("taken"))
+    finish = F.try_divide(F.col("before") + F.col("size"), F.col("target"))
+    return queue(docs, epochs=epochs, **kw).select("doc_id", "size", "source_size", "target", total.alias("taken"), finish.alias("finish")).orderBy(F.col("finish").asc_nulls_last(), "doc_id")
 
 
 def copies(docs: DataFrame, epochs: int = 3, **kw) -> DataFrame:
