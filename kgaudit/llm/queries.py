@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import ann, bpe, fingerprints, mixing, pii, secrets, toxicity, warc
+from kgaudit.llm import ann, bpe, fingerprints, mixing, ngram_join, pii, secrets, toxicity, warc
 from kgaudit.session import table
 
 
@@ -15,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op3_warc": op3_warc, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+    return {"op1_pii": op1_pii, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op2_ngram_join": op2_ngram_join, "op3_warc": op3_warc, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
