@@ -96,3 +96,17 @@ ORACLE_TARGETS = """
 sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM sized GROUP BY source)
 """
+
+
+def mixed(docs: DataFrame, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents of the mix, whole and with all their columns, as often as they are taken: a copy that is served in
+    part is in if that is half of it or more. Documents without words aren't in the mix."""
+    q = queue(docs, epochs=epochs, id_col=id_col, text_col=text_col, **kw)
+    times = sum(((_served(k) * 2 >= F.col("size")).cast("int") for k in range(1, epochs)), (_served(0) * 2 >= F.col("size")).cast("int"))
+    alike = Window.partitionBy("__id", "__tie")
+    q = q.filter("size > 0").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), times.alias("__times"), "before")
+    q = q.withColumn("__row", F.row_number().over(alike.orderBy("before"))).filter("__times > 0").select("__id", "__tie", "__row", "__times")
+    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tie": F.xxhash64(F.col(text_col).cast("string"))})
+    rows = rows.withColumn("__row", F.row_number().over(alike.orderBy(F.lit(0))))
+    both = rows.alias("d").join(q.alias("q"), F.col("d.__id").eqNullSafe(F.col("q.__id")) & (F.col("d.__tie") == F.col("q.__tie")) & (F.col("d.__row") == F.col("q.__row")))
+    return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("q.__times"))).alias("__copy")).drop("__copy")

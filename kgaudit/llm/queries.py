@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import ann, bpe, fingerprints, mixing, ngram_join, pii, secrets, toxicity, warc
+from kgaudit.llm import ann, bpe, fingerprints, line_dedup, mixing, ngram_join, pii, secrets, toxicity, warc
 from kgaudit.session import table
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op2_ngram_join": op2_ngram_join, "op3_warc": op3_warc, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+    return {"op1_pii": op1_pii, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op2_ngram_join": op2_ngram_join, "op3_warc": op3_warc, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -160,3 +160,17 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
+    """The documents that the model doesn't reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32), model.vectors.astype(np.float32), model.bits))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = FactorizationMachine(*shared.value)
+        cache = _Terms(m.bits, m.weights != 0)
+        for b in batches:
+            yield b.filter(pa.array([m.score(terms(t.as_py(), cache)) < 0.5 for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
