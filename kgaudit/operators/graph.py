@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgaudit.session import materialize
@@ -39,3 +39,100 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.select("node", "label")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, degree, neighbour (the least one): a loop counts twice, as is usual. Nodes without edges have 0."""
+    e = canonical(edges)
+    ends = e.select(F.col("src").alias("n"), F.col("dst").alias("m")).union(e.select(F.col("dst").alias("n"), F.col("src").alias("m")))
+    per = ends.groupBy("n").agg(F.count("*").alias("degree"), F.min("m").alias("neighbour"))
+    return nodes.select("node_id").join(per, F.col("node_id") == F.col("n"), "left").select("node_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "neighbour")
+
+
+def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return degrees(nodes, edges).filter("degree = 0").select("node_id")
+
+
+def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return degrees(nodes, edges).filter("degree = 1").select("node_id", "neighbour")
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 30) -> DataFrame:
+    """source, node, hops: breadth-first distances from each source, level by level. Each level is a written table and
+    meets the graph in one join; nodes seen before are taken out by an anti join."""
+    pairs = materialize(both_ways(edges.filter("src <> dst")), "edges")
+    level = materialize(sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("hops", F.lit(0)), "bfs")
+    seen = level
+    for hop in range(1, max_hops + 1):
+        new = level.join(pairs, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
+        level = materialize(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "bfs")
+        if level.limit(1).count() == 0:
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
+def two_hops(links: DataFrame) -> DataFrame:
+    """grandparent, parent, child of each pair of links that meet; doubles stay."""
+    a, b = links.alias("a"), links.alias("b")
+    return a.join(b, F.col("a.child_id") == F.col("b.parent_id")).select(F.col("a.parent_id").alias("grandparent_id"), F.col("a.child_id").alias("parent_id"), F.col("b.child_id").alias("child_id"))
+
+
+_PACKED = ("description", "keywords", "source_id", "file_path")
+
+
+def _merged(column: str) -> Column:
+    """Parts of packed lists of a group, in the order of `ord`, each once."""
+    from kgaudit.functions.text import SEP, unpack
+
+    sorted_rows = F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), unpack(column).alias("p"))))
+    return F.array_join(F.array_distinct(F.flatten(F.transform(sorted_rows, lambda x: x["p"]))), SEP)
+
+
+def merge_edges(edges: DataFrame) -> DataFrame:
+    """Parallel edges made one: weights (1 if missing) add up, packed lists join. Loops are dropped. Needs `ord`."""
+    packed = [c for c in _PACKED if c in edges.columns]
+    e = edges.filter("src <> dst").withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
+    return e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"), *[_merged(c).alias(c) for c in packed])
+
+
+def merge_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes of one id made one: packed lists join, the first type that isn't empty stays. Needs `ord`."""
+    packed = [c for c in _PACKED if c in nodes.columns]
+    kind = F.min(F.when(F.coalesce("entity_type", F.lit("")) != "", F.struct("ord", "entity_type")))["entity_type"]
+    return nodes.groupBy("node_id").agg(kind.alias("entity_type"), *[_merged(c).alias(c) for c in packed])
+
+
+def merge_aliases(nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges with alias nodes renamed to their canonical name (norm, canonical), and the renames made."""
+    from kgaudit.functions.text import normalize
+
+    rename = nodes.select("node_id", normalize("node_id").alias("norm")).join(aliases.select("norm", "canonical"), "norm").filter("node_id <> canonical").select(F.col("node_id").alias("old"), "canonical")
+    to = lambda df, c: df.join(rename, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("canonical", c)).drop("old", "canonical")
+    return merge_nodes(to(nodes, "node_id")), merge_edges(to(to(edges, "src"), "dst")), rename
+
+
+def split_nodes(nodes: DataFrame, edges: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Homonym nodes split into targets. specs: norm, target, target_ord, keywords. An edge goes to the target of which
+    most keywords occur in its text; of equals, and if none occurs, to the first. Targets of one node are tied by an
+    edge `incident` of weight 1."""
+    from kgaudit.functions.text import normalize
+
+    homonyms = nodes.withColumn("norm", normalize("node_id")).join(specs.select("norm").distinct(), "norm", "left_semi")
+    goals = homonyms.select("node_id", "norm").join(specs, "norm")
+    new_nodes = nodes.join(homonyms.select("node_id"), "node_id", "left_anti").unionByName(nodes.join(goals.select("node_id", "target"), "node_id").withColumn("node_id", F.col("target")).drop("target"))
+
+    def redirect(e: DataFrame, end: str) -> DataFrame:
+        text = F.concat_ws(" ", *[F.col(c) for c in _PACKED if c in e.columns], "src", "dst")
+        hit = e.withColumn("__e", F.monotonically_increasing_id()).withColumn("__text", normalize(text))
+        near = hit.join(goals, F.col(end) == F.col("node_id"))
+        score = F.size(F.filter(F.transform("keywords", lambda k: normalize(k)), lambda k: F.contains(F.col("__text"), k)))
+        best = Window.partitionBy("__e").orderBy(F.desc("__score"), "target_ord")
+        moved = near.withColumn("__score", score).withColumn("__at", F.row_number().over(best)).filter("__at = 1").withColumn(end, F.col("target"))
+        rest = hit.join(goals.select("node_id").distinct(), F.col(end) == F.col("node_id"), "left_anti")
+        return rest.select(e.columns).unionByName(moved.select(e.columns))
+
+    moved = redirect(materialize(redirect(edges, "src"), "split-edges"), "dst")
+    a, b = goals.alias("a"), goals.alias("b")
+    tied = a.join(b, (F.col("a.node_id") == F.col("b.node_id")) & (F.col("a.target_ord") < F.col("b.target_ord"))).select(F.col("a.target").alias("src"), F.col("b.target").alias("dst"), F.lit(1.0).alias("weight"), F.lit("incident").alias("keywords"))
+    return new_nodes, merge_edges(moved.unionByName(tied.withColumn("ord", F.lit(1 << 40)), allowMissingColumns=True))
