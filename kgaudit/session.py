@@ -51,3 +51,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps: its cleaner removes them once their plans are garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
