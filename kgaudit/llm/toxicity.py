@@ -128,7 +128,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int = 18, **kw) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, bits: int = 18, **kw) -> FactorizationMachine:
     """The model, from at most max_rows labelled rows that are not held out."""
     gold = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     gold = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -137,14 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Terms(cache_bits)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t.as_py(), cache) for t in b.column(2)], pa.list_(pa.int64()))], names=["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t.as_py(), cache).astype(np.int32) for t in b.column(2)], pa.list_(pa.int32()))], names=["doc_id", "toxic", "x"])
 
     # the labelled rows are few by their bound, so their ids may be broadcast
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(gold), "doc_id")
-    found = some.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, x array<long>").toArrow()
+    found = some.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, x array<int>").toArrow()
     found = found.sort_by("doc_id")
-    rows = [np.array(x, np.int64) for x in found.column("x").to_pylist()]
-    return fit(rows, np.array(found.column("toxic").to_pylist(), float), bits, **kw)
+    rows = [x.values.to_numpy() for x in found.column("x")]  # views of one flat array
+    return fit(rows, found.column("toxic").to_numpy().astype(float), bits, **kw)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
