@@ -103,7 +103,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def read_corpus(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """path, file, text of the .md files of a folder; files that can't be read are passed over."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder)
+    df = spark.read.option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     return df.orderBy("path").limit(limit) if limit is not None else df
 
@@ -127,12 +127,12 @@ def write_corpus(docs: DataFrame, folder: str) -> None:
 
 def read_statuses(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, status of a status store: one JSON object of objects."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string, struct<status: string>>")).alias("doc_id", "s")).select("doc_id", F.col("s.status").alias("status"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string, string>")).alias("path", "sha"))
 
 
