@@ -136,3 +136,17 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, specs: DataFrame) -> tuple[D
     a, b = goals.alias("a"), goals.alias("b")
     tied = a.join(b, (F.col("a.node_id") == F.col("b.node_id")) & (F.col("a.target_ord") < F.col("b.target_ord"))).select(F.col("a.target").alias("src"), F.col("b.target").alias("dst"), F.lit(1.0).alias("weight"), F.lit("incident").alias("keywords"))
     return new_nodes, merge_edges(moved.unionByName(tied.withColumn("ord", F.lit(1 << 40)), allowMissingColumns=True))
+
+
+def disambiguate(nodes: DataFrame, edges: DataFrame, specs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Homonyms split, then aliases merged: nodes, edges, one row of totals. Names that the split made are no aliases
+    of what was split, so the merge can't undo it."""
+    from kgaudit.functions.text import normalize
+
+    made = specs.select(normalize("target").alias("norm")).union(specs.select("norm")).distinct()
+    split, between = split_nodes(nodes, edges, specs)
+    between = between.withColumn("ord", F.monotonically_increasing_id())
+    out_nodes, out_edges, renames = merge_aliases(split, between, aliases.join(made, "norm", "left_anti"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    totals = count(specs.select("norm").distinct(), "homonyms").crossJoin(count(renames, "renamed")).crossJoin(count(out_nodes, "nodes")).crossJoin(count(out_edges, "edges"))  # a row each
+    return out_nodes, out_edges, totals
