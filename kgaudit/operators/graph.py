@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgaudit.session import materialize
+from kgaudit.session import discard, materialize
 
 
 def canonical(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,16 +28,18 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     # the first labels need no join: the least neighbour, or the node itself
     least = pairs.groupBy(F.col("src").alias("n")).agg(F.min("dst").alias("m"))
     labels = ends.distinct().join(least, F.col("node") == F.col("n"), "left").select("node", F.least("node", "m").alias("label"))
-    labels = materialize(labels, "labels")
+    labels = table = materialize(labels, "labels")
     for _ in range(max_rounds):
         seen = pairs.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("n")).agg(F.min("label").alias("m"))
         new = labels.join(seen, F.col("node") == F.col("n"), "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
         new = new.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", "up_label").alias("label"))
-        labels = materialize(new, "labels")
-        if labels.filter("label <> old").limit(1).count() == 0:
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        old, table = table, materialize(new, "labels")
+        discard(old)
+        if table.filter("label <> old").limit(1).count() == 0:
+            discard(pairs)
+            return table.select("node", F.col("label").alias("component"))
+        labels = table.select("node", "label")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
