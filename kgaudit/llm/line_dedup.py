@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join; of two that match, the later one goes.
 
-A line is the set of its words (runs of letters, digits and underscore, lower case). Two lines match if their Jaccard
+A line is the set of its words (cut at white space, in lower case). Two lines match if their Jaccard
 similarity is at least the threshold. A line is removed if any earlier line of the corpus matches it, removed itself or
 not; earlier means a smaller document id, then a smaller place in the document. Lines of fewer than `least_words`
 distinct words stay: they say too little to be a copy of something.
@@ -8,11 +8,12 @@ distinct words stay: they say too little to be a copy of something.
 1. Words are counted over the whole corpus in a table of fixed size. Rarity and hash together order all words.
 2. Each line gives postings for its prefix: the n - ceil(t n) + 1 rarest words. Lines that match share one of them.
    Postings travel as packed blocks, dealt by word. Lines alike in one batch send one posting.
-3. Where the postings of a word meet, equal sets are settled at once. For the others the length filter and the
-   positional filter leave candidates; of each line the KEPT earliest go on, and a sign if there were more.
-4. Candidates are verified on the lines' full sets: first each line's earliest candidate, then, for those that failed,
-   the others. Lines that failed throughout and had more candidates go through steps 2 to 4 again, now with all of
-   their candidates. So the result is exact, and a group of many near copies isn't spelt out in pairs.
+3. Where the postings of a word meet, equal sets are settled at once. For the others the length filter, the
+   positional filter and a bound on the words that differ (by the parities of 64 hash bits) leave candidates; the
+   earliest goes on, and a sign if there are more.
+4. The earliest candidate of each line is verified on the lines' full sets. Lines for which it failed and that have
+   more candidates go through steps 2 to 4 again, now with all of them. So the result is exact, and a group of many near
+   copies isn't spelt out in pairs.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; a text whose lines all go becomes
 empty. A null id comes after all others. Rows of one id are ordered by a hash of their texts; rows alike in both lose
@@ -30,37 +31,59 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgaudit.llm.shingles import WordHashes, bitmap, hits, mix, words
-from kgaudit.session import materialize, width
+from kgaudit.llm.shingles import bitmap, hits, mix
+from kgaudit.session import materialize, release, width
 
 CELLS = 1 << 21
-KEPT = 8
 _CHUNK = 1 << 16
 _TOP = (1 << 20) - 1
 _LAST = (1 << 63) - 1
-_POSTING = np.dtype([("word", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("set", "<u8"), ("n", "<u4"), ("i", "<u4")])
+_POSTING = np.dtype([("word", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("odd", "<u8"), ("set", "<u4"), ("n", "<u4"), ("i", "<u4")])
 _LINE = np.dtype([("doc", "<i8"), ("pos", "<i8")])
 
 
-def _hashed(texts: pa.Array, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a batch of texts, the line of each, and each line's text and number."""
-    parts, sizes, owner, number = [], [], [], []
-    for d, t in enumerate(texts):
-        text = t.as_py()
-        if not text:
-            continue
-        for k, line in enumerate(text.split("\n")):
-            w = words(line)
-            if w:
-                parts += w
-                sizes.append(len(w))
-                owner.append(d)
-                number.append(k)
-    h = np.fromiter(map(cache.__getitem__, parts), np.uint64, len(parts))
-    return h, np.repeat(np.arange(len(sizes)), sizes), np.array(owner, np.int64), np.array(number, np.int64)
-
-
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo two to the 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        inverse = pow(_BASE, -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, inverse)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a batch of texts, the line of each, and each line's text and number; lines without words are left
+    out. Words are found and hashed on the bytes of all texts at once: a word's hash is a difference of running sums of
+    bytes times powers, moved back to the start."""
+    low = [(t.as_py() or "").lower() for t in texts]
+    data = "\0".join(low).encode()
+    raw = np.frombuffer(data + b"\0", np.uint8)
+    gap = raw <= 32
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
+    up, down = _powers(len(raw))
+    sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    h = mix(mix((sums[ends - 1] - before) * down[starts]) + (ends - starts).astype(np.uint64))
+    text_at, line_at = np.flatnonzero(raw == 0), np.flatnonzero((raw == 0) | (raw == 10))
+    text = np.searchsorted(text_at, starts)
+    line = np.searchsorted(line_at, starts)  # lines of all texts, numbered on
+    first_line = np.r_[0, np.searchsorted(line_at, text_at)[:-1] + 1]
+    used, at = np.unique(line, return_inverse=True) if len(line) else (line, line)
+    owner = text[np.searchsorted(line, used)] if len(line) else text
+    return h, at, owner, used - first_line[owner] if len(used) else used
+
+
+def _words(line: str) -> set[str]:
+    """The words of one line, as _hashed cuts them: at bytes up to the space."""
+    return set("".join(" " if c <= " " else c for c in line.lower()).split(" ")) - {""}
+
+
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes of text, so that arrays stay small whatever the batch."""
     size = np.array([len(x.as_py() or "") for x in batch.column(batch.num_columns - 1)], np.int64)
     part = np.cumsum(size) // most
@@ -76,11 +99,12 @@ def word_counts(rows: DataFrame) -> Broadcast:
     spark = rows.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cache = np.zeros(CELLS, np.uint32), WordHashes()
+        total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for b in _slices(batch):
-                h, *_ = _hashed(b.column(b.num_columns - 1), cache)
-                total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                h, *_ = _hashed(b.column(b.num_columns - 1))
+                cells, times = np.unique((h & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
+                total[cells] += times.astype(np.uint32)
         pack = zstandard.ZstdCompressor(1)
         at = [k for k in range(CELLS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pack.compress(total[k * _CHUNK : (k + 1) * _CHUNK].tobytes()) for k in at], pa.binary())], names=["chunk", "counts"])
@@ -104,35 +128,49 @@ def _line_ids(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.uint64)) + pos.astype(np.uint64)).astype(np.int64)
 
 
-def _sets(b: pa.RecordBatch, counts: np.ndarray, cache: WordHashes, least_words: int):
+def _sets(b: pa.RecordBatch, counts: np.ndarray, least_words: int):
     """For the lines of a batch (doc, tie, text) that take part: word order numbers sorted within each line, the line
-    of each, and the lines' doc, pos, size and set hash."""
-    h, line, owner, number = _hashed(b.column(2), cache)
+    of each, and the lines' doc, pos, size, set hash, and parities: bit b tells whether an odd number of its words hash
+    to b."""
+    h, line, owner, number = _hashed(b.column(2))
     rarity = counts[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     word = (rarity << np.uint64(44)) | (h >> np.uint64(20))
-    order = np.lexsort((word, line))
+    order = np.argsort(word)
+    by_line = line[order]
+    order = order[np.argsort(by_line.astype(np.uint16) if len(owner) < 1 << 16 else by_line, kind="stable")]
     word, line = word[order], line[order]
     first = np.r_[True, (word[1:] != word[:-1]) | (line[1:] != line[:-1])] if len(word) else np.zeros(0, bool)
     word, line = word[first], line[first]
     n = np.bincount(line, minlength=len(owner))
     doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
     pos = ((tie[owner] & 0x7FFFFFFF) << 32) | number if len(owner) else np.zeros(0, np.int64)
-    keys = np.zeros(len(owner), np.uint64)
+    keys, odd = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64)
     if len(word):
         starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-        keys[line[starts]] = np.add.reduceat(mix(word), starts)
+        mixed = mix(word)
+        keys[line[starts]] = np.add.reduceat(mixed, starts)
+        odd[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
     good = n >= least_words
-    return word, line, (doc[owner] if len(owner) else doc[:0]), pos, n, keys, good
+    return word, line, (doc[owner] if len(owner) else doc[:0]), pos, n, keys, odd, good
+
+
+def _pack(x: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
+    """A table of records, first bytes first: planes of bytes that hardly differ shrink to nothing."""
+    return packer.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _unpack(data: bytes, kind: np.dtype, unpacker: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpacker.decompress(data), np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words: int, parts: int, only: Broadcast | None = None) -> DataFrame:
     """part, kind, packed: postings (kind 0) by word, and lines that repeat an earlier one of their batch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        packer = zstandard.ZstdCompressor(1)
         for batch in batches:
-            for b in _slices(batch):
-                word, line, doc, pos, n, keys, good = _sets(b, counts.value, cache, least_words)
+            for b in _slices(batch, 8 << 20):
+                word, line, doc, pos, n, keys, odd, good = _sets(b, counts.value, least_words)
                 order = np.lexsort((pos, doc, n, keys))
                 again = np.zeros(len(doc), bool)
                 if len(order):
@@ -148,27 +186,28 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words:
                     own &= hits(only.value, word.astype(np.int64))
                 p = np.empty(int(own.sum()), _POSTING)
                 at = line[own]
-                p["word"], p["i"], p["doc"], p["pos"], p["set"], p["n"] = word[own], i[own], doc[at], pos[at], keys[at], n[at]
+                p["word"], p["i"], p["doc"], p["pos"], p["set"], p["odd"], p["n"] = word[own], i[own], doc[at], pos[at], (keys[at] >> np.uint64(32)).astype(np.uint32), odd[at], n[at]
                 to = (mix(p["word"]) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 p, to = p[by], to[by]
                 cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-                blocks = [x.tobytes() for x in np.split(p, cuts[1:])] if len(to) else []
+                blocks = [_pack(x, packer) for x in np.split(p, cuts[1:])] if len(to) else []
                 ids, kinds = [int(to[c]) for c in cuts], [0] * len(blocks)
                 if again.any() and only is None:
                     gone = np.empty(int(again.sum()), _LINE)
                     gone["doc"], gone["pos"] = doc[again], pos[again]
-                    ids.append(int(gone["pos"][0] % parts)), kinds.append(1), blocks.append(gone.tobytes())
+                    ids.append(int(gone["pos"][0] % parts)), kinds.append(1), blocks.append(_pack(gone, packer))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "kind", "packed"])
 
     return rows.select("doc", "tie", "text").mapInArrow(run, "part int, kind int, packed binary")
 
 
-def _candidates(p: np.ndarray, threshold: float, kept: int | None, wanted: np.ndarray | None):
-    """Of postings: lines that equal an earlier one (by their rarest word), and (later, earlier) candidate rows, the
-    later ones of which had more."""
-    p = p[np.lexsort((p["pos"], p["doc"], p["n"], p["set"], p["word"]))]
-    same = np.r_[False, (p["word"][1:] == p["word"][:-1]) & (p["set"][1:] == p["set"][:-1]) & (p["n"][1:] == p["n"][:-1])] if len(p) else np.zeros(0, bool)
+def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None):
+    """Of postings: those of lines that equal an earlier one (by their rarest word); and places of candidate pairs,
+    later and earlier, with a sign. Without `wanted`: the earliest candidate of each line and word, and whether there
+    is a second. With it: all candidates of these lines."""
+    p = p[np.lexsort((p["pos"], p["doc"], p["n"], p["set"], p["odd"], p["word"]))]
+    same = np.r_[False, np.logical_and.reduce([p[k][1:] == p[k][:-1] for k in ("word", "odd", "set", "n")])] if len(p) else np.zeros(0, bool)
     equal = p[same & (p["i"] == 0)]
     p = p[~same]
     p = p[np.lexsort((p["pos"], p["doc"], p["word"]))]
@@ -177,76 +216,72 @@ def _candidates(p: np.ndarray, threshold: float, kept: int | None, wanted: np.nd
     if wanted is not None:
         later = later[hits(wanted, _line_ids(p["doc"][later], p["pos"][later]))]
     n, rest = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["i"]
-    need = threshold / (1 + threshold)
-    found, many, have, c = [], [], np.zeros(len(p), np.int64), 0
+    need, differ, odd = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), p["odd"]
+    found, first, more, c = [], np.full(len(p), -1), np.zeros(len(p), bool), 0
     while len(later):
         x = start[later] + c
         later, x = later[x < later], x[x < later]
-        if not len(later):
-            break
         ny, nx = n[later], n[x]
         ok = (np.minimum(ny, nx) >= threshold * np.maximum(ny, nx) - 1e-9) & (np.minimum(rest[later], rest[x]) >= need * (ny + nx) - 1e-9)
-        have[later[ok]] += 1
-        if kept is not None:
-            over = ok & (have[later] > kept)
-            many.append(later[over])
-            ok &= ~over
+        ok &= np.bitwise_count(odd[later] ^ odd[x]) <= differ * (ny + nx) + 1e-9
+        if wanted is not None:
             found.append((later[ok], x[ok]))
-            later = later[~over]
         else:
-            found.append((later[ok], x[ok]))
+            again = ok & (first[later] >= 0)
+            more[later[again]] = True
+            new = ok & ~again
+            first[later[new]] = x[new]
+            later = later[~again]
         c += 1
+    if wanted is None:
+        y = np.flatnonzero(first >= 0)
+        return p, equal, y, first[y], more[y]
     y = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
-    x = np.concatenate([a for _, a in found]) if found else np.zeros(0, np.int64)
-    return p, equal, y, x, (np.concatenate(many) if many else np.zeros(0, np.int64))
+    x = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
+    return p, equal, y, x, np.zeros(len(y), bool)
 
 
-_MEET = "kind int, doc long, pos long, other_doc long, other_pos long, word long"
+_MEET = "kind int, doc long, pos long, other_doc long, other_pos long, word long, more boolean"
 
 
-def meet(dealt: DataFrame, threshold: float, kept: int | None = KEPT, wanted: Broadcast | None = None) -> DataFrame:
-    """kind 1: a line that equals an earlier one; 2: a candidate pair (line, earlier line); 3: a line that had more
-    candidates for this word."""
+def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None) -> DataFrame:
+    """kind 1: a line that equals an earlier one; 2: a candidate pair (line, earlier line), the word they met at, and
+    whether the line has more candidates for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: dict[int, list[bytes]] = {}
+        unpacker = zstandard.ZstdDecompressor()
+        names = ["kind", "doc", "pos", "other_doc", "other_pos", "word", "more"]
 
-        def rows(kind: int, line: np.ndarray, other: np.ndarray | None = None, word: np.ndarray | None = None) -> pa.RecordBatch:
-            null = pa.nulls(len(line), pa.int64())
-            cols = [pa.array(np.full(len(line), kind, np.int32)), pa.array(line["doc"]), pa.array(line["pos"]), null if other is None else pa.array(other["doc"]), null if other is None else pa.array(other["pos"]), null if word is None else pa.array(word.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(cols, names=["kind", "doc", "pos", "other_doc", "other_pos", "word"])
+        def gone(line: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(line), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(line), np.int32)), pa.array(line["doc"]), pa.array(line["pos"]), none, none, none, pa.array(np.zeros(len(line), bool))], names=names)
 
         for b in batches:
             for part, kind, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 1:
-                    yield rows(1, np.frombuffer(packed, _LINE))
+                    yield gone(_unpack(packed, _LINE, unpacker))
                 else:
                     packs.setdefault(part, []).append(packed)
         for part in list(packs):
-            p, equal, y, x, many = _candidates(np.frombuffer(b"".join(packs.pop(part)), _POSTING), threshold, kept, None if wanted is None else wanted.value)
+            joined = np.concatenate([_unpack(x, _POSTING, unpacker) for x in packs.pop(part)])
+            p, equal, y, x, more = _candidates(joined, threshold, None if wanted is None else wanted.value)
             if len(equal):
-                yield rows(1, equal)
-            if len(y):
-                pair = np.empty(len(y), [("a", "<i8"), ("b", "<i8"), ("c", "<i8"), ("d", "<i8")])
-                pair["a"], pair["b"], pair["c"], pair["d"] = p["doc"][y], p["pos"][y], p["doc"][x], p["pos"][x]
-                _, one = np.unique(pair, return_index=True)
-                for a in range(0, len(one), 100_000):
-                    k = one[a : a + 100_000]
-                    yield rows(2, p[y[k]], p[x[k]])
-            if len(many):
-                yield rows(3, p[many], None, p["word"][many])
+                yield gone(equal)
+            for a in range(0, len(y), 100_000):
+                u, v, m = p[y[a : a + 100_000]], p[x[a : a + 100_000]], more[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), 2, np.int32)), pa.array(u["doc"]), pa.array(u["pos"]), pa.array(v["doc"]), pa.array(v["pos"]), pa.array(u["word"].astype(np.int64)), pa.array(m)], names=names)
 
     return dealt.mapInArrow(run, _MEET)
 
 
 def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, pos, line of at least the given lines: a bitmap of fixed size picks them, a later join is exact."""
-    ids = lines.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(_line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["id"]) for b in bs), "id long")
-    bits = bitmap(ids)
+    bits = bitmap(_ids(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in _slices(batch, 8 << 20):
                 docs, ties, split = b.column(0).to_numpy(), b.column(1).to_numpy(), [(t.as_py() or "").split("\n") for t in b.column(2)]
                 n = np.array([len(x) for x in split], np.int64)
                 doc, tie = np.repeat(docs, n), np.repeat(ties, n)
@@ -266,7 +301,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         for b in batches:
             ok = []
             for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = set(words(s.as_py())), set(words(t.as_py()))
+                x, y = _words(s.as_py()), _words(t.as_py())
                 both = len(x & y)
                 ok.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc", "pos"]).filter(pa.array(ok, pa.bool_()))
@@ -277,39 +312,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "doc long, pos long").distinct()
 
 
-def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5, kept: int = KEPT) -> DataFrame:
+def _ids(lines: DataFrame) -> DataFrame:
+    return lines.select("doc", "pos").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(_line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["id"]) for b in bs), "id long")
+
+
+def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5) -> DataFrame:
     """doc, pos of each line to remove, from rows (doc, tie, text)."""
-    parts = 4 * width(rows.sparkSession)
+    spark = rows.sparkSession
+    parts = 4 * width(spark)
     counts = word_counts(rows)
-    met = materialize(meet(postings(rows, counts, threshold, least_words, parts).repartition(parts // 4, "part").select("part", "kind", "packed"), threshold, kept), "line-candidates")
-    gone = met.filter("kind = 1").select("doc", "pos").distinct()
-    pairs = met.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos").distinct()
-    pairs = materialize(pairs.join(gone, ["doc", "pos"], "left_anti"), "line-pairs")
-    lines = pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos")).distinct()
-    texts = materialize(_line_texts(rows, lines), "line-texts")
-    first = pairs.groupBy("doc", "pos").agg(F.min(F.struct("other_doc", "other_pos")).alias("x")).select("doc", "pos", "x.other_doc", "x.other_pos")
+    deal = lambda p: p.repartition(parts // 4, "part").select("part", "kind", "packed")
+    met = materialize(meet(deal(postings(rows, counts, threshold, least_words, parts)), threshold), "line-candidates")
+    release(spark)
+    other = F.struct("other_doc", "other_pos")
+    per = met.groupBy("doc", "pos").agg(F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 2, other)).alias("x"), F.max(F.when(F.col("kind") == 2, other)).alias("z"), F.bool_or("more").alias("more"))
+    per = materialize(per.select("doc", "pos", "kind", F.col("x.other_doc").alias("other_doc"), F.col("x.other_pos").alias("other_pos"), (F.col("more") | (F.col("x") != F.col("z"))).alias("more")), "line-first")
+    release(spark)
+    first = per.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos")
+    texts = materialize(_line_texts(rows, first.select("doc", "pos").union(first.select("other_doc", "other_pos"))), "line-texts")
     hit = materialize(_verified(first, texts, threshold), "line-matches")
-    others = pairs.join(hit, ["doc", "pos"], "left_anti").join(first, ["doc", "pos", "other_doc", "other_pos"], "left_anti")
-    hit2 = materialize(_verified(others, texts, threshold), "line-matches")
-    out = gone.union(hit).union(hit2)
-    open_ = met.filter("kind = 3").select("doc", "pos", "word").distinct().join(out.distinct(), ["doc", "pos"], "left_anti")
-    open_ = materialize(open_, "open-lines")
-    if open_.limit(1).count():
-        ids = open_.select("doc", "pos").distinct().mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(_line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["id"]) for b in bs), "id long")
-        wanted, only = bitmap(ids), bitmap(open_.select("word"))
-        again = meet(postings(rows, counts, threshold, least_words, parts, only).repartition(parts // 4, "part"), threshold, None, wanted)
-        more = again.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos").distinct().join(open_.select("doc", "pos").distinct(), ["doc", "pos"], "left_semi")
-        more = materialize(more.join(pairs, ["doc", "pos", "other_doc", "other_pos"], "left_anti"), "line-pairs")
-        lines = more.select("doc", "pos").union(more.select("other_doc", "other_pos")).distinct()
-        out = out.union(materialize(_verified(more, materialize(_line_texts(rows, lines), "line-texts"), threshold), "line-matches"))
+    release(spark)
+    out = per.filter("kind = 1").select("doc", "pos").union(hit)
+    left = materialize(per.filter("kind = 2 and more").select("doc", "pos").join(hit, ["doc", "pos"], "left_anti"), "lines-left")
+    if left.limit(1).count():
+        lines = bitmap(_ids(left))
+
+        def of_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.select([2]).filter(pa.array(hits(lines.value, _line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+        only = bitmap(met.filter("kind = 2").select("doc", "pos", "word").mapInArrow(of_left, "word long"))
+        again = meet(deal(postings(rows, counts, threshold, least_words, parts, only)), threshold, lines)
+        pairs = again.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos").distinct()
+        pairs = materialize(pairs.join(left, ["doc", "pos"], "left_semi").join(first, ["doc", "pos", "other_doc", "other_pos"], "left_anti"), "line-pairs")
+        release(spark)
+        texts = materialize(_line_texts(rows, pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos"))), "line-texts")
+        out = out.union(materialize(_verified(pairs, texts, threshold), "line-matches"))
+        release(spark)
     return out
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, least_words: int = 5, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the input, the text without its removed lines, and n_lines, n_removed."""
     key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF)
     rows = docs.select(key.alias("doc"), tie.alias("tie"), F.col(text_col).cast("string").alias("text"))
-    gone = removed_lines(rows, threshold, least_words, kept)
+    gone = removed_lines(rows, threshold, least_words)
     gone = gone.groupBy(F.col("doc").alias("__doc"), F.shiftright("pos", 32).alias("__tie")).agg(F.collect_set((F.col("pos").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("__gone"))
     whole = docs.withColumns({"__d": key, "__t": tie}).join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__tie")), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
