@@ -9,10 +9,10 @@ distinct words stay: they say too little to be a copy of something.
 2. Each line gives postings for its prefix: the n - ceil(t n) + 1 rarest words. Lines that match share one of them.
    Postings travel as packed blocks, dealt by word. Lines alike in one batch send one posting.
 3. Where the postings of a word meet, equal sets are settled at once. For the others the length filter, the
-   positional filter and a bound on the words that differ (by the parities of 64 hash bits) leave candidates; the
-   earliest goes on, and a sign if there are more.
-4. The earliest candidate of each line is verified on the lines' full sets. Lines for which it failed and that have
-   more candidates go through steps 2 to 4 again, now with all of them. So the result is exact, and a group of many near
+   positional filter and a bound on the words that differ (by parities of hash bits) leave candidates; the
+   earliest go on, up to one that is hardly wrong or to LISTED of them, and a sign if there are more.
+4. Candidates are verified on the lines' full sets: first the earliest of each line, then, where it failed, the others.
+   Lines for which all failed and that have more go through steps 2 to 4 again, now with all of their candidates. So the result is exact, and a group of many near
    copies isn't spelt out in pairs.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; a text whose lines all go becomes
@@ -38,7 +38,10 @@ CELLS = 1 << 21
 _CHUNK = 1 << 16
 _TOP = (1 << 20) - 1
 _LAST = (1 << 63) - 1
-_POSTING = np.dtype([("word", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("odd", "<u8"), ("set", "<u4"), ("n", "<u4"), ("i", "<u4")])
+_POSTING = np.dtype([("word", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("odd", "<u8"), ("set", "<u4"), ("n", "<u4"), ("i", "<u4"), ("wide", "<u8", (4,))])
+#: Lines of more words have parities of 256 hash bits besides those of 64, which would be as good as full.
+_LONG = 64
+LISTED = 16
 _LINE = np.dtype([("doc", "<i8"), ("pos", "<i8")])
 
 
@@ -128,13 +131,17 @@ def _line_ids(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.uint64)) + pos.astype(np.uint64)).astype(np.int64)
 
 
-def _sets(b: pa.RecordBatch, counts: np.ndarray, least_words: int):
+def _sets(b: pa.RecordBatch, counts: np.ndarray, least_words: int, only: np.ndarray | None = None):
     """For the lines of a batch (doc, tie, text) that take part: word order numbers sorted within each line, the line
     of each, and the lines' doc, pos, size, set hash, and parities: bit b tells whether an odd number of its words hash
     to b."""
     h, line, owner, number = _hashed(b.column(2))
     rarity = counts[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     word = (rarity << np.uint64(44)) | (h >> np.uint64(20))
+    if only is not None:  # lines without any of the asked words are left out early
+        some = np.zeros(len(owner), bool)
+        some[line[hits(only, word.astype(np.int64))]] = True
+        word, line = word[some[line]], line[some[line]]
     order = np.argsort(word)
     by_line = line[order]
     order = order[np.argsort(by_line.astype(np.uint16) if len(owner) < 1 << 16 else by_line, kind="stable")]
@@ -144,14 +151,19 @@ def _sets(b: pa.RecordBatch, counts: np.ndarray, least_words: int):
     n = np.bincount(line, minlength=len(owner))
     doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
     pos = ((tie[owner] & 0x7FFFFFFF) << 32) | number if len(owner) else np.zeros(0, np.int64)
-    keys, odd = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64)
+    keys, odd, wide = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64), np.zeros((len(owner), 4), np.uint64)
     if len(word):
         starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
         mixed = mix(word)
         keys[line[starts]] = np.add.reduceat(mixed, starts)
         odd[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
+        if len(long := np.flatnonzero((n > _LONG)[line])):
+            own, m = line[long], mixed[long] >> np.uint64(16)
+            starts, bit, limb = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), np.uint64(1) << (m & np.uint64(63)), (m >> np.uint64(6)) & np.uint64(3)
+            for k in range(4):
+                wide[own[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
     good = n >= least_words
-    return word, line, (doc[owner] if len(owner) else doc[:0]), pos, n, keys, odd, good
+    return word, line, (doc[owner] if len(owner) else doc[:0]), pos, n, keys, odd, wide, good
 
 
 def _pack(x: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
@@ -169,8 +181,8 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(1)
         for batch in batches:
-            for b in _slices(batch, 8 << 20):
-                word, line, doc, pos, n, keys, odd, good = _sets(b, counts.value, least_words)
+            for b in _slices(batch, 2 << 20):
+                word, line, doc, pos, n, keys, odd, wide, good = _sets(b, counts.value, least_words, None if only is None else only.value)
                 order = np.lexsort((pos, doc, n, keys))
                 again = np.zeros(len(doc), bool)
                 if len(order):
@@ -187,6 +199,7 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words:
                 p = np.empty(int(own.sum()), _POSTING)
                 at = line[own]
                 p["word"], p["i"], p["doc"], p["pos"], p["set"], p["odd"], p["n"] = word[own], i[own], doc[at], pos[at], (keys[at] >> np.uint64(32)).astype(np.uint32), odd[at], n[at]
+                p["wide"] = wide[at]
                 to = (mix(p["word"]) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 p, to = p[by], to[by]
@@ -204,41 +217,45 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words:
 
 def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None):
     """Of postings: those of lines that equal an earlier one (by their rarest word); and places of candidate pairs,
-    later and earlier, with a sign. Without `wanted`: the earliest candidate of each line and word, and whether there
-    is a second. With it: all candidates of these lines."""
-    p = p[np.lexsort((p["pos"], p["doc"], p["n"], p["set"], p["odd"], p["word"]))]
-    same = np.r_[False, np.logical_and.reduce([p[k][1:] == p[k][:-1] for k in ("word", "odd", "set", "n")])] if len(p) else np.zeros(0, bool)
+    later and earlier, with a sign. Without `wanted`: the earliest candidates of each line and word, up to one that
+    differs so little that it is hardly wrong, or to LISTED; and whether there are more. With it: all candidates of
+    these lines."""
+    p = p[np.lexsort((p["pos"], p["doc"], p["word"]))]
+    alike = mix(p["word"] + mix(p["odd"] + mix((p["set"].astype(np.uint64) << np.uint64(32)) + p["n"])))
+    same = np.ones(len(p), bool)
+    same[np.unique(alike, return_index=True)[1]] = False  # the first of each word and set is the earliest
     equal = p[same & (p["i"] == 0)]
     p = p[~same]
-    p = p[np.lexsort((p["pos"], p["doc"], p["word"]))]
     start = np.maximum.accumulate(np.where(np.r_[True, p["word"][1:] != p["word"][:-1]], np.arange(len(p)), 0)) if len(p) else np.zeros(0, np.int64)
     later = np.flatnonzero(start < np.arange(len(p)))
     if wanted is not None:
         later = later[hits(wanted, _line_ids(p["doc"][later], p["pos"][later]))]
     n, rest = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["i"]
     need, differ, odd = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), p["odd"]
-    found, first, more, c = [], np.full(len(p), -1), np.zeros(len(p), bool), 0
+    wide = p["wide"]
+    found, listed, sure, more, c = [], np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.zeros(len(p), bool), 0
     while len(later):
         x = start[later] + c
         later, x = later[x < later], x[x < later]
         ny, nx = n[later], n[x]
         ok = (np.minimum(ny, nx) >= threshold * np.maximum(ny, nx) - 1e-9) & (np.minimum(rest[later], rest[x]) >= need * (ny + nx) - 1e-9)
-        ok &= np.bitwise_count(odd[later] ^ odd[x]) <= differ * (ny + nx) + 1e-9
-        if wanted is not None:
-            found.append((later[ok], x[ok]))
-        else:
-            again = ok & (first[later] >= 0)
-            more[later[again]] = True
-            new = ok & ~again
-            first[later[new]] = x[new]
-            later = later[~again]
+        apart, most = np.bitwise_count(odd[later] ^ odd[x]).astype(np.int64), differ * (ny + nx) + 1e-9
+        if len(both := np.flatnonzero(ok & (apart <= most) & (ny > _LONG) & (nx > _LONG))):
+            apart[both] = np.bitwise_count(wide[later[both]] ^ wide[x[both]]).sum(1)
+        ok &= apart <= most
+        if wanted is None:
+            full = ok & (sure[later] | (listed[later] >= LISTED))
+            more[later[full]] = True
+            ok &= ~full
+            listed[later[ok]] += 1
+            sure[later[ok & (apart <= 0.6 * most)]] = True
+        found.append((later[ok], x[ok]))
+        if wanted is None:
+            later = later[~full]
         c += 1
-    if wanted is None:
-        y = np.flatnonzero(first >= 0)
-        return p, equal, y, first[y], more[y]
     y = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
     x = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
-    return p, equal, y, x, np.zeros(len(y), bool)
+    return p, equal, y, x, more[y]
 
 
 _MEET = "kind int, doc long, pos long, other_doc long, other_pos long, word long, more boolean"
@@ -281,7 +298,7 @@ def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch, 8 << 20):
+            for b in _slices(batch, 2 << 20):
                 docs, ties, split = b.column(0).to_numpy(), b.column(1).to_numpy(), [(t.as_py() or "").split("\n") for t in b.column(2)]
                 n = np.array([len(x) for x in split], np.int64)
                 doc, tie = np.repeat(docs, n), np.repeat(ties, n)
@@ -325,15 +342,19 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5)
     met = materialize(meet(deal(postings(rows, counts, threshold, least_words, parts)), threshold), "line-candidates")
     release(spark)
     other = F.struct("other_doc", "other_pos")
-    per = met.groupBy("doc", "pos").agg(F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 2, other)).alias("x"), F.max(F.when(F.col("kind") == 2, other)).alias("z"), F.bool_or("more").alias("more"))
-    per = materialize(per.select("doc", "pos", "kind", F.col("x.other_doc").alias("other_doc"), F.col("x.other_pos").alias("other_pos"), (F.col("more") | (F.col("x") != F.col("z"))).alias("more")), "line-first")
+    per = met.groupBy("doc", "pos").agg(F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 2, other)).alias("x"), F.bool_or("more").alias("more"))
+    per = materialize(per.select("doc", "pos", "kind", F.col("x.other_doc").alias("other_doc"), F.col("x.other_pos").alias("other_pos"), "more"), "line-first")
     release(spark)
+    pairs = met.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos")
+    texts = materialize(_line_texts(rows, pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos"))), "line-texts")
     first = per.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos")
-    texts = materialize(_line_texts(rows, first.select("doc", "pos").union(first.select("other_doc", "other_pos"))), "line-texts")
     hit = materialize(_verified(first, texts, threshold), "line-matches")
+    failed = per.filter("kind = 2").join(hit, ["doc", "pos"], "left_anti")
+    others = pairs.distinct().join(failed.select("doc", "pos"), ["doc", "pos"], "left_semi").join(first, ["doc", "pos", "other_doc", "other_pos"], "left_anti")
+    hit = hit.union(materialize(_verified(others, texts, threshold), "line-matches"))
     release(spark)
     out = per.filter("kind = 1").select("doc", "pos").union(hit)
-    left = materialize(per.filter("kind = 2 and more").select("doc", "pos").join(hit, ["doc", "pos"], "left_anti"), "lines-left")
+    left = materialize(failed.filter("more").select("doc", "pos").join(hit, ["doc", "pos"], "left_anti"), "lines-left")
     if left.limit(1).count():
         lines = bitmap(_ids(left))
 
@@ -343,8 +364,8 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5)
 
         only = bitmap(met.filter("kind = 2").select("doc", "pos", "word").mapInArrow(of_left, "word long"))
         again = meet(deal(postings(rows, counts, threshold, least_words, parts, only)), threshold, lines)
-        pairs = again.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos").distinct()
-        pairs = materialize(pairs.join(left, ["doc", "pos"], "left_semi").join(first, ["doc", "pos", "other_doc", "other_pos"], "left_anti"), "line-pairs")
+        tried, pairs = pairs, again.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos").distinct()
+        pairs = materialize(pairs.join(left, ["doc", "pos"], "left_semi").join(tried, ["doc", "pos", "other_doc", "other_pos"], "left_anti"), "line-pairs")
         release(spark)
         texts = materialize(_line_texts(rows, pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos"))), "line-texts")
         out = out.union(materialize(_verified(pairs, texts, threshold), "line-matches"))
