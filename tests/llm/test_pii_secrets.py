@@ -1,0 +1,97 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from kgaudit.llm import pii, secrets
+from kgaudit.llm.spans import digest, join_spans
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def plain_pii(t):
+    out = []
+    for k, r in PII.items():
+        for m in re.finditer(r, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(x) > 255 for x in m[0].split(".")) or k == "card" and not (14 <= len(d) <= 19 and luhn(d)) or k == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(1)
+    for _ in range(15000):
+        t = "".join(rng.choices("ab1234567890@.+- ()é\n", k=rng.randint(0, 60)))
+        assert sorted(pii.find_base(t)) == plain_pii(t), t
+
+
+@pytest.mark.parametrize("text,kind,found", [
+    ("to john [at] example [dot] com now", "email", "john [at] example [dot] com"),
+    ("jane dot doe at mail dot example dot org!", "email", "jane dot doe at mail dot example dot org"),
+    ("x john.d@exаmple.com y", "email", "john.d@exаmple.com"),
+    ("j​ohn@exam​ple.com", "email", "j​ohn@exam​ple.com"),
+    ("user AT example DOT com", "email", "user AT example DOT com"),
+    ("call plus one five five five one two three four five six seven.", "phone", "plus one five five five one two three four five six seven"),
+    ("ip one nine two dot one six eight dot one dot one.", "ip", "one nine two dot one six eight dot one dot one"),
+    ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+])
+def test_disguises(text, kind, found):
+    base, added = pii.find(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in added] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot. meet me at noon dot dot dot", "one two three four", "We stayed at home. com", "café – naïve – 12–14", "", None, "at dot", "Ещё один текст"])
+def test_clean_texts_stay_clean(text):
+    assert pii.find(text) == ([], [])
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "1." * 150_000, "@a" * 150_000, "+1 " * 100_000, "one " * 50_000, "a@" * 100_000, "(at)" * 50_000])
+def test_long_texts_take_linear_time(text):
+    pii.find(text)
+    secrets.find(text)
+
+
+def test_base_spans_stay_beside_added_ones(spark):
+    rows = [(1, "a@b.cc and x (at) y.zz"), (None, None), (1, "a@b.cc and x (at) y.zz"), (2, "")]
+    df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, n_email string")
+    got = {(r["doc_id"], r["n_email"], r["base_sha256"], r["spans"]) for r in pii.scan(df).collect()}
+    assert got == {(1, 1, hashlib.sha256(b"email:0:6").hexdigest(), "email:0:6,email:11:22"), (None, 0, digest(""), ""), (2, 0, digest(""), "")}
+    assert pii.scan(df).count() == 4 and pii.scan(df.limit(0)).count() == 0
+
+
+def test_span_order():
+    assert join_spans([("phone", 3, 9), ("email", 3, 5), ("ip", 1, 2)], pii.KINDS) == "ip:1:2,email:3:5,phone:3:9"
+
+
+def plain_secrets(t):
+    out = [("assign", *m.span()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.A) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def test_base_secrets_are_those_of_the_patterns():
+    rng = random.Random(2)
+    words = ["password", "PASSWD", "apikey", "api_key", "Token", "toKen", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "deadbeef", "x", "-", "é", "\n"]
+    for _ in range(8000):
+        t = "".join(rng.choices(words, k=rng.randint(0, 12)))
+        assert sorted(x[:3] for x in secrets.find_base(t)) == plain_secrets(t), t
+
+
+def test_ownership_tells_examples_from_live_ones(spark):
+    example, live, bare = "AKIA" + "EXAMPLE0" * 2, "0123456789abcdef01234567", "Zx9Qw7Lk3Vb5Nm1Tr8Yp2"
+    rows = [(i, f"key {example}", f"owner{i}") for i in range(4)] + [(9, f"hash {live}", "me"), (10, f"bare {bare} here", "me"), (11, None, None), (12, f"hash {live}", "me")]
+    rows += [(20 + i, "shared Ab3dEf6hIj9lMn2pQr5tU here", f"owner{i}") for i in range(3)]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[0]["n_access"], got[0]["n_example"], got[0]["n_live"]) == (1, 1, 0)
+    assert (got[9]["n_hex"], got[9]["n_live"], got[9]["spans"]) == (1, 1, "hex:5:29")
+    assert got[10]["spans"] == f"token:5:{5 + len(bare)}" and got[10]["base_sha256"] == digest("")
+    assert got[20]["spans"] == "" and got[11]["spans"] == ""
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert secrets.scan(empty).count() == 0
