@@ -91,7 +91,7 @@ _HIDDEN = "­​‌‍‎‏⁠﻿"
 
 @lru_cache(maxsize=1)
 def _signs() -> tuple[dict[int, str], re.Pattern[str]]:
-    """One-for-one rewriting of signs, and a pattern that finds any of them. By rule: compatibility forms of one
+    """One-for-one rewriting of signs, and a pattern that finds any of them (and others). By rule: compatibility forms of one
     printable ASCII sign, and decimal digits of any script."""
     out = {ord(k): v for k, v in _LOOKALIKES.items()}
     for cp in (*range(0xA0, 0x100), *range(0x2000, 0x2100), *range(0x2460, 0x2500), *range(0xFE50, 0xFFF0), *range(0x1D400, 0x1D800)):
@@ -102,7 +102,9 @@ def _signs() -> tuple[dict[int, str], re.Pattern[str]]:
         d = unicodedata.decimal(chr(cp), None)
         if d is not None:
             out.setdefault(cp, str(d))
-    return out, re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(out)) + _HIDDEN + "]")
+    # a few ranges that hold them all: cheaper to search for than the signs one by one
+    low = "".join(re.escape(chr(c)) for c in sorted(out) if c < 0x370)
+    return out, re.compile(f"[{low}\u0370-\U0010ffff]")
 
 
 # Last labels after which a bare "at ... dot ..." is taken for an address.
@@ -120,6 +122,15 @@ _SPELLED_PART = re.compile(rf"plus|dot|point|{_WORD}|[ \t,]+", re.I | re.A)
 _TWO_WORDS = re.compile(rf"{_WORD}[ \t().,-]{{1,3}}(?:(?:dot|point)[ \t]{{1,3}})?(?:{_WORD}|[0-9])|[0-9][ \t().,-]{{1,3}}{_WORD}", re.I | re.A)
 
 
+_DIGIT_WORDS = frozenset(_WORDS)
+
+
+def _parted(low: str) -> list[str]:
+    for c in "().,-+":
+        low = low.replace(c, " ")
+    return low.split()
+
+
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """Parts of a text to be replaced: (start, end, by), ordered and apart."""
     out: list[tuple[int, int, str]] = [(i, i + 1, "") for c in _HIDDEN if c in text for i in (m.start() for m in re.finditer(c, text))]
@@ -150,7 +161,7 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
                     break
                 out.append((start, s, "."))
                 s = start
-    if _TWO_WORDS.search(text):
+    if not _DIGIT_WORDS.isdisjoint(_parted(low)) and _TWO_WORDS.search(text):
         for m in _SPELLED.finditer(text):
             if not re.search(_WORD, m[0], re.I):
                 continue
