@@ -13,7 +13,7 @@ def cells(df):
     df = df[sorted(df.columns)]
 
     def show(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) in ("<NA>", "nan", "NaT"):
             return ""
         return f"{float(x):.9g}" if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
 
