@@ -26,7 +26,7 @@ from kgaudit.session import materialize
 
 #: A word is a run of signs other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_KEYS = 1 << 30
+_KEYS = 1 << 28
 
 
 def word_count(text: Column) -> Column:
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int
 def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3, share: float = 1.0, seed: int = 7, cuts: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, before: the words of the source that come before the document in one
     pass. From these follow the virtual times of all its copies."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")).bitwiseAND(_KEYS - 1)
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), "source").cast("binary")), 1, 7), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
     rows = materialize(rows.withColumn("key", key).withColumn("cut", F.floor(F.col("key") * cuts / _KEYS).cast("int")), "mix-sizes")
     by_cut = rows.groupBy("source", "cut").agg(F.sum("size").alias("size"))
@@ -92,11 +92,6 @@ def copies(docs: DataFrame, epochs: int = 3, **kw) -> DataFrame:
     return out.orderBy("finish", "doc_id", "copy")
 
 
-ORACLE_TARGETS = """
-sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM sized GROUP BY source)
-"""
-
 
 def mixed(docs: DataFrame, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents of the mix, whole and with all their columns, as often as they are taken: a copy that is served in
@@ -110,3 +105,17 @@ def mixed(docs: DataFrame, epochs: int = 3, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("__row", F.row_number().over(alike.orderBy(F.lit(0))))
     both = rows.alias("d").join(q.alias("q"), F.col("d.__id").eqNullSafe(F.col("q.__id")) & (F.col("d.__tie") == F.col("q.__tie")) & (F.col("d.__row") == F.col("q.__row")))
     return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("q.__times"))).alias("__copy")).drop("__copy")
+
+
+#: The same rows as taken() gives with its defaults, by one window a source.
+ORACLE_SQL = """
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(concat_ws('|', '7', doc_id, source)), 1, 7))::BIGINT AS key FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM z GROUP BY source),
+c AS (SELECT *, source_size::DOUBLE * 3.0::DOUBLE AS cap, source_size::DOUBLE * 3.0::DOUBLE / weight AS ratio FROM p),
+l AS (SELECT *, row_number() OVER w AS place, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM c WINDOW w AS (ORDER BY ratio, source NULLS LAST)),
+t AS (SELECT source, source_size, least(coalesce((SELECT arg_min(level, place) FROM l WHERE level <= ratio), 'inf'::DOUBLE) * weight, cap) AS target FROM l),
+q AS (SELECT z.doc_id, z.size, t.source_size, t.target, coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY z.key, z.doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size)) + greatest(0, least(size, floor(target) - before - 2 * source_size)))::BIGINT AS taken,
+  CASE WHEN target <> 0 THEN (before + size) / target END AS finish FROM q
+"""
