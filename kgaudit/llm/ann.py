@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgaudit.session import materialize, width
+from kgaudit.session import materialize
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
@@ -156,8 +156,8 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.filter(F.size("v") == (common[0]["n"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def index(rows: DataFrame, tree, shard_rows: int) -> DataFrame:
-    """leaf, part, vec_id, v: each vector at its leaf; large leaves in parts of about shard_rows."""
+def index(rows: DataFrame, tree: Tree) -> DataFrame:
+    """vec_id, v, leaf: each vector at its leaf."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, recall: float
     if not sample.num_rows:
         return spark.createDataFrame([], SCHEMA)
     tree = fit(_matrix(sample.column("v")), leaves=leaves)
-    placed = index(rows, tree, shard_rows)
+    placed = index(rows, tree)
     sizes = np.zeros(tree.leaves, np.int64)
     for r in placed.groupBy("leaf").count().collect():  # a row for each leaf
         sizes[r["leaf"]] = r["count"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.llm.shingles import WordHashes, bitmap, hits, mix, ngrams
 from kgaudit.operators.graph import components
-from kgaudit.session import materialize
+from kgaudit.session import discard, materialize
 
 BLOCK = 1024
 _COLUMNS = 4096
@@ -187,6 +187,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
         dealt = texts.select("grp", "block", "sid", "copies", "text", other.alias("k")).select("grp", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "sid", "copies", "text")
         dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(max(1, few // 1024))))
         found = materialize(compare(dealt, threshold, n), "links")
+        discard(members)
     else:
         found = sets.sparkSession.createDataFrame([], "sid long, links long, root long")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
@@ -206,3 +207,18 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text)})
     kept = keyed.join(keep, keyed["__id"].eqNullSafe(keep["__id"]) & (keyed["__key"] == keep["__key"]), "left_semi")
     return kept.drop("__id", "__key")
+
+
+#: The same rows by all pairs of n-gram sets that share an n-gram.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY copy_id, g) AS sid, g, len(g) AS n, c, copy_id FROM (SELECT g, count(*) AS c, min(doc_id) AS copy_id FROM g GROUP BY g)),
+u AS (SELECT sid, n, unnest(g) AS x FROM s),
+p AS (SELECT a.sid AS i, b.sid AS j, a.n AS ni, b.n AS nj, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.sid <> b.sid GROUP BY ALL),
+l AS MATERIALIZED (SELECT i, j FROM p WHERE n >= 0.8 * (ni + nj - n) - 1e-9),
+r(sid, other) AS (SELECT sid, sid FROM s UNION SELECT r.sid, l.j FROM r JOIN l ON l.i = r.other),
+k AS (SELECT r.sid, min(o.copy_id) AS class_id FROM r JOIN s o ON o.sid = r.other GROUP BY r.sid),
+f AS (SELECT l.i AS sid, sum(o.c) AS links FROM l JOIN s o ON o.sid = l.j GROUP BY l.i)
+SELECT g.doc_id, s.copy_id, k.class_id, (s.c - 1 + coalesce(f.links, 0))::BIGINT AS n_links FROM g JOIN s ON s.g = g.g JOIN k ON k.sid = s.sid LEFT JOIN f ON f.sid = s.sid
+"""
