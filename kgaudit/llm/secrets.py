@@ -85,9 +85,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """One row a document with the spans found in it; written once, since two later steps read it."""
+    """One row a document with the spans found in it, numbered; written once, so that the numbers stay and two later
+    steps may read it."""
     found = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{owner_col}` as string) owner", f"cast(`{repo_col}` as string) repo", f"cast(`{text_col}` as string) text").mapInArrow(_scan, _FOUND)
-    return materialize(found, "secret-candidates")
+    return materialize(found.withColumn("at", F.monotonically_increasing_id()), "secret-candidates")
 
 
 def ownership(found: DataFrame, example_owners: int = 3) -> DataFrame:
@@ -104,8 +105,7 @@ def ownership(found: DataFrame, example_owners: int = 3) -> DataFrame:
 def scan(docs: DataFrame, example_owners: int = 3, **cols: str) -> DataFrame:
     """A row a document: counts and digest of base spans, all spans joined, and how many of its candidates are live
     or copied examples."""
-    found = candidates(docs, **cols).withColumn("at", F.monotonically_increasing_id())
-    # the rows come from a written table, so the number of a row is the same in both branches
+    found = candidates(docs, **cols)
     some = found.filter(F.size("spans") > 0).select("at", F.explode("spans").alias("s"))
     judged = some.join(ownership(found, example_owners), F.col("s.hash") == F.col("hash"))
     order = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("s.kind"))
