@@ -76,11 +76,16 @@ def peel(cells: str, third: int = CELLS // 3) -> str:
 
 def _grouped(a: str, b: str, per: int, third: int) -> str:
     """SQL: the size of the difference by groups of cells, one for every `per` digests; null if a group has cells
-    left. The second text's digests go in with a minus, which is the same as subtracting its sketch."""
+    left. The second text's digests go in with a minus, which is the same as subtracting its sketch. Digests of very
+    long texts are dealt to lots first, so that no group looks through all of them."""
     minus = f"transform({b}, e -> named_struct('n', -1, 'd', e.d, 'h', e.h, 'g', e.g, 'p0', e.p0, 'p1', e.p1, 'p2', e.p2))"
     one = peel(sketch("filter(w, e -> e.g % t = g)", third), third)
     groups = f"CAST(greatest(1, ceil(size(w) / {per})) AS INT)"
-    return f"transform(array(concat({a}, {minus})), w -> transform(array({groups}), t -> aggregate(transform(sequence(0, t - 1), g -> {one}), 0, (q, x) -> q + x))[0])[0]"
+    lot = f"transform(array({groups}), t -> aggregate(transform(sequence(0, t - 1), g -> {one}), 0, (q, x) -> q + x))[0]"
+    lots = "CAST(ceil(size(o) / 2000) AS INT)"
+    many = f"transform(array({lots}), l -> aggregate(transform(sequence(0, l - 1), k -> transform(array(filter(o, e -> shiftright(e.g, 12) % l = k)), w -> {lot})[0]), 0, (q, x) -> q + x))[0]"
+    few = f"transform(array(o), w -> {lot})[0]"
+    return f"transform(array(concat({a}, {minus})), o -> if(size(o) > 2000, {many}, {few}))[0]"
 
 
 def differing(a: str, b: str, cells_a: str, cells_b: str) -> Column:
