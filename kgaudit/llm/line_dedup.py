@@ -12,7 +12,8 @@ distinct words stay: they say too little to be a copy of something.
    positional filter and a bound on the words that differ (by parities of hash bits) leave candidates; the
    earliest go on, up to one that is hardly wrong or to LISTED of them, and a sign if there are more.
 4. Candidates are verified on the lines' full sets: first the earliest of each line, then, where it failed, the others.
-   Lines for which all failed and that have more go through steps 2 to 4 again, now with all of their candidates. So the result is exact, and a group of many near
+   Lines for which all failed and that have more are looked for in all texts, or, if they are many, go through steps 2
+   to 4 again, now with all of their candidates. So the result is exact, and a group of many near
    copies isn't spelt out in pairs.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; a text whose lines all go becomes
@@ -26,22 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgaudit.llm.shingles import bitmap, hits, mix
-from kgaudit.session import materialize, release, width
+from kgaudit.session import discard, materialize, release, width
 
 CELLS = 1 << 21
 _CHUNK = 1 << 16
 _TOP = (1 << 20) - 1
 _LAST = (1 << 63) - 1
 _POSTING = np.dtype([("word", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("odd", "<u8"), ("set", "<u4"), ("n", "<u4"), ("i", "<u4"), ("wide", "<u8", (4,))])
-#: Lines of more words have parities of 256 hash bits besides those of 64, which would be as good as full.
+#: Besides parities of 64 hash bits all lines have those of 64 others, lines of more words than this of 256.
 _LONG = 64
-LISTED = 16
+#: A line's candidates for a word are listed up to the first that differs by less than SURE of what it may, and up to
+#: LISTED of them; the others are only fetched for lines that need them.
+LISTED = 64
+#: Up to so many lines (and FEW_BYTES of them) that need the rest of their candidates are looked for by one more pass
+#: over the texts, with these lines broadcast. More of them take the way of all lines.
+FEW_LINES, FEW_BYTES = 2000, 4 << 20
+SURE = 0.4
 _LINE = np.dtype([("doc", "<i8"), ("pos", "<i8")])
 
 
@@ -72,13 +80,14 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     h = mix(mix((sums[ends - 1] - before) * down[starts]) + (ends - starts).astype(np.uint64))
-    text_at, line_at = np.flatnonzero(raw == 0), np.flatnonzero((raw == 0) | (raw == 10))
-    text = np.searchsorted(text_at, starts)
-    line = np.searchsorted(line_at, starts)  # lines of all texts, numbered on
-    first_line = np.r_[0, np.searchsorted(line_at, text_at)[:-1] + 1]
-    used, at = np.unique(line, return_inverse=True) if len(line) else (line, line)
-    owner = text[np.searchsorted(line, used)] if len(line) else text
-    return h, at, owner, used - first_line[owner] if len(used) else used
+    text_end = raw == 0
+    line_end = text_end | (raw == 10)
+    text = np.cumsum(text_end, dtype=np.int32)[starts]
+    line = np.cumsum(line_end, dtype=np.int32)[starts]  # lines of all texts, numbered on
+    first_line = np.r_[0, np.cumsum(line_end, dtype=np.int32)[np.flatnonzero(text_end)][:-1]]
+    new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
+    owner = text[new].astype(np.int64)
+    return h, np.cumsum(new) - 1, owner, line[new] - first_line[owner]
 
 
 def _words(line: str) -> set[str]:
@@ -86,9 +95,9 @@ def _words(line: str) -> set[str]:
     return set("".join(" " if c <= " " else c for c in line.lower()).split(" ")) - {""}
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes of text, so that arrays stay small whatever the batch."""
-    size = np.array([len(x.as_py() or "") for x in batch.column(batch.num_columns - 1)], np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy().astype(np.int64)
     part = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -106,8 +115,7 @@ def word_counts(rows: DataFrame) -> Broadcast:
         for batch in batches:
             for b in _slices(batch):
                 h, *_ = _hashed(b.column(b.num_columns - 1))
-                cells, times = np.unique((h & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
-                total[cells] += times.astype(np.uint32)
+                total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         pack = zstandard.ZstdCompressor(1)
         at = [k for k in range(CELLS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pack.compress(total[k * _CHUNK : (k + 1) * _CHUNK].tobytes()) for k in at], pa.binary())], names=["chunk", "counts"])
@@ -157,11 +165,10 @@ def _sets(b: pa.RecordBatch, counts: np.ndarray, least_words: int, only: np.ndar
         mixed = mix(word)
         keys[line[starts]] = np.add.reduceat(mixed, starts)
         odd[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
-        if len(long := np.flatnonzero((n > _LONG)[line])):
-            own, m = line[long], mixed[long] >> np.uint64(16)
-            starts, bit, limb = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), np.uint64(1) << (m & np.uint64(63)), (m >> np.uint64(6)) & np.uint64(3)
-            for k in range(4):
-                wide[own[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
+        m = mixed >> np.uint64(16)
+        bit, limb = np.uint64(1) << (m & np.uint64(63)), np.where((n > _LONG)[line], (m >> np.uint64(6)) & np.uint64(3), np.uint64(0))
+        for k in range(4):
+            wide[line[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
     good = n >= least_words
     return word, line, (doc[owner] if len(owner) else doc[:0]), pos, n, keys, odd, wide, good
 
@@ -181,7 +188,7 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(1)
         for batch in batches:
-            for b in _slices(batch, 2 << 20):
+            for b in _slices(batch):
                 word, line, doc, pos, n, keys, odd, wide, good = _sets(b, counts.value, least_words, None if only is None else only.value)
                 order = np.lexsort((pos, doc, n, keys))
                 again = np.zeros(len(doc), bool)
@@ -215,7 +222,7 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words:
     return rows.select("doc", "tie", "text").mapInArrow(run, "part int, kind int, packed binary")
 
 
-def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None):
+def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, most_listed: int = LISTED):
     """Of postings: those of lines that equal an earlier one (by their rarest word); and places of candidate pairs,
     later and earlier, with a sign. Without `wanted`: the earliest candidates of each line and word, up to one that
     differs so little that it is hardly wrong, or to LISTED; and whether there are more. With it: all candidates of
@@ -226,33 +233,41 @@ def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None):
     same[np.unique(alike, return_index=True)[1]] = False  # the first of each word and set is the earliest
     equal = p[same & (p["i"] == 0)]
     p = p[~same]
-    start = np.maximum.accumulate(np.where(np.r_[True, p["word"][1:] != p["word"][:-1]], np.arange(len(p)), 0)) if len(p) else np.zeros(0, np.int64)
-    later = np.flatnonzero(start < np.arange(len(p)))
+    at = np.arange(len(p))
+    start = np.maximum.accumulate(np.where(np.r_[True, p["word"][1:] != p["word"][:-1]], at, 0)) if len(p) else at
+    n, rest, odd, wide = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["i"], np.ascontiguousarray(p["odd"]), p["wide"]
+    need, differ, fold = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), np.bitwise_xor.reduce(wide, axis=1)
+    loose = (differ * n + 1e-3).astype(np.float32)  # the sum of two bounds the words that differ, with some slack
+    later = np.flatnonzero(start < at)
     if wanted is not None:
         later = later[hits(wanted, _line_ids(p["doc"][later], p["pos"][later]))]
-    n, rest = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["i"]
-    need, differ, odd = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), p["odd"]
-    wide = p["wide"]
-    found, listed, sure, more, c = [], np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.zeros(len(p), bool), 0
-    while len(later):
-        x = start[later] + c
-        later, x = later[x < later], x[x < later]
-        ny, nx = n[later], n[x]
-        ok = (np.minimum(ny, nx) >= threshold * np.maximum(ny, nx) - 1e-9) & (np.minimum(rest[later], rest[x]) >= need * (ny + nx) - 1e-9)
-        apart, most = np.bitwise_count(odd[later] ^ odd[x]).astype(np.int64), differ * (ny + nx) + 1e-9
-        if len(both := np.flatnonzero(ok & (apart <= most) & (ny > _LONG) & (nx > _LONG))):
-            apart[both] = np.bitwise_count(wide[later[both]] ^ wide[x[both]]).sum(1)
-        ok &= apart <= most
+    later = later[np.argsort(start[later] - later, kind="stable")]  # those with the most lines before them first
+    found, c = [], 0
+    listed, sure, more, done = np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.zeros(len(p), bool), np.zeros(len(p), bool)
+    own = (start[later], later - start[later], odd[later], loose[later])
+    while m := int(np.searchsorted(-own[1], -c)):  # lines with more than c before them
+        x = own[0][:m] + c
+        near = np.flatnonzero(np.bitwise_count(own[2][:m] ^ odd[x]) <= own[3][:m] + loose[x])
+        y, x = later[near], x[near]
+        if wanted is None and done.any():
+            open_ = ~done[y]
+            y, x = y[open_], x[open_]
+        both, most = n[y] + n[x], differ * (n[y] + n[x]) + 1e-9
+        apart = np.maximum(np.bitwise_count(odd[y] ^ odd[x]), np.bitwise_count(fold[y] ^ fold[x])).astype(np.int64)
+        long = np.flatnonzero((n[y] > _LONG) & (n[x] > _LONG))
+        apart[long] = np.maximum(apart[long], np.bitwise_count(wide[y[long]] ^ wide[x[long]]).sum(1))
+        ok = (apart <= most) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9) & (np.minimum(rest[y], rest[x]) >= need * both - 1e-9)
         if wanted is None:
-            full = ok & (sure[later] | (listed[later] >= LISTED))
-            more[later[full]] = True
+            full = ok & (sure[y] | (listed[y] >= most_listed))
+            more[y[full]] = done[y[full]] = True
             ok &= ~full
-            listed[later[ok]] += 1
-            sure[later[ok & (apart <= 0.6 * most)]] = True
-        found.append((later[ok], x[ok]))
-        if wanted is None:
-            later = later[~full]
+            listed[y[ok]] += 1
+            sure[y[ok & (apart <= SURE * most)]] = True
+        found.append((y[ok], x[ok]))
         c += 1
+        if c % 16 == 0 and wanted is None:
+            left = ~done[later]
+            later, own = later[left], tuple(o[left] for o in own)
     y = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
     x = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
     return p, equal, y, x, more[y]
@@ -261,7 +276,7 @@ def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None):
 _MEET = "kind int, doc long, pos long, other_doc long, other_pos long, word long, more boolean"
 
 
-def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None) -> DataFrame:
+def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None, listed: int = LISTED) -> DataFrame:
     """kind 1: a line that equals an earlier one; 2: a candidate pair (line, earlier line), the word they met at, and
     whether the line has more candidates for it."""
 
@@ -282,7 +297,7 @@ def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None) ->
                     packs.setdefault(part, []).append(packed)
         for part in list(packs):
             joined = np.concatenate([_unpack(x, _POSTING, unpacker) for x in packs.pop(part)])
-            p, equal, y, x, more = _candidates(joined, threshold, None if wanted is None else wanted.value)
+            p, equal, y, x, more = _candidates(joined, threshold, None if wanted is None else wanted.value, listed)
             if len(equal):
                 yield gone(equal)
             for a in range(0, len(y), 100_000):
@@ -298,7 +313,7 @@ def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch, 2 << 20):
+            for b in _slices(batch):
                 docs, ties, split = b.column(0).to_numpy(), b.column(1).to_numpy(), [(t.as_py() or "").split("\n") for t in b.column(2)]
                 n = np.array([len(x) for x in split], np.int64)
                 doc, tie = np.repeat(docs, n), np.repeat(ties, n)
@@ -333,13 +348,51 @@ def _ids(lines: DataFrame) -> DataFrame:
     return lines.select("doc", "pos").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(_line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["id"]) for b in bs), "id long")
 
 
-def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5) -> DataFrame:
+def _few_matches(rows: DataFrame, asked: list[tuple[int, int, str]], counts: np.ndarray, threshold: float) -> DataFrame:
+    """doc, pos of those of a few lines that match an earlier line. A match has at least t n of a line's n words, so it
+    has one of any n - ceil(t n) + 1 of them; the rarest are looked for in all texts."""
+    by_word: dict[int, list[int]] = {}
+    for k, (_, _, line) in enumerate(asked):
+        h = np.unique(_hashed(pa.array([line]))[0])
+        rare = h[np.argsort(counts[(h & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")]
+        for x in rare[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1].tolist():
+            by_word.setdefault(x, []).append(k)
+    seen = np.zeros(1 << 20, bool)
+    seen[[x & 0xFFFFF for x in by_word]] = True
+    shared = rows.sparkSession.sparkContext.broadcast(([(d, p, _words(t)) for d, p, t in asked], by_word, seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, words, flags = shared.value
+        for batch in batches:
+            hit: set[int] = set()
+            for b in _slices(batch):
+                h, line, owner, number = _hashed(b.column(2))
+                docs, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
+                split: dict[int, list[str]] = {}
+                for at in np.flatnonzero(flags[(h & np.uint64(0xFFFFF)).astype(np.int64)]):
+                    for k in words.get(int(h[at]), ()):
+                        o, j = int(owner[line[at]]), int(number[line[at]])
+                        doc, pos, mine = lines[k]
+                        if k in hit or (int(docs[o]), (int(ties[o]) & 0x7FFFFFFF) << 32 | j) >= (doc, pos):
+                            continue
+                        if o not in split:
+                            split[o] = b.column(2)[o].as_py().split("\n")
+                        other = _words(split[o][j])
+                        both = len(mine & other)
+                        if both >= threshold * (len(mine) + len(other) - both) - 1e-9:
+                            hit.add(k)
+            yield pa.RecordBatch.from_arrays([pa.array([lines[k][0] for k in hit], pa.int64()), pa.array([lines[k][1] for k in hit], pa.int64())], names=["doc", "pos"])
+
+    return rows.select("doc", "tie", "text").mapInArrow(run, "doc long, pos long").distinct()
+
+
+def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5, listed: int = LISTED, few_lines: int = FEW_LINES) -> DataFrame:
     """doc, pos of each line to remove, from rows (doc, tie, text)."""
     spark = rows.sparkSession
     parts = 4 * width(spark)
     counts = word_counts(rows)
     deal = lambda p: p.repartition(parts // 4, "part").select("part", "kind", "packed")
-    met = materialize(meet(deal(postings(rows, counts, threshold, least_words, parts)), threshold), "line-candidates")
+    met = materialize(meet(deal(postings(rows, counts, threshold, least_words, parts)), threshold, None, listed), "line-candidates")
     release(spark)
     other = F.struct("other_doc", "other_pos")
     per = met.groupBy("doc", "pos").agg(F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 2, other)).alias("x"), F.bool_or("more").alias("more"))
@@ -355,7 +408,14 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5)
     release(spark)
     out = per.filter("kind = 1").select("doc", "pos").union(hit)
     left = materialize(failed.filter("more").select("doc", "pos").join(hit, ["doc", "pos"], "left_anti"), "lines-left")
-    if left.limit(1).count():
+    open_ = left.agg(F.count("*").alias("n")).first()["n"]
+    few = left.join(texts, ["doc", "pos"]).dropDuplicates(["doc", "pos"]) if 0 < open_ <= few_lines else None
+    if few is not None and few.agg(F.sum(F.octet_length("line"))).first()[0] <= FEW_BYTES:
+        asked = [(r["doc"], r["pos"], r["line"]) for r in few.collect()]
+        out = out.union(materialize(_few_matches(rows, asked, counts.value, threshold), "line-matches"))
+        open_ = 0
+    discard(texts)
+    if open_:
         lines = bitmap(_ids(left))
 
         def of_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,19 +429,37 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5)
         release(spark)
         texts = materialize(_line_texts(rows, pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos"))), "line-texts")
         out = out.union(materialize(_verified(pairs, texts, threshold), "line-matches"))
+        discard(texts)
         release(spark)
+    discard(met)
     return out
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, least_words: int = 5, listed: int = LISTED, few_lines: int = FEW_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the input, the text without its removed lines, and n_lines, n_removed."""
     key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF)
     rows = docs.select(key.alias("doc"), tie.alias("tie"), F.col(text_col).cast("string").alias("text"))
-    gone = removed_lines(rows, threshold, least_words)
+    gone = removed_lines(rows, threshold, least_words, listed, few_lines)
     gone = gone.groupBy(F.col("doc").alias("__doc"), F.shiftright("pos", 32).alias("__tie")).agg(F.collect_set((F.col("pos").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("__gone"))
     whole = docs.withColumns({"__d": key, "__t": tie}).join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__tie")), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     kept_lines = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(kept_lines)
-    n = F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("long")
+    n = F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return whole.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: text}).select(*docs.columns, "n_lines", "n_removed")
+
+
+#: The same rows by a prefix filter alone. Ids are taken to be distinct.
+ORACLE_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+t AS MATERIALIZED (SELECT doc_id, k, list_filter(list_distinct(string_split_regex(lower(line), '[\\x00-\\x20]+')), lambda x: x <> '') AS w FROM l),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, k) AS ln, doc_id, k, w, len(w) AS n FROM t WHERE len(w) >= 5),
+u AS (SELECT ln, n, unnest(w) AS x FROM o),
+f AS (SELECT x, count(*) AS df FROM u GROUP BY x),
+p AS MATERIALIZED (SELECT ln, n, x FROM (SELECT ln, n, x, row_number() OVER (PARTITION BY ln ORDER BY df, x) AS r FROM u JOIN f USING (x)) WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.ln AS later, b.ln AS earlier FROM p a JOIN p b ON a.x = b.x AND b.ln < a.ln AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+h AS (SELECT DISTINCT later FROM (SELECT later, len(list_intersect(a.w, b.w)) AS m, a.n + b.n AS n FROM c JOIN o a ON a.ln = later JOIN o b ON b.ln = earlier) WHERE m >= 0.8 * (n - m) - 1e-9),
+g AS (SELECT doc_id, k FROM o JOIN h ON ln = later),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM l ANTI JOIN g USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::BIGINT AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN kept USING (doc_id)
+"""

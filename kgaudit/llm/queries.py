@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL}
+    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

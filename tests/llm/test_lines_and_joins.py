@@ -38,12 +38,12 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_lines_against_plain_search(spark, seed):
+@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"listed": 1}), (3, {"listed": 1, "few_lines": 0}), (2, {"listed": 1, "few_lines": 3})])
+def test_lines_against_plain_search(spark, seed, how):
     rows = corpus(seed)
     gone = plain_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup(df, **how).collect()}
     for i, text in rows:
         want = "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
         assert (got[i]["text"], got[i]["n_removed"]) == (want, sum(g[0] == i for g in gone))
@@ -55,7 +55,7 @@ def test_a_line_with_many_false_candidates_still_finds_its_match(spark):
     rows = [(k, " ".join(base[:16] + [f"y{k}{j}" for j in range(4)])) for k in range(20)]
     rows += [(50, " ".join([*base[:18], "z1", "z2"])), (60, " ".join([*base[:18], "z1", "z3"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"] for r in line_dedup.dedup(df).filter("n_removed > 0").collect()}
+    got = {r["doc_id"] for r in line_dedup.dedup(df, listed=1).filter("n_removed > 0").collect()}
     assert got == {i for i, _ in plain_lines(rows)}
 
 

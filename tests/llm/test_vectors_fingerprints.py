@@ -97,6 +97,14 @@ def test_fingerprint_edge_cases(spark):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b a").hexdigest()
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    a = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    b = a[: len(a) // 2] + " ".join(f"v{k}" for k in range(30_000))
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprints(spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")).collect()}
+    assert abs(got[2] - like(a, b)) < 1e-9 and abs(got[1] - like(a, b)) < 1e-9
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = fingerprints.fingerprints(spark.read.schema(df.schema).parquet("file:///root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
