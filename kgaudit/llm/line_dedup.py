@@ -77,16 +77,16 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
     ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
     up, down = _powers(len(raw))
-    sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
+    sums = np.cumsum(raw * up, dtype=np.uint64)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     h = mix(mix((sums[ends - 1] - before) * down[starts]) + (ends - starts).astype(np.uint64))
-    text_end = raw == 0
-    line_end = text_end | (raw == 10)
-    text = np.cumsum(text_end, dtype=np.int32)[starts]
+    line_end = (raw == 10) | (raw == 0)
     line = np.cumsum(line_end, dtype=np.int32)[starts]  # lines of all texts, numbered on
-    first_line = np.r_[0, np.cumsum(line_end, dtype=np.int32)[np.flatnonzero(text_end)][:-1]]
+    text_end = raw[np.flatnonzero(line_end)] == 0  # of each line: whether it is its text's last
+    text_of = np.cumsum(text_end) - text_end
+    first_line = np.r_[0, np.flatnonzero(text_end)[:-1] + 1]
     new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
-    owner = text[new].astype(np.int64)
+    owner = text_of[line[new]]
     return h, np.cumsum(new) - 1, owner, line[new] - first_line[owner]
 
 
@@ -389,9 +389,9 @@ def _few_matches(rows: DataFrame, asked: list[tuple[int, int, str]], counts: np.
 def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5, listed: int = LISTED, few_lines: int = FEW_LINES) -> DataFrame:
     """doc, pos of each line to remove, from rows (doc, tie, text)."""
     spark = rows.sparkSession
-    parts = 4 * width(spark)
+    parts = 2 * width(spark)
     counts = word_counts(rows)
-    deal = lambda p: p.repartition(parts // 4, "part").select("part", "kind", "packed")
+    deal = lambda p: p.repartition(parts // 2, "part").select("part", "kind", "packed")
     met = materialize(meet(deal(postings(rows, counts, threshold, least_words, parts)), threshold, None, listed), "line-candidates")
     release(spark)
     other = F.struct("other_doc", "other_pos")
