@@ -155,7 +155,8 @@ def compare(rows: DataFrame, threshold: float, n: int) -> DataFrame:
 
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, copy_id (least id with an equal n-gram set), class_id (least id in its component of links), n_links
-    (other documents at the threshold or above), text_key (hash of the text, tells rows of one id apart)."""
+    (other documents at the threshold or above), text_key (hash of the text, tells rows of one id apart), component (its
+    least set; tells classes apart whose class_id is equal or null, and holds for this result only)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     bands, per = bands_for(threshold, recall)
@@ -194,16 +195,17 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     tied = components(found.filter("sid <> root").select(F.col("sid").alias("src"), F.col("root").alias("dst")))
     named = sets.select("k1", "k2", "sid", "copies", "copy_id").join(links, "sid", "left").join(tied, F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "component").select("k1", "k2", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "text_key", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "copy_id", "class_id", "n_links", "text_key")
+    named = named.join(least, "component").select("k1", "k2", "copy_id", "class_id", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "text_key", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "copy_id", "class_id", "n_links", "text_key", "component")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each class, with all its columns: that with the least id, and of rows with this id the one with
-    the least text hash. Rows alike in id and text are one document."""
+    """One document of each component, with all its columns: that with the least id (null after all others), and of rows
+    with this id the one with the least text hash. Rows alike in id and text are one document."""
     found = join(docs, id_col=id_col, text_col=text_col, **kw)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("__key")).withColumnRenamed("class_id", "__id")
+    first = found.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("least"))
+    keep = first.select(F.col("least.doc_id").alias("__id"), F.col("least.text_key").alias("__key"))
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text)})
     kept = keyed.join(keep, keyed["__id"].eqNullSafe(keep["__id"]) & (keyed["__key"] == keep["__key"]), "left_semi")
     return kept.drop("__id", "__key")

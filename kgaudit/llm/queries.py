@@ -16,7 +16,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents")).drop("text_key")
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("text_key", "component")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

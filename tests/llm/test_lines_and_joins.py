@@ -129,6 +129,13 @@ def test_join_edge_cases(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_unrelated_documents_of_one_id_or_none_survive(spark):
+    rows = [(None, "one two three"), (None, "four five six"), (None, "Four, five six"), (8, "a b c d"), (8, "e f g h"), (None, "a b c d"), (9, "k l m n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.survivors(df).collect()]
+    assert len(kept) == 5 and {(None, "one two three"), (8, "a b c d"), (8, "e f g h"), (9, "k l m n")} < set(kept)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 144 and rows > 1
