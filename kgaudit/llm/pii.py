@@ -115,9 +115,16 @@ _DOT = rf"(?:[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}(?:dot|\.)[ \t]{{0,3}}{_SHUT}[ \t]{{
 _HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I | re.A)
 _EACH_DOT = re.compile(_DOT, re.I | re.A)
 _DOT_BEFORE = re.compile(rf"(?:[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}dot[ \t]{{0,3}}{_SHUT}[ \t]{{0,3}}|[ \t]{{1,3}}dot[ \t]{{1,3}})$", re.I | re.A)
+_LABEL = re.compile(r"[A-Za-z][A-Za-z-]+", re.A)
+#: Digit groups parted by dots of any form, four or more of them.
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]++(?:{_DOT}[0-9]++){{3,}}", re.I | re.A)
+_ANY_DOT = re.compile(rf"[0-9][ \t]{{0,3}}(?:{_OPEN}[ \t]{{0,3}}(?:dot|\.)|dot)", re.I | re.A)
+#: Words before "at" that prose has before a plain host: no local part of an address.
+_PROSE = frozenset("us me him her them it you we i he she they is are was were be been am and or not now here there more out up look looked looking found find available hosted online live site website page visit view read see buy sold posted published located contact join order shop".split())
 _WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_WORDS) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \t-]{{1,3}}|\+[ \t]{{0,2}})?\(?(?:{_WORD}(?![A-Za-z])|[0-9])(?:[ \t().,-]{{0,3}}(?:(?:dot|point)[ \t]{{1,3}})?(?:{_WORD}(?![A-Za-z])|[0-9])){{6,}}\)?", re.I | re.A)
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \t-]{{1,3}}|\+[ \t]{{0,2}})?\(?(?:{_WORD}(?![A-Za-z])|[0-9])(?:[ \t().,-]{{0,3}}(?:(?:dot|point)[ \t]{{1,3}})?(?:{_WORD}(?![A-Za-z])|[0-9])){{3,}}\)?", re.I | re.A)
+_DIGIT = re.compile(rf"{_WORD}|[0-9]", re.I | re.A)
 _SPELLED_PART = re.compile(rf"plus|dot|point|{_WORD}|[ \t,]+", re.I | re.A)
 _TWO_WORDS = re.compile(rf"{_WORD}[ \t().,-]{{1,3}}(?:(?:dot|point)[ \t]{{1,3}})?(?:{_WORD}|[0-9])|[0-9][ \t().,-]{{1,3}}{_WORD}", re.I | re.A)
 
@@ -131,11 +138,21 @@ def _parted(low: str) -> list[str]:
     return low.split()
 
 
+def _addressed(before: str, labels: list[str], spelled: int) -> bool:
+    """Whether a bare "at" stands in an address: the host's last label is known or, after two spelled dots, a word. With
+    plain dots only, the word before must not be one of prose, nor the host a web site's."""
+    if spelled > 1:
+        return bool(_LABEL.fullmatch(labels[-1])) and {"at", "dot"}.isdisjoint(labels)
+    if labels[-1] not in _LAST_LABELS:
+        return False
+    return spelled > 0 or labels[0] != "www" and re.split(r"\s", before)[-1].lower() not in _PROSE
+
+
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """Parts of a text to be replaced: (start, end, by), ordered and apart."""
     out: list[tuple[int, int, str]] = [(i, i + 1, "") for c in _HIDDEN if c in text for i in (m.start() for m in re.finditer(c, text))]
     low = text.lower() if text.isascii() else text.casefold()
-    if "dot" in low or "@" in text or re.search(rf"{_OPEN}\s*at\s*{_SHUT}", low):
+    if "dot" in low or "@" in text or re.search(rf"{_OPEN}\s*at\s*{_SHUT}|\sat[ \t]{{1,3}}[a-z0-9-]++\.[a-z0-9]", low, re.A):
         for m in _AT.finditer(text):
             p, q = m.span()
             bare = m[0].strip().lower() == "at"
@@ -143,7 +160,7 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
                 continue
             dots = [d for d in _EACH_DOT.finditer(text, q, host.end())]
             plain = all(d[0] == "." for d in dots)
-            if bare and (plain or re.split(r"[^A-Za-z0-9]", host[0].lower())[-1] not in _LAST_LABELS):
+            if bare and not _addressed(text[max(0, p - 64) : p], _EACH_DOT.split(host[0].lower()), sum(d[0] != "." for d in dots)):
                 continue
             if m[0] == "@" and plain or m[0] != "@" and m[0].strip() == "@" and plain and "\t" not in m[0] and m[0].count(" ") > 2:
                 continue
@@ -161,11 +178,16 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
                     break
                 out.append((start, s, "."))
                 s = start
+    if ("dot" in low or "." in text) and _ANY_DOT.search(text):
+        for m in _DOTTED.finditer(text):
+            out += [(d.start(), d.end(), ".") for d in _EACH_DOT.finditer(text, *m.span()) if d[0] != "."]
     if not _DIGIT_WORDS.isdisjoint(_parted(low)) and _TWO_WORDS.search(text):
         for m in _SPELLED.finditer(text):
             if not re.search(_WORD, m[0], re.I):
                 continue
-            dotted = re.search(r"dot|point", m[0], re.I)
+            dotted = len(re.findall(r"dot|point", m[0], re.I))
+            if dotted < 3 and len(_DIGIT.findall(m[0])) < 7:
+                continue
             for w in _SPELLED_PART.finditer(text, *m.span()):
                 k = w[0].lower()
                 if k in _WORDS:
@@ -218,15 +240,15 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and the spans that normalising adds. A found span inside a base span of its kind adds nothing."""
     if not text:
         return [], []
-    base, added = find_base(text), []
+    base, added = find_base(text), {}
     if made := normalise(text):
         normal, pieces = made
         starts = [p[0] for p in pieces]
         for kind, a, b in find_base(normal):
             s, e = _back(pieces, starts, a, b)
-            if not any(k == kind and bs <= s and e <= be for k, bs, be in base) and (kind, s, e) not in added:
-                added.append((kind, s, e))
-    return base, added
+            if not any(k == kind and bs <= s and e <= be for k, bs, be in base):
+                added[kind, s, e] = None
+    return base, list(added)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

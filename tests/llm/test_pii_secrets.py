@@ -47,6 +47,30 @@ def test_disguises(text, kind, found):
     assert base == [] and [(k, text[s:e]) for k, s, e in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    ("x 192[.]168[.]1[.]10 y", "ip", "192[.]168[.]1[.]10"),
+    ("x 192(dot)168.1 [dot] 10 y", "ip", "192(dot)168.1 [dot] 10"),
+    ("x 192 dot 168 dot 1 dot 1 y", "ip", "192 dot 168 dot 1 dot 1"),
+    ("ip one two seven dot zero dot zero dot one", "ip", "one two seven dot zero dot zero dot one"),
+    ("ip eight dot eight dot eight dot eight.", "ip", "eight dot eight dot eight dot eight"),
+    ("mail jane at example.com now", "email", "jane at example.com"),
+    ("mail jane at mail dot example dot xyz", "email", "jane at mail dot example dot xyz"),
+])
+def test_disguised_dots_and_bare_at(text, kind, found):
+    base, added = pii.find(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in added] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["seen at 83.185.173.124x", "visit us at www.example.com", "find us at example.com", "tish at hain.aenc", "be at gdtf.72", "noon at dot dot dot dot", "300 dot 1 dot 1 dot 1", "one dot two dot three"])
+def test_prose_with_at_and_dots_adds_nothing(text):
+    assert pii.find(text)[1] == []
+
+
+@pytest.mark.parametrize("text", ["1[.]" * 75_000, "1 dot " * 50_000, "eight dot " * 30_000, "a at b.c " * 30_000])
+def test_disguised_dots_take_linear_time(text):
+    pii.find(text)
+
+
 @pytest.mark.parametrize("text", ["look at the dot. meet me at noon dot dot dot", "one two three four", "We stayed at home. com", "café – naïve – 12–14", "", None, "at dot", "Ещё один текст"])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
