@@ -26,9 +26,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kgaudit.llm.memory import Recent, lean
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct pieces whose encoding a worker keeps; beyond, it starts anew. Bounds memory and changes no result.
-KEPT_PIECES = 400_000
+#: What a task keeps, in entries: encodings of pieces (of at most LONGEST_KEPT signs) and verdicts on pairs of tokens.
+#: Bounds memory and changes no result.
+KEPT_PIECES, LONGEST_KEPT, KEPT_PAIRS = 100_000, 64, 200_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _ASCII = r"\t-\r "
@@ -69,14 +72,14 @@ class Bpe:
         self.ids = np.array([vocab[n] for n in names], "<u4")
         self.sizes = [len(n) for n in names]
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.matcher = ahocorasick.Automaton()
         for n, r in rank.items():
             self.matcher.add_word(n, r)
         self.matcher.make_automaton()
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.at_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(self._ids_of, KEPT_PIECES)
         # decoding: bytes of id i are blob[offsets[i]:offsets[i + 1]]
         back = {s: b for b, s in enumerate(signs)}
         by_id = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
@@ -96,8 +99,10 @@ class Bpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank keeps the border between the two tokens."""
-        key = (left, right)
+        key = left * len(self.names) + right
         if (known := self.fits.get(key)) is None:
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits.clear()
             known = self.fits[key] = self._keeps_border(left, right)
         return known
 
@@ -147,13 +152,9 @@ class Bpe:
                 token = out.pop()
                 at -= size[token]
 
-    def _new(self, piece: str) -> bytes:
+    def _ids_of(self, piece: str) -> bytes:
         signs = self.signs
-        if len(self.known) >= KEPT_PIECES:
-            self.known.clear()
-        made = self.ids[self.encode_signs("".join([signs[b] for b in piece.encode()]))].tobytes()
-        self.known[piece] = made
-        return made
+        return self.ids[self.encode_signs("".join([signs[b] for b in piece.encode()]))].tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.at_added.split(text) if self.at_added and any(t in text for t in self.added) else (text,)
@@ -162,8 +163,8 @@ class Bpe:
             if k % 2:
                 out.append(np.uint32(self.added[part]).astype("<u4").tobytes())
                 continue
-            known, new = self.known.get, self._new
-            out += [known(p) or new(p) for p in (_ASCII_PIECE if part.isascii() else _PIECE).findall(part)]
+            known, new = self.known, self._ids_of
+            out += [known[p] if len(p) <= LONGEST_KEPT else new(p) for p in (_ASCII_PIECE if part.isascii() else _PIECE).findall(part)]
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -174,16 +175,6 @@ class Bpe:
         return self.blob[at].tobytes().decode("utf-8", errors="replace")
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
-def load(path: str) -> Bpe:
-    """The vocabulary of a path, built once in each worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -195,12 +186,12 @@ def tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = Bpe(path)  # in each task: it takes a fraction of a second, and nothing stays in the worker
         for batch in batches:
             ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, ids array<long>, decoded string")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, ids array<long>, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +199,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = Bpe(path)  # in each task: it takes a fraction of a second, and nothing stays in the worker
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1):
@@ -218,4 +209,4 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), SCHEMA)

@@ -1,38 +1,46 @@
 """Near-duplicate lines by an exact set-similarity join; of two that match, the later one goes.
 
-A line is the set of its words (cut at white space, in lower case). Two lines match if their Jaccard
-similarity is at least the threshold. A line is removed if any earlier line of the corpus matches it, removed itself or
-not; earlier means a smaller document id, then a smaller place in the document. Lines of fewer than `least_words`
-distinct words stay: they say too little to be a copy of something.
+A line is the set of its words (cut at white space, in lower case). Two lines match if their Jaccard similarity is at
+least the threshold. A line with words is removed if any earlier line of the corpus matches it, removed itself or not;
+earlier means a smaller document id, then a smaller place in the document.
 
 1. Words are counted over the whole corpus in a table of fixed size. Rarity and hash together order all words.
 2. Each line gives postings for its prefix: the n - ceil(t n) + 1 rarest words. Lines that match share one of them.
-   Postings travel as packed blocks, dealt by word. Lines alike in one batch send one posting.
-3. Where the postings of a word meet, equal sets are settled at once. For the others the length filter, the
-   positional filter and a bound on the words that differ (by parities of hash bits) leave candidates; the
-   earliest go on, up to one that is hardly wrong or to LISTED of them, and a sign if there are more.
-4. Candidates are verified on the lines' full sets: first the earliest of each line, then, where it failed, the others.
-   Lines for which all failed and that have more are looked for in all texts, or, if they are many, go through steps 2
-   to 4 again, now with all of their candidates. So the result is exact, and a group of many near
-   copies isn't spelt out in pairs.
+   (A line so short that only an equal set can match it has one posting, for the set.) Postings travel as packed blocks,
+   dealt by word. Of the lines of one block that have the same words, the earliest sends postings; words are compared.
+3. Where the postings of a word meet, a line whose signature equals that of an earlier one becomes a pair with the last
+   such line before it. For the others the length filter, the positional filter and a bound on the words that differ
+   (by parities of hash bits) leave candidates; the earliest go on, up to one that is hardly wrong or to LISTED of them,
+   and a sign if there are more.
+4. All pairs are verified on the lines' words: first the pairs of like signatures and the earliest candidate of each
+   line, then, where it failed, its other candidates. Lines for which all failed and that have more are looked for in
+   all texts, or, if they are many, go through steps 2 to 4 again, now with all of their candidates. If two lines of
+   like signatures turn out to differ, everything is done again without signatures. So no line is removed without a
+   match, none that has one is kept, and a group of many near copies isn't spelt out in pairs. (Words are told apart by
+   64 bits in the filters: two words of one line with equal hashes could hide a match, never make one.)
+
+The joins that fetch the words of lines are plain shuffles of a line's key, so Spark splits the key of a line that many
+others are compared with.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; a text whose lines all go becomes
-empty. A null id comes after all others. Rows of one id are ordered by a hash of their texts; rows alike in both lose
-the same lines. No rows give no rows. Further columns are passed on.
+empty; lines without words stay. U+0000 is white space. A null id comes after all others. Rows of one id are ordered by
+a hash of their texts; rows alike in both count as one document and lose the same lines. No rows give no rows. Further
+columns are passed on; `n_lines` and `n_removed` of the input give way to those of the result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgaudit.llm.memory import lean, slices
 from kgaudit.llm.shingles import bitmap, hits, mix
 from kgaudit.session import discard, materialize, release, width
 
@@ -50,7 +58,10 @@ LISTED = 64
 #: over the texts, with these lines broadcast. More of them take the way of all lines.
 FEW_LINES, FEW_BYTES = 2000, 4 << 20
 SURE = 0.4
+#: Bytes of text that are hashed at once, that are sorted at once, and that share a block of postings.
+_HASHED, _SORTED, _BLOCK = 1 << 18, 1 << 20, 1 << 22
 _LINE = np.dtype([("doc", "<i8"), ("pos", "<i8")])
+_GAP = re.compile("[\\x00-\\x20]+")
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -60,49 +71,50 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo two to the 64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, _HASHED)
         inverse = pow(_BASE, -1, 1 << 64)
         _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, inverse)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A word's hash is a difference of running sums of bytes times powers, moved back to the start; the sums run over
+    chunks of whole words."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        base = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + _HASHED, "right")))
+        part = raw[base : ends[b - 1]]
+        up, down = _powers(len(part))
+        sums = np.cumsum(part * up, dtype=np.uint64)
+        s, e = starts[a:b] - base, ends[a:b] - base
+        before = np.where(s > 0, sums[s - 1], np.uint64(0))
+        out[a:b] = mix(mix((sums[e - 1] - before) * down[s]) + (e - s).astype(np.uint64))
+        a = b
+    return out
+
+
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a batch of texts, the line of each, and each line's text and number; lines without words are left
-    out. Words are found and hashed on the bytes of all texts at once: a word's hash is a difference of running sums of
-    bytes times powers, moved back to the start."""
-    low = [(t.as_py() or "").lower() for t in texts]
-    data = "\0".join(low).encode()
-    raw = np.frombuffer(data + b"\0", np.uint8)
+    out. Words are found and hashed on the bytes of all texts at once; texts are told apart by where they begin."""
+    low = [(t.as_py() or "").lower().encode() for t in texts]
+    raw = np.frombuffer(b"\n".join([*low, b""]), np.uint8)
+    begin = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
     gap = raw <= 32
-    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
-    ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
-    up, down = _powers(len(raw))
-    sums = np.cumsum(raw * up, dtype=np.uint64)
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    h = mix(mix((sums[ends - 1] - before) * down[starts]) + (ends - starts).astype(np.uint64))
-    line_end = (raw == 10) | (raw == 0)
-    line = np.cumsum(line_end, dtype=np.int32)[starts]  # lines of all texts, numbered on
-    text_end = raw[np.flatnonzero(line_end)] == 0  # of each line: whether it is its text's last
-    text_of = np.cumsum(text_end) - text_end
-    first_line = np.r_[0, np.flatnonzero(text_end)[:-1] + 1]
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]]) if len(raw) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]]) if len(raw) else starts
+    line_ends = np.cumsum(raw == 10, dtype=np.int64)
+    first_line = np.r_[0, line_ends[begin[1:] - 1]] if len(low) else starts
+    line = line_ends[starts]  # lines of all texts, numbered on
     new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
-    owner = text_of[line[new]]
-    return h, np.cumsum(new) - 1, owner, line[new] - first_line[owner]
+    owner = np.searchsorted(first_line, line[new], "right") - 1
+    return _word_hashes(raw, starts, ends), np.cumsum(new) - 1, owner, line[new] - first_line[owner]
 
 
 def _words(line: str) -> set[str]:
     """The words of one line, as _hashed cuts them: at bytes up to the space."""
-    return set("".join(" " if c <= " " else c for c in line.lower()).split(" ")) - {""}
-
-
-def _slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes of text, so that arrays stay small whatever the batch."""
-    size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy().astype(np.int64)
-    part = np.cumsum(size) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
+    return set(_GAP.split(line.lower())) - {""}
 
 
 def word_counts(rows: DataFrame) -> Broadcast:
@@ -113,9 +125,9 @@ def word_counts(rows: DataFrame) -> Broadcast:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for b in _slices(batch):
+            for b in slices(batch, _SORTED):
                 h, *_ = _hashed(b.column(b.num_columns - 1))
-                total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(total, (h & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
         pack = zstandard.ZstdCompressor(1)
         at = [k for k in range(CELLS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pack.compress(total[k * _CHUNK : (k + 1) * _CHUNK].tobytes()) for k in at], pa.binary())], names=["chunk", "counts"])
@@ -129,7 +141,7 @@ def word_counts(rows: DataFrame) -> Broadcast:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, _TOP).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     out = np.zeros(CELLS, np.uint32)
-    for r in rows.select("text").mapInArrow(count, "chunk int, counts binary").repartition(CELLS // _CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
+    for r in rows.select("text").mapInArrow(lean(count), "chunk int, counts binary").repartition(CELLS // _CHUNK, "chunk").mapInArrow(lean(add), "chunk int, counts binary").collect():
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["counts"]), np.uint32)
     return spark.sparkContext.broadcast(out)
 
@@ -139,38 +151,91 @@ def _line_ids(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.uint64)) + pos.astype(np.uint64)).astype(np.int64)
 
 
-def _sets(b: pa.RecordBatch, counts: np.ndarray, least_words: int, only: np.ndarray | None = None):
-    """For the lines of a batch (doc, tie, text) that take part: word order numbers sorted within each line, the line
-    of each, and the lines' doc, pos, size, set hash, and parities: bit b tells whether an odd number of its words hash
-    to b."""
-    h, line, owner, number = _hashed(b.column(2))
-    rarity = counts[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-    word = (rarity << np.uint64(44)) | (h >> np.uint64(20))
-    if only is not None:  # lines without any of the asked words are left out early
-        some = np.zeros(len(owner), bool)
-        some[line[hits(only, word.astype(np.int64))]] = True
-        word, line = word[some[line]], line[some[line]]
-    order = np.argsort(word)
-    by_line = line[order]
-    order = order[np.argsort(by_line.astype(np.uint16) if len(owner) < 1 << 16 else by_line, kind="stable")]
-    word, line = word[order], line[order]
-    first = np.r_[True, (word[1:] != word[:-1]) | (line[1:] != line[:-1])] if len(word) else np.zeros(0, bool)
-    word, line = word[first], line[first]
-    n = np.bincount(line, minlength=len(owner))
-    doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
-    pos = ((tie[owner] & 0x7FFFFFFF) << 32) | number if len(owner) else np.zeros(0, np.int64)
-    keys, odd, wide = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64), np.zeros((len(owner), 4), np.uint64)
-    if len(word):
-        starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-        mixed = mix(word)
-        keys[line[starts]] = np.add.reduceat(mixed, starts)
-        odd[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
-        m = mixed >> np.uint64(16)
-        bit, limb = np.uint64(1) << (m & np.uint64(63)), np.where((n > _LONG)[line], (m >> np.uint64(6)) & np.uint64(3), np.uint64(0))
-        for k in range(4):
-            wide[line[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
-    good = n >= least_words
-    return word, line, (doc[owner] if len(owner) else doc[:0]), pos, n, keys, odd, wide, good
+def _batch_ids(b: pa.RecordBatch) -> np.ndarray:
+    return _line_ids(b.column(0).to_numpy(), b.column(1).to_numpy())
+
+
+class _Lines:
+    """The lines of a batch (doc, tie, text) that have words: word order numbers sorted within each line, the line of
+    each, and of the lines document, place, text and number in it, size, hash of the set, and parities: bit b tells
+    whether an odd number of its words hash to b."""
+
+    def __init__(self, b: pa.RecordBatch, counts: np.ndarray, only: np.ndarray | None = None) -> None:
+        h, line, owner, number = _hashed(b.column(2))
+        word = (counts[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+        if only is not None:  # lines without any of the asked words are left out early
+            some = np.zeros(len(owner), bool)
+            some[line[hits(only, word.astype(np.int64))]] = True
+            word, h, line = word[some[line]], h[some[line]], line[some[line]]
+        order = np.argsort(word)
+        by_line = line[order]
+        order = order[np.argsort(by_line.astype(np.uint16) if len(owner) < 1 << 16 else by_line, kind="stable")]
+        same = (word[order][1:] == word[order][:-1]) & (line[order][1:] == line[order][:-1])
+        if (same & (h[order][1:] != h[order][:-1])).any():  # words that share an order number: their hashes decide
+            order = np.lexsort((h, word, line))
+            same = (h[order][1:] == h[order][:-1]) & (line[order][1:] == line[order][:-1])
+        first = np.r_[True, ~same] if len(word) else np.zeros(0, bool)
+        word, h, line = word[order][first], h[order][first], line[order][first]
+        self.word, self.line, self.owner, self.number = word, line, owner, number
+        self.n = n = np.bincount(line, minlength=len(owner))
+        doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
+        self.doc = doc[owner] if len(owner) else doc[:0]
+        self.pos = ((tie[owner] & 0x7FFFFFFF) << 32) | number if len(owner) else np.zeros(0, np.int64)
+        self.set, self.odd, self.wide = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64), np.zeros((len(owner), 4), np.uint64)
+        if len(word):
+            starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            mixed = mix(h)
+            self.set[line[starts]] = np.add.reduceat(mixed, starts)
+            self.odd[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
+            m = mixed >> np.uint64(16)
+            bit, limb = np.uint64(1) << (m & np.uint64(63)), np.where((n > _LONG)[line], (m >> np.uint64(6)) & np.uint64(3), np.uint64(0))
+            for k in range(4):
+                self.wide[line[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
+
+    def postings(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """A posting for each prefix word, and the line of each. Lines of so few words that no set of another size can
+        match, nor another of the same size, meet by their set."""
+        n = self.n
+        start = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=start[1:])
+        i = np.arange(len(self.word)) - start[self.line]
+        lone = n / (n + 1) < threshold - 1e-9
+        prefix = np.where(lone, 1, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)
+        own = i < prefix[self.line]
+        at = self.line[own]
+        p = np.empty(len(at), _POSTING)
+        p["word"], p["i"] = np.where(lone[at], mix(self.set[at]), self.word[own]), i[own]
+        p["doc"], p["pos"], p["set"], p["odd"], p["n"], p["wide"] = self.doc[at], self.pos[at], (self.set[at] >> np.uint64(32)).astype(np.uint32), self.odd[at], n[at], self.wide[at]
+        return p, at
+
+
+def _repeats(lines: list[_Lines], before: list[int], texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lines of some slices of texts: those with the words of an earlier one, and those that are an earlier one,
+    met again in a repeated row. Signatures only say which lines to compare."""
+    doc, pos, n, sets = (np.concatenate([getattr(x, k) for x in lines]) for k in ("doc", "pos", "n", "set"))
+    owner, number = np.concatenate([x.owner + b for x, b in zip(lines, before, strict=True)]), np.concatenate([x.number for x in lines])
+    again, twin = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    if not len(doc):
+        return again, twin
+    sign = mix(sets + n.astype(np.uint64)) >> np.uint64(64 - bits)
+    order = np.lexsort((pos, doc, sign))
+    same = sign[order][1:] == sign[order][:-1]
+    head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
+    split: dict[int, list[str]] = {}
+
+    def line(k: int) -> str:
+        o = int(owner[k])
+        if o not in split:
+            split[o] = texts[o].as_py().lower().split("\n")
+        return split[o][int(number[k])]
+
+    for at in (np.flatnonzero(same) + 1).tolist():
+        k, before_it, first = order[at], order[at - 1], order[head[at]]
+        if doc[k] == doc[before_it] and pos[k] == pos[before_it]:
+            twin[k], again[k] = True, again[before_it]
+        else:
+            again[k] = n[k] == n[first] and (line(k) == line(first) or _words(line(k)) == _words(line(first)))
+    return again, twin
 
 
 def _pack(x: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
@@ -182,57 +247,78 @@ def _unpack(data: bytes, kind: np.dtype, unpacker: zstandard.ZstdDecompressor) -
     return np.ascontiguousarray(np.frombuffer(unpacker.decompress(data), np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
-def postings(rows: DataFrame, counts: Broadcast, threshold: float, least_words: int, parts: int, only: Broadcast | None = None) -> DataFrame:
-    """part, kind, packed: postings (kind 0) by word, and lines that repeat an earlier one of their batch (kind 1)."""
+def postings(rows: DataFrame, counts: Broadcast, threshold: float, parts: int, only: Broadcast | None = None, bits: int = 64) -> DataFrame:
+    """part, kind, packed: postings (kind 0) by word, and lines that repeat an earlier one of their block (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(1)
         for batch in batches:
-            for b in _slices(batch):
-                word, line, doc, pos, n, keys, odd, wide, good = _sets(b, counts.value, least_words, None if only is None else only.value)
-                order = np.lexsort((pos, doc, n, keys))
-                again = np.zeros(len(doc), bool)
-                if len(order):
-                    same = (keys[order][1:] == keys[order][:-1]) & (n[order][1:] == n[order][:-1])
-                    again[order[1:][same]] = True
-                again &= good
-                start = np.zeros(len(doc) + 1, np.int64)
-                np.cumsum(n, out=start[1:])
-                i = np.arange(len(word)) - start[line]
-                prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-                own = (good & ~again)[line] & (i < prefix[line])
-                if only is not None:
-                    own &= hits(only.value, word.astype(np.int64))
-                p = np.empty(int(own.sum()), _POSTING)
-                at = line[own]
-                p["word"], p["i"], p["doc"], p["pos"], p["set"], p["odd"], p["n"] = word[own], i[own], doc[at], pos[at], (keys[at] >> np.uint64(32)).astype(np.uint32), odd[at], n[at]
-                p["wide"] = wide[at]
+            for block in slices(batch, _BLOCK):
+                lines, before, at = [], [], 0
+                for b in slices(block, _SORTED):
+                    lines.append(_Lines(b, counts.value, None if only is None else only.value))
+                    before.append(at)
+                    at += b.num_rows
+                again, twin = _repeats(lines, before, block.column(2), bits)
+                found, done = [], 0
+                for x in lines:
+                    p, line = x.postings(threshold)
+                    own = ~(again | twin)[done + line]
+                    if only is not None:
+                        own &= hits(only.value, p["word"].astype(np.int64))
+                    found.append(p[own])
+                    done += len(x.doc)
+                p = np.concatenate(found)
+                gone = np.empty(int((again & ~twin).sum()), _LINE)
+                gone["doc"], gone["pos"] = (np.concatenate([getattr(x, k) for x in lines])[again & ~twin] for k in ("doc", "pos"))
+                del lines, found
                 to = (mix(p["word"]) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 p, to = p[by], to[by]
                 cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
                 blocks = [_pack(x, packer) for x in np.split(p, cuts[1:])] if len(to) else []
                 ids, kinds = [int(to[c]) for c in cuts], [0] * len(blocks)
-                if again.any() and only is None:
-                    gone = np.empty(int(again.sum()), _LINE)
-                    gone["doc"], gone["pos"] = doc[again], pos[again]
+                if len(gone) and only is None:
                     ids.append(int(gone["pos"][0] % parts)), kinds.append(1), blocks.append(_pack(gone, packer))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "kind", "packed"])
 
-    return rows.select("doc", "tie", "text").mapInArrow(run, "part int, kind int, packed binary")
-
-
-def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, most_listed: int = LISTED):
-    """Of postings: those of lines that equal an earlier one (by their rarest word); and places of candidate pairs,
-    later and earlier, with a sign. Without `wanted`: the earliest candidates of each line and word, up to one that
-    differs so little that it is hardly wrong, or to LISTED; and whether there are more. With it: all candidates of
-    these lines."""
+    return rows.select("doc", "tie", "text").mapInArrow(lean(run), "part int, kind int, packed binary")
+
+
+def _alike(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted postings: which have the signature of an earlier one of their word, and the last such before each.
+    Where it is the line's first posting `bits` of the signature count, elsewhere all that there is."""
+    part = mix(p["odd"] + mix((p["set"].astype(np.uint64) << np.uint64(32)) + p["n"]))
+    for k in range(4):
+        part = mix(part + p["wide"][:, k])
+    if bits < 64:
+        part = np.where(p["i"] == 0, part >> np.uint64(64 - bits), part)
+    order = np.argsort(mix(p["word"]) + part, kind="stable")
+    same = (part[order][1:] == part[order][:-1]) & (p["word"][order][1:] == p["word"][order][:-1])
+    if bits == 64:
+        for k in ("odd", "set", "n", "wide"):
+            x = p[k][order]
+            same &= (x[1:] == x[:-1]).all(1) if x.ndim > 1 else x[1:] == x[:-1]
+    hit, last = np.zeros(len(p), bool), np.zeros(len(p), np.int64)
+    later = order[1:][same]
+    hit[later], last[later] = True, order[:-1][same]
+    return hit, last
+
+
+def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, listed: int, bits: int):
+    """Of postings: pairs of a line and an earlier one of like signature (at the line's first posting); and places of
+    candidate pairs, later and earlier, with a sign. Without `wanted`: the earliest candidates of each line and word, up
+    to one that differs so little that it is hardly wrong, or to so many; and whether there are more. With it: all
+    candidates of these lines."""
     p = p[np.lexsort((p["pos"], p["doc"], p["word"]))]
-    alike = mix(p["word"] + mix(p["odd"] + mix((p["set"].astype(np.uint64) << np.uint64(32)) + p["n"])))
-    same = np.ones(len(p), bool)
-    same[np.unique(alike, return_index=True)[1]] = False  # the first of each word and set is the earliest
-    equal = p[same & (p["i"] == 0)]
-    p = p[~same]
+    twin = (p["word"][1:] == p["word"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["pos"][1:] == p["pos"][:-1])
+    p = p[np.r_[True, ~twin]] if len(p) else p  # a repeated row sends a line twice
+    equal = np.zeros((0, 2), np.int64)
+    if bits and len(p):
+        same, last = _alike(p, bits)
+        pairs = np.flatnonzero(same & (p["i"] == 0))
+        equal = np.stack([p[pairs], p[last[pairs]]], 1)
+        p = p[~same]
     at = np.arange(len(p))
     start = np.maximum.accumulate(np.where(np.r_[True, p["word"][1:] != p["word"][:-1]], at, 0)) if len(p) else at
     n, rest, odd, wide = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["i"], np.ascontiguousarray(p["odd"]), p["wide"]
@@ -243,13 +329,13 @@ def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, most
         later = later[hits(wanted, _line_ids(p["doc"][later], p["pos"][later]))]
     later = later[np.argsort(start[later] - later, kind="stable")]  # those with the most lines before them first
     found, c = [], 0
-    listed, sure, more, done = np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.zeros(len(p), bool), np.zeros(len(p), bool)
-    own = (start[later], later - start[later], odd[later], loose[later])
-    while m := int(np.searchsorted(-own[1], -c)):  # lines with more than c before them
-        x = own[0][:m] + c
-        near = np.flatnonzero(np.bitwise_count(own[2][:m] ^ odd[x]) <= own[3][:m] + loose[x])
+    count, sure, more, done = np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.zeros(len(p), bool), np.zeros(len(p), bool)
+    first, fewer, own_odd, own_loose = start[later], start[later] - later, odd[later], loose[later]
+    while m := int(np.searchsorted(fewer, -c)):  # lines with more than c before them
+        x = first[:m] + c
+        near = np.flatnonzero(np.bitwise_count(own_odd[:m] ^ odd[x]) <= own_loose[:m] + loose[x])
         y, x = later[near], x[near]
-        if wanted is None and done.any():
+        if wanted is None:
             open_ = ~done[y]
             y, x = y[open_], x[open_]
         both, most = n[y] + n[x], differ * (n[y] + n[x]) + 1e-9
@@ -258,16 +344,16 @@ def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, most
         apart[long] = np.maximum(apart[long], np.bitwise_count(wide[y[long]] ^ wide[x[long]]).sum(1))
         ok = (apart <= most) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9) & (np.minimum(rest[y], rest[x]) >= need * both - 1e-9)
         if wanted is None:
-            full = ok & (sure[y] | (listed[y] >= most_listed))
+            full = ok & (sure[y] | (count[y] >= listed))
             more[y[full]] = done[y[full]] = True
             ok &= ~full
-            listed[y[ok]] += 1
+            count[y[ok]] += 1
             sure[y[ok & (apart <= SURE * most)]] = True
         found.append((y[ok], x[ok]))
         c += 1
         if c % 16 == 0 and wanted is None:
             left = ~done[later]
-            later, own = later[left], tuple(o[left] for o in own)
+            later, first, fewer, own_odd, own_loose = later[left], first[left], fewer[left], own_odd[left], own_loose[left]
     y = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
     x = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
     return p, equal, y, x, more[y]
@@ -276,44 +362,43 @@ def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, most
 _MEET = "kind int, doc long, pos long, other_doc long, other_pos long, word long, more boolean"
 
 
-def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None, listed: int = LISTED) -> DataFrame:
-    """kind 1: a line that equals an earlier one; 2: a candidate pair (line, earlier line), the word they met at, and
-    whether the line has more candidates for it."""
+def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None, listed: int = LISTED, bits: int = 64) -> DataFrame:
+    """kind 1: a line that repeats an earlier one; 2: a candidate pair (line, earlier line), the word they met at, and
+    whether the line has more candidates for it; 3: a line and an earlier one of like signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: dict[int, list[bytes]] = {}
         unpacker = zstandard.ZstdDecompressor()
-        names = ["kind", "doc", "pos", "other_doc", "other_pos", "word", "more"]
 
-        def gone(line: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(line), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(line), np.int32)), pa.array(line["doc"]), pa.array(line["pos"]), none, none, none, pa.array(np.zeros(len(line), bool))], names=names)
+        def out(kind: int, line: np.ndarray, other: np.ndarray | None = None, word: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
+            none, n = pa.nulls(len(line), pa.int64()), len(line)
+            ends = [none, none] if other is None else [pa.array(other["doc"]), pa.array(other["pos"])]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(line["doc"]), pa.array(line["pos"]), *ends, none if word is None else pa.array(word.astype(np.int64)), pa.array(np.zeros(n, bool) if more is None else more)], names=["kind", "doc", "pos", "other_doc", "other_pos", "word", "more"])
 
         for b in batches:
             for part, kind, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 1:
-                    yield gone(_unpack(packed, _LINE, unpacker))
+                    yield out(1, _unpack(packed, _LINE, unpacker))
                 else:
                     packs.setdefault(part, []).append(packed)
         for part in list(packs):
             joined = np.concatenate([_unpack(x, _POSTING, unpacker) for x in packs.pop(part)])
-            p, equal, y, x, more = _candidates(joined, threshold, None if wanted is None else wanted.value, listed)
-            if len(equal):
-                yield gone(equal)
+            p, equal, y, x, more = _candidates(joined, threshold, None if wanted is None else wanted.value, listed, bits)
+            if len(equal) and wanted is None:
+                yield out(3, equal[:, 0], equal[:, 1])
             for a in range(0, len(y), 100_000):
-                u, v, m = p[y[a : a + 100_000]], p[x[a : a + 100_000]], more[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), 2, np.int32)), pa.array(u["doc"]), pa.array(u["pos"]), pa.array(v["doc"]), pa.array(v["pos"]), pa.array(u["word"].astype(np.int64)), pa.array(m)], names=names)
+                u, v = p[y[a : a + 100_000]], p[x[a : a + 100_000]]
+                yield out(2, u, v, u["word"], more[a : a + 100_000])
 
-    return dealt.mapInArrow(run, _MEET)
+    return dealt.mapInArrow(lean(run), _MEET)
 
 
-def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, pos, line of at least the given lines: a bitmap of fixed size picks them, a later join is exact."""
-    bits = bitmap(_ids(lines))
+def _line_texts(rows: DataFrame, bits: Broadcast) -> DataFrame:
+    """doc, pos, line of at least the lines of a bitmap; a later join is exact. A line once, whatever rows repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in slices(batch, _BLOCK):
                 docs, ties, split = b.column(0).to_numpy(), b.column(1).to_numpy(), [(t.as_py() or "").split("\n") for t in b.column(2)]
                 n = np.array([len(x) for x in split], np.int64)
                 doc, tie = np.repeat(docs, n), np.repeat(ties, n)
@@ -323,29 +408,33 @@ def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
                 flat = [x for t in split for x in t]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(pos[at]), pa.array([flat[k] for k in at], pa.string())], names=["doc", "pos", "line"])
 
-    return rows.select("doc", "tie", "text").mapInArrow(run, "doc long, pos long, line string")
+    texts = materialize(rows.select("doc", "tie", "text").mapInArrow(lean(run), "doc long, pos long, line string"), "line-texts")
+    if texts.groupBy("doc", "pos").count().filter("count > 1").limit(1).count():
+        twice, texts = texts, materialize(texts.dropDuplicates(["doc", "pos"]), "line-texts")
+        discard(twice)
+    return texts
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """doc, pos of lines that match the other line of some pair, on their full sets."""
+    """kind, doc, pos, more, ok of pairs: whether the line matches the other, on their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = _words(s.as_py()), _words(t.as_py())
+            for s, t in zip(b.column(4), b.column(5), strict=True):
+                s, t = s.as_py().lower(), t.as_py().lower()
+                if s == t:
+                    ok.append(True)
+                    continue
+                x, y = _words(s), _words(t)
                 both = len(x & y)
                 ok.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc", "pos"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok, pa.bool_())], names=["kind", "doc", "pos", "more", "ok"])
 
-    one = texts.dropDuplicates(["doc", "pos"]).select(F.col("doc").alias("d"), F.col("pos").alias("p"), "line")
-    with_own = pairs.join(one, (F.col("doc") == F.col("d")) & (F.col("pos") == F.col("p"))).select("doc", "pos", "other_doc", "other_pos", F.col("line").alias("own"))
-    both = with_own.join(one, (F.col("other_doc") == F.col("d")) & (F.col("other_pos") == F.col("p"))).select("doc", "pos", "own", F.col("line").alias("other"))
-    return both.mapInArrow(run, "doc long, pos long").distinct()
-
-
-def _ids(lines: DataFrame) -> DataFrame:
-    return lines.select("doc", "pos").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(_line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["id"]) for b in bs), "id long")
+    one = texts.select(F.col("doc").alias("d"), F.col("pos").alias("p"), "line")
+    with_own = pairs.join(one, (F.col("doc") == F.col("d")) & (F.col("pos") == F.col("p"))).select("kind", "doc", "pos", "more", "other_doc", "other_pos", F.col("line").alias("own"))
+    both = with_own.join(one, (F.col("other_doc") == F.col("d")) & (F.col("other_pos") == F.col("p"))).select("kind", "doc", "pos", "more", "own", F.col("line").alias("other"))
+    return materialize(both.mapInArrow(lean(run), "kind int, doc long, pos long, more boolean, ok boolean"), "line-verified")
 
 
 def _few_matches(rows: DataFrame, asked: list[tuple[int, int, str]], counts: np.ndarray, threshold: float) -> DataFrame:
@@ -365,7 +454,7 @@ def _few_matches(rows: DataFrame, asked: list[tuple[int, int, str]], counts: np.
         lines, words, flags = shared.value
         for batch in batches:
             hit: set[int] = set()
-            for b in _slices(batch):
+            for b in slices(batch, _SORTED):
                 h, line, owner, number = _hashed(b.column(2))
                 docs, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
                 split: dict[int, list[str]] = {}
@@ -383,77 +472,108 @@ def _few_matches(rows: DataFrame, asked: list[tuple[int, int, str]], counts: np.
                             hit.add(k)
             yield pa.RecordBatch.from_arrays([pa.array([lines[k][0] for k in hit], pa.int64()), pa.array([lines[k][1] for k in hit], pa.int64())], names=["doc", "pos"])
 
-    return rows.select("doc", "tie", "text").mapInArrow(run, "doc long, pos long").distinct()
+    return rows.select("doc", "tie", "text").mapInArrow(lean(run), "doc long, pos long").distinct()
 
 
-def removed_lines(rows: DataFrame, threshold: float = 0.8, least_words: int = 5, listed: int = LISTED, few_lines: int = FEW_LINES) -> DataFrame:
-    """doc, pos of each line to remove, from rows (doc, tie, text)."""
+def removed_lines(rows: DataFrame, threshold: float = 0.8, listed: int = LISTED, few_lines: int = FEW_LINES, bits: int = 64) -> DataFrame:
+    """doc, pos of each line to remove, from rows (doc, tie, text). `bits` of a set's hash are its signature; with 0
+    there are none."""
     spark = rows.sparkSession
-    parts = 2 * width(spark)
+    parts = 4 * width(spark)
     counts = word_counts(rows)
-    deal = lambda p: p.repartition(parts // 2, "part").select("part", "kind", "packed")
-    met = materialize(meet(deal(postings(rows, counts, threshold, least_words, parts)), threshold, None, listed), "line-candidates")
-    release(spark)
-    other = F.struct("other_doc", "other_pos")
-    per = met.groupBy("doc", "pos").agg(F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 2, other)).alias("x"), F.bool_or("more").alias("more"))
-    per = materialize(per.select("doc", "pos", "kind", F.col("x.other_doc").alias("other_doc"), F.col("x.other_pos").alias("other_pos"), "more"), "line-first")
-    release(spark)
-    pairs = met.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos")
-    texts = materialize(_line_texts(rows, pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos"))), "line-texts")
-    first = per.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos")
-    hit = materialize(_verified(first, texts, threshold), "line-matches")
-    failed = per.filter("kind = 2").join(hit, ["doc", "pos"], "left_anti")
-    others = pairs.distinct().join(failed.select("doc", "pos"), ["doc", "pos"], "left_semi").join(first, ["doc", "pos", "other_doc", "other_pos"], "left_anti")
-    hit = hit.union(materialize(_verified(others, texts, threshold), "line-matches"))
-    release(spark)
-    out = per.filter("kind = 1").select("doc", "pos").union(hit)
-    left = materialize(failed.filter("more").select("doc", "pos").join(hit, ["doc", "pos"], "left_anti"), "lines-left")
-    open_ = left.agg(F.count("*").alias("n")).first()["n"]
-    few = left.join(texts, ["doc", "pos"]).dropDuplicates(["doc", "pos"]) if 0 < open_ <= few_lines else None
-    if few is not None and few.agg(F.sum(F.octet_length("line"))).first()[0] <= FEW_BYTES:
-        asked = [(r["doc"], r["pos"], r["line"]) for r in few.collect()]
-        out = out.union(materialize(_few_matches(rows, asked, counts.value, threshold), "line-matches"))
-        open_ = 0
-    discard(texts)
-    if open_:
-        lines = bitmap(_ids(left))
-
-        def of_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.select([2]).filter(pa.array(hits(lines.value, _line_ids(b.column(0).to_numpy(), b.column(1).to_numpy()))))
-
-        only = bitmap(met.filter("kind = 2").select("doc", "pos", "word").mapInArrow(of_left, "word long"))
-        again = meet(deal(postings(rows, counts, threshold, least_words, parts, only)), threshold, lines)
-        tried, pairs = pairs, again.filter("kind = 2").select("doc", "pos", "other_doc", "other_pos").distinct()
-        pairs = materialize(pairs.join(left, ["doc", "pos"], "left_semi").join(tried, ["doc", "pos", "other_doc", "other_pos"], "left_anti"), "line-pairs")
-        release(spark)
-        texts = materialize(_line_texts(rows, pairs.select("doc", "pos").union(pairs.select("other_doc", "other_pos"))), "line-texts")
-        out = out.union(materialize(_verified(pairs, texts, threshold), "line-matches"))
-        discard(texts)
+    scratch: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str = "") -> DataFrame:
+        scratch.append(materialize(df, name) if name else df)
         release(spark)
-    discard(met)
+        return scratch[-1]
+
+    deal = lambda p: p.repartition(width(spark), "part").select("part", "kind", "packed")
+    line, other = ["doc", "pos"], ["other_doc", "other_pos"]
+    met = keep(meet(deal(postings(rows, counts, threshold, parts, None, bits or 64)), threshold, None, listed, bits), "line-candidates")
+    near = met.filter("kind = 2")
+    first = near.groupBy(*line).agg(F.min(F.struct(*other)).alias("x"), F.bool_or("more").alias("more"))
+    first = keep(first.select(*line, "x.other_doc", "x.other_pos", "more"), "line-first")
+    wanted = met.filter("kind > 1")
+    ends = bitmap(wanted.select(*line).union(wanted.select(*other)), _batch_ids)
+    texts = keep(_line_texts(rows, ends))
+    ends.destroy()
+    asked = first.select(F.lit(2).alias("kind"), *line, *other, "more").union(met.filter("kind = 3").select("kind", *line, *other, F.lit(False).alias("more")))
+    one = keep(_verified(asked, texts, threshold))
+    if one.filter("kind = 3 and not ok").limit(1).count():  # like signatures, other words: do without them
+        counts.destroy()
+        for x in scratch:
+            discard(x)
+        return removed_lines(rows, threshold, listed, few_lines, 0)
+    out = [met.filter("kind = 1").select(*line), one.filter("ok").select(*line)]
+    failed = one.filter("kind = 2 and not ok").select(*line, "more")
+    if failed.limit(1).count():
+        others = near.select(*line, *other).distinct().join(failed, line).join(first.select(*line, *other), [*line, *other], "left_anti")
+        two = keep(_verified(others.select(F.lit(2).alias("kind"), *line, "more", *other), texts, threshold))
+        out.append(two.filter("ok").select(*line).distinct())
+        left = keep(failed.filter("more").select(*line).join(out[-1], line, "left_anti"), "lines-left")
+        open_ = left.count()
+        few = left.join(texts, line) if 0 < open_ <= few_lines else None
+        if few is not None and few.agg(F.sum(F.octet_length("line"))).first()[0] <= FEW_BYTES:
+            held = [(r["doc"], r["pos"], r["line"]) for r in few.collect()]
+            out.append(keep(_few_matches(rows, held, counts.value, threshold), "line-matches"))
+        elif open_:
+            out.append(keep(_all_matches(rows, met, left, counts, threshold, parts, deal)))
+    found = out[0]
+    for x in out[1:]:
+        found = found.union(x)
+    found = materialize(found, "lines-gone")
+    counts.destroy()
+    for x in scratch:
+        discard(x)
+    release(spark)
+    return found
+
+
+def _all_matches(rows: DataFrame, met: DataFrame, left: DataFrame, counts: Broadcast, threshold: float, parts: int, deal) -> DataFrame:
+    """doc, pos of those of many lines that match an earlier line: all their candidates are fetched and verified."""
+    line, other = ["doc", "pos"], ["other_doc", "other_pos"]
+    lines = bitmap(left, _batch_ids)
+
+    def words(b: pa.RecordBatch) -> np.ndarray:
+        return b.column(2).to_numpy()[hits(lines.value, _batch_ids(b))]
+
+    near = met.filter("kind = 2")
+    only = bitmap(near.select(*line, "word"), words)
+    again = meet(deal(postings(rows, counts, threshold, parts, only)), threshold, lines).filter("kind = 2").select(*line, *other).distinct()
+    pairs = materialize(again.join(left, line, "left_semi").join(near.select(*line, *other), [*line, *other], "left_anti"), "line-pairs")
+    ends = bitmap(pairs.select(*line).union(pairs.select(*other)), _batch_ids)
+    texts = _line_texts(rows, ends)
+    verified = _verified(pairs.select(F.lit(2).alias("kind"), *line, F.lit(False).alias("more"), *other), texts, threshold)
+    out = materialize(verified.filter("ok").select(*line).distinct(), "line-matches")
+    for x in (pairs, texts, verified):
+        discard(x)
+    for x in (lines, only, ends):
+        x.destroy()
     return out
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, least_words: int = 5, listed: int = LISTED, few_lines: int = FEW_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, listed: int = LISTED, few_lines: int = FEW_LINES, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the input, the text without its removed lines, and n_lines, n_removed."""
-    key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF)
-    rows = docs.select(key.alias("doc"), tie.alias("tie"), F.col(text_col).cast("string").alias("text"))
-    gone = removed_lines(rows, threshold, least_words, listed, few_lines)
+    text = F.col(text_col).cast("string")
+    key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(text).bitwiseAND(0x7FFFFFFF)
+    gone = removed_lines(docs.select(key.alias("doc"), tie.alias("tie"), text.alias("text")), threshold, listed, few_lines, bits)
     gone = gone.groupBy(F.col("doc").alias("__doc"), F.shiftright("pos", 32).alias("__tie")).agg(F.collect_set((F.col("pos").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("__gone"))
     whole = docs.withColumns({"__d": key, "__t": tie}).join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__tie")), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept_lines = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(kept_lines)
-    n = F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return whole.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: text}).select(*docs.columns, "n_lines", "n_removed")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))  # in order, by hashing
+    kept = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
+    whole = whole.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
+    n = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    out = whole.withColumns({"__n": n, "__removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__text": F.when(F.col("__gone").isNull(), text).otherwise(kept)})
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("__n").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
 #: The same rows by a prefix filter alone. Ids are taken to be distinct.
 ORACLE_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
 t AS MATERIALIZED (SELECT doc_id, k, list_filter(list_distinct(string_split_regex(lower(line), '[\\x00-\\x20]+')), lambda x: x <> '') AS w FROM l),
-o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, k) AS ln, doc_id, k, w, len(w) AS n FROM t WHERE len(w) >= 5),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, k) AS ln, doc_id, k, w, len(w) AS n FROM t WHERE len(w) >= 1),
 u AS (SELECT ln, n, unnest(w) AS x FROM o),
 f AS (SELECT x, count(*) AS df FROM u GROUP BY x),
 p AS MATERIALIZED (SELECT ln, n, x FROM (SELECT ln, n, x, row_number() OVER (PARTITION BY ln ORDER BY df, x) AS r FROM u JOIN f USING (x)) WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),

@@ -176,7 +176,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "members")
     few = members.count()
     if few:
-        bits = bitmap(members.select("rep_key"))
+        bits = bitmap(members.select("rep_key"), lambda b: b.column(0).to_numpy())
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from kgaudit.llm.memory import Recent, lean
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 
 
-class WordHashes(dict):
-    """64-bit hash of a word. Emptied when large: bounds memory and changes no result."""
+class WordHashes(Recent):
+    """64-bit hash of a word."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode())
-        return h
+    def __init__(self) -> None:
+        super().__init__(lambda word: xxhash.xxh64_intdigest(word.encode()), KEPT_WORDS)
 
 
 def words(text: str | None) -> list[str]:
@@ -53,14 +51,14 @@ def ngrams(text: str | None, cache: WordHashes, n: int = 5) -> np.ndarray:
 BITS = 1 << 26
 
 
-def bitmap(hashes: DataFrame) -> Broadcast:
-    """A bitmap of BITS bits with the low bits of each hash of a one-column table set, broadcast; its size is fixed.
-    What it lets through is tested again by a join."""
+def bitmap(rows: DataFrame, ids: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
+    """A bitmap of BITS bits with the low bits of the ids that a function takes from the rows' batches, broadcast; its
+    size is fixed. What it lets through is tested again by a join."""
     chunk = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(b.column(0).to_numpy().astype(np.int64) & (BITS - 1))
+            at = np.unique(ids(b).astype(np.int64) & (BITS - 1))
             part = at // chunk
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(at) else []
             yield pa.RecordBatch.from_arrays([pa.array([int(part[c]) for c in cuts], pa.int32()), pa.array([(x % chunk).astype("<u2").tobytes() for x in np.split(at, cuts[1:])] if len(at) else [], pa.binary())], names=["chunk", "at"])
@@ -71,12 +69,10 @@ def bitmap(hashes: DataFrame) -> Broadcast:
             bits[np.frombuffer(x, "<u2")] = True
         return pa.table([pa.array([table.column("chunk")[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["chunk", "bits"])
 
-    column = hashes.columns[0]
-    parts = hashes.select(F.col(column).cast("long")).distinct().mapInArrow(run, "chunk int, at binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect()
     out = np.zeros(BITS // 8, np.uint8)
-    for r in parts:
+    for r in rows.mapInArrow(lean(run), "chunk int, at binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
         out[r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(out)
+    return rows.sparkSession.sparkContext.broadcast(out)
 
 
 def hits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
