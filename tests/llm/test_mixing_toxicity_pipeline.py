@@ -64,6 +64,44 @@ def test_mix_edge_cases(spark):
     assert not any(r["size"] and r["taken"] > 3 * r["size"] for r in got)
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, f"w{k} " * (1 + k % 7), "hot") for k in range(300)] + [(7, "same text here", "hot")] * 200 + [(8 + k, "a b", "cold") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(df).collect()
+    want = plain_targets({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("hot", "cold")})
+    for s, size in (("hot", None), ("cold", 2)):
+        own = [r for r in got if (r["source_size"] == 40) == (s == "cold")]
+        assert want[s] - 1 <= sum(r["taken"] for r in own) <= want[s] + 1e-6 and all(r["taken"] <= 3 * r["size"] for r in own)
+    assert len({r["finish"] for r in got if r["doc_id"] is None}) == 300  # no two share a place
+    again = mixing.mixed(df.repartition(9))
+    words = sum(len(r["text"].split()) for r in again.collect())
+    assert abs(words - sum(r["taken"] for r in got)) <= 2 * 7
+
+
+def test_the_budget_cuts_the_queue(spark):
+    """Before the cut lie all copies that end by virtual time one, and the running total ends at the budget."""
+    rows = [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    q, end = mixing._queued(df, 3, 7, "doc_id", "text", "source")
+    q = q.collect()
+    all_copies = sorted(((r["before"] + k * r["source_size"] + r["size"]) / r["target"], r["row"], k, r["size"]) for r in q for k in range(3))
+    budget, total, want = sum({r["source"]: int(r["target"]) for r in q}.values()), 0, 0.0
+    for finish, _, _, size in all_copies:
+        if total >= budget:
+            break
+        total, want = total + size, finish
+    assert end == want >= 1.0
+
+
+def test_mix_of_very_long_texts(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "x y z", "a"), (3, "q " * 300_000, "b"), (4, None, "b")]
+    got = {r["doc_id"]: r for r in mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[k]["size"] for k in (1, 2, 3, 4)] == [400_000, 3, 300_000, 0]
+    for source in ((1, 2), (3, 4)):
+        own = [got[k] for k in source]
+        assert own[0]["target"] - 1 <= sum(r["taken"] for r in own) <= own[0]["target"] + 1e-6
+
+
 def labelled(n=900, seed=2):
     rng = np.random.default_rng(seed)
     rows = []
@@ -95,6 +133,52 @@ def test_pairs_of_terms_are_learnt(spark):
     assert both(model) > both(lone) + 0.1
 
 
+def test_the_margin_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.FactorizationMachine(0.3, rng.normal(size=64), rng.normal(size=(64, 4)), 6)
+    for size in (0, 1, 2, 40):
+        x = np.sort(rng.choice(64, size, replace=False))
+        pairs = sum(float(m.vectors[a] @ m.vectors[b]) for i, a in enumerate(x) for b in x[i + 1 :])
+        assert abs(m.margin(x) - (0.3 + m.weights[x].sum() + pairs)) < 1e-9
+
+
+@pytest.mark.parametrize("op", [lambda a, b: a != b, lambda a, b: a and b, lambda a, b: not (a or b)])
+def test_interactions_of_terms_that_say_nothing_alone(op):
+    cache = toxicity._Terms(18)
+
+    def rows(n, seed):
+        rng, x, y = np.random.default_rng(seed), [], []
+        for _ in range(n):
+            words = [f"w{k}" for k in rng.integers(0, 300, 30)]
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words += ["dolt"] * a + ["martians"] * b
+            x.append(toxicity.terms(" ".join(words), cache))
+            y.append(float(op(a, b)))
+        return x, np.array(y)
+
+    model = toxicity.fit(*rows(3000, 1))
+    held = rows(600, 2)
+    assert np.mean([(model.score(x) >= 0.5) == y for x, y in zip(*held, strict=True)]) > 0.9
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    rows = labelled(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(rows[1][0], "z y x")] * 500 + [(rows[1][0], rows[1][1])] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(rows[1][0], None), (None, 1)], "doc_id long, toxic int")
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(5), labels)
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    rows = labelled(600)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    long = " ".join(f"q{k}" for k in range(300_000))
+    some = spark.createDataFrame([(1, long), (2, "dolt " + long + " martians")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(some, model).collect()}
+    assert got[2] > got[1] + 0.1
+
+
 def test_held_out_accuracy_on_the_test_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     some = docs.join(labels.select("doc_id"), "doc_id")
