@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -87,6 +89,52 @@ def test_fingerprints_against_plain_sets(spark, parts):
     assert len({r["fingerprint"] for r in got.values()}) == len({frozenset(pieces(t)) for _, t in rows})
 
 
+def cells_of(fingerprint):
+    raw = base64.b64decode(fingerprint)
+    return [struct.unpack_from(">IQI", raw, 16 * k) for k in range(len(raw) // 16)]
+
+
+def test_printed_fingerprints_peel(spark):
+    """Two fingerprints as printed, subtracted and peeled by hand, give the digests that only one of the texts has."""
+    rng = random.Random(9)
+    lines = [f"line {rng.random()} é" for _ in range(40)]
+    a, b = "\n".join(lines), "\n".join(lines[:30] + [f"new {k}" for k in range(5)])
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
+    x, y = cells_of(got[1]["fingerprint"]), cells_of(got[2]["fingerprint"])
+    assert len(x) == 48 and sum(n for n, *_ in x) == 3 * len(pieces(a))
+    left = [[n - m, k ^ q, h ^ c] for (n, k, h), (m, q, c) in zip(x, y, strict=True)]
+    hashes = {}
+    for text in (a, b):
+        for piece in pieces(text):
+            d, y1 = spark.sql("SELECT xxhash64(:p) d, xxhash64(xxhash64(:p), 1) y", args={"p": piece}).first()
+            hashes[d & (1 << 64) - 1] = (y1 & (1 << 64) - 1, piece)
+    found = set()
+    while pure := [k for n, k, h in left if abs(n) == 1 and k in hashes and hashes[k][0] >> 32 == h]:
+        k = pure[0]
+        sign = next(n for n, d, _ in left if d == k and abs(n) == 1)
+        found.add((sign, hashes[k][1]))
+        for j in range(3):
+            cell = left[16 * j + (hashes[k][0] >> 8 * j & 15)]
+            cell[0], cell[1], cell[2] = cell[0] - sign, cell[1] ^ k, cell[2] ^ hashes[k][0] >> 32
+    assert all(c == [0, 0, 0] for c in left)
+    assert found == {(1, p) for p in pieces(a) - pieces(b)} | {(-1, p) for p in pieces(b) - pieces(a)}
+
+
+def test_one_id_in_very_many_rows(spark):
+    rows = [(7, f"text {k} of many\nline {k % 5}") for k in range(400)] + [(None, f"none {k}") for k in range(200)] + [(9, "a b"), (3, "c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed, _ = fingerprints.with_next(df, parts=12)
+    sizes = [r["count"] for r in keyed.filter("guest = 0").groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 150
+    hashed = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r["near_next"] for r in fingerprints.fingerprints(df, parts=12).collect()}
+    for k, (i, t) in enumerate(order):
+        n = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        assert abs(got[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] - like(t, n)) < 1e-9
+
+
 def test_fingerprint_edge_cases(spark):
     rows = [(1, None), (2, "a b"), (2, "c d\ne f g"), (None, "z z"), (None, ""), (2, "a b")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int")
