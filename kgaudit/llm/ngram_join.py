@@ -1,12 +1,15 @@
 """Similarity join of documents on word n-grams: MinHash banding, then full n-gram sets.
 
-One pass gives each document a hash of its n-gram set and its band hashes. Documents with equal sets are one class of
-copies from here on. Number of bands and rows follow from the wanted recall at the threshold. Sets that share a band
-hash meet in a shuffle on band hashes, where each gets linked with the least one of its bucket; the components of these
-links are the groups of candidates. Only candidates' texts are fetched (by a bitmap of fixed size and a join). A group
-is compared as a whole by products of incidence matrices, in blocks of at most BLOCK sets: a larger group is dealt to
-pairs of blocks in many tasks. All pairs are compared, none is emitted: a block gives for each set the number of its
-links and one link to the least set that it is connected with. So rows stay linear in the input, and no link is lost.
+One pass gives each document a hash of its n-gram set, its band hashes and a byte of each MinHash. Documents with equal
+sets are one class of copies from here on. Number of bands and rows follow from the wanted recall at the threshold. Sets
+that share a band hash meet in a shuffle on band hashes. In a bucket of at most SMALL sets each pair is a candidate, if
+the bytes of their MinHashes don't say that it is far from alike (six deviations below the threshold, so that no match
+is lost); most buckets that chance makes fall away here, and can't tie groups to one another. In a larger bucket each
+set is a candidate with the least one, and none falls away. The components of these candidates are verified on full
+n-gram sets: only their texts are fetched (by a bitmap of fixed size and a join), and a component is compared by products
+of incidence matrices, in blocks of at most BLOCK sets: a larger one is dealt to pairs of blocks in many tasks. No pairs
+are emitted: a block gives for each set the number of its links and one link to the least set that it is connected with.
+So rows stay linear in the input, and no link within a component is lost.
 
 Defined cases: words are runs of letters, digits and underscore in lower case; a document of one to four words is one
 n-gram; documents without words (null, empty) are copies of one another. Repeated rows are copies. Null ids are allowed;
@@ -24,12 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgaudit.llm.memory import lean
 from kgaudit.llm.shingles import WordHashes, bitmap, hits, mix, ngrams
 from kgaudit.operators.graph import components
 from kgaudit.session import discard, materialize
 
 BLOCK = 1024
-_COLUMNS = 4096
+_COLUMNS = 2048
+#: Sets in a bucket up to which all its pairs are looked at, and deviations below the threshold that rule a pair out.
+SMALL, DEVIATIONS = 8, 6.0
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 144) -> tuple[int, int]:
@@ -54,31 +60,63 @@ class MinHash:
         self.weights = rng.integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(0, 1 << 63, bands, np.uint64)
 
-    def band_hashes(self, grams: np.ndarray) -> np.ndarray:
+    def band_hashes(self, grams: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """A hash for each band, and the low byte of each MinHash."""
         x = (grams >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.xor), 0xFFFFFFFF, np.uint32)
         for a in range(0, len(x), 1024):  # stays in cache
             least = np.minimum(least, ((x[None, a : a + 1024] ^ self.xor) * self.by).min(1))
         cells = least.reshape(self.bands, self.rows).astype(np.uint64)
-        return mix((cells * self.weights).sum(1, dtype=np.uint64) + self.salt).astype(np.int64)
+        return mix((cells * self.weights).sum(1, dtype=np.uint64) + self.salt).astype(np.int64), least.astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, k1, k2 (hash of the n-gram set), size, bands."""
+    """doc_id, text_key, k1, k2 (hash of the n-gram set), bands, signs (a byte of each MinHash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, cache = MinHash(bands, rows), WordHashes()
         for b in batches:
-            keys, sizes, found = [], [], []
+            keys, found, signs = [], [], []
             for t in b.column(2):
                 g = ngrams(t.as_py(), cache, n)
                 keys.append(xxhash.xxh3_128_intdigest(g.tobytes()))
-                sizes.append(len(g))
-                found.append(made.band_hashes(g) if len(g) else None)
+                bands_, signs_ = made.band_hashes(g) if len(g) else (None, None)
+                found.append(bands_), signs.append(signs_)
             signed = lambda x: x - (1 << 64) if x >> 63 else x
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([signed(k >> 64) for k in keys], pa.int64()), pa.array([signed(k & (1 << 64) - 1) for k in keys], pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "k1", "k2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([signed(k >> 64) for k in keys], pa.int64()), pa.array([signed(k & (1 << 64) - 1) for k in keys], pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "text_key", "k1", "k2", "bands", "signs"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, k1 long, k2 long, size int, bands array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "doc_id long, text_key long, k1 long, k2 long, bands array<long>, signs binary")
+
+
+def likely(pairs: DataFrame, threshold: float) -> DataFrame:
+    """src, dst of pairs (src, dst, a, b) whose signs agree about as often as those of sets at the threshold do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
+                n, p = a.shape[1], threshold + (1 - threshold) / 256
+                near = (a == c).sum(1) >= n * p - DEVIATIONS * math.sqrt(n * p * (1 - p))
+                yield b.select([0, 1]).filter(pa.array(near))
+
+    return pairs.select("src", "dst", "a", "b").mapInArrow(lean(run), "src long, dst long")
+
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """src, dst: pairs of sets that meet in a bucket, all of small buckets but those that are far from alike, and those
+    with the least set of large ones."""
+    held = sets.select("sid", F.posexplode("bands").alias("band", "hash")).select("sid", F.xxhash64("band", "hash").alias("bucket"))
+    sized = held.groupBy("bucket").agg(F.min("sid").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    met = materialize(held.join(sized, "bucket"), "buckets")
+    large = met.filter(f"n > {SMALL} and sid <> least").select(F.col("sid").alias("src"), F.col("least").alias("dst"))
+    small = met.filter(f"n <= {SMALL}").groupBy("bucket").agg(F.sort_array(F.collect_list("sid")).alias("s"))  # SMALL at most
+    each = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, SMALL), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
+    pairs = small.select(F.explode(each).alias("p")).select("p.src", "p.dst").distinct()
+    signs = lambda end, name: sets.select(F.col("sid").alias(end), F.col("signs").alias(name))
+    near = likely(pairs.join(signs("src", "a"), "src").join(signs("dst", "b"), "dst"), threshold)
+    out = materialize(near.union(large.distinct()), "candidates")
+    discard(met)
+    return out
 
 
 def _links(own: list[np.ndarray], other: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -161,12 +199,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     bands, per = bands_for(threshold, recall)
     signed = materialize(signatures(rows, n, bands, per), "signatures")
-    sets = signed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.max("size").alias("size"), F.any_value("bands").alias("bands"))
+    sets = signed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.any_value("bands").alias("bands"), F.any_value("signs").alias("signs"))
     sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")  # written, so that ids stay
 
-    held = sets.select("sid", F.posexplode("bands").alias("band", "hash")).select("sid", F.xxhash64("band", "hash").alias("bucket"))
-    leaders = held.groupBy("bucket").agg(F.min("sid").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-    linked = held.join(leaders, "bucket").filter("sid <> leader").select(F.col("sid").alias("src"), F.col("leader").alias("dst"))
+    linked = candidates(sets, threshold)
     groups = components(linked)
 
     # blocks of large groups; a group of one block has the one pair (0, 0)
@@ -182,13 +218,13 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
             for b in batches:
                 yield b.filter(pa.array(hits(bits.value, b.column(1).to_numpy())))
 
-        texts = rows.mapInArrow(wanted, "doc_id long, text_key long, text string")
+        texts = rows.mapInArrow(lean(wanted), "doc_id long, text_key long, text string")
         texts = texts.join(members, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         dealt = texts.select("grp", "block", "sid", "copies", "text", other.alias("k")).select("grp", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "sid", "copies", "text")
         dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(max(1, few // 1024))))
         found = materialize(compare(dealt, threshold, n), "links")
-        discard(members)
+        bits.destroy()
     else:
         found = sets.sparkSession.createDataFrame([], "sid long, links long, root long")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
@@ -196,7 +232,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     named = sets.select("k1", "k2", "sid", "copies", "copy_id").join(links, "sid", "left").join(tied, F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     named = named.join(least, "component").select("k1", "k2", "copy_id", "class_id", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "text_key", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "copy_id", "class_id", "n_links", "text_key", "component")
+    out = materialize(signed.select("doc_id", "text_key", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "copy_id", "class_id", "n_links", "text_key", "component"), "classes")
+    for scratch in (signed, sets, linked, groups, members, found, tied):
+        discard(scratch)
+    return out
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

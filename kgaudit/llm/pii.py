@@ -20,10 +20,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kgaudit.llm.memory import lean
 from kgaudit.llm.spans import Span, digest, join_spans
 
 KINDS = ("email", "ip", "card", "phone")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_total long"
 
 _DOMAIN = re.compile(r"@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -244,15 +245,21 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if made := normalise(text):
         normal, pieces = made
         starts = [p[0] for p in pieces]
+        # base spans of a kind are apart and in order: only the last that begins at or before a span can hold it
+        of_kind: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}
+        for k, bs, be in base:
+            of_kind[k][0].append(bs), of_kind[k][1].append(be)
         for kind, a, b in find_base(normal):
             s, e = _back(pieces, starts, a, b)
-            if not any(k == kind and bs <= s and e <= be for k, bs, be in base):
+            at = bisect_right(of_kind[kind][0], s) - 1
+            if at < 0 or of_kind[kind][1][at] < e:
                 added[kind, s, e] = None
     return base, list(added)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of base spans by kind, the base spans' digest, all spans joined, and how many were added."""
+    """doc_id, counts of base spans by kind, the base spans' digest, all spans joined, how many were added, and how many
+    there are in all: a document has personal data if this isn't 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +272,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     pa.array([digest(join_spans(base, KINDS)) for base, _ in rows], pa.string()),
                     pa.array([join_spans(base + more, KINDS) for base, more in rows], pa.string()),
                     pa.array([len(more) for _, more in rows], pa.int64()),
+                    pa.array([len(base) + len(more) for base, more in rows], pa.int64()),
                 ],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), SCHEMA)

@@ -32,7 +32,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    """The source stands for the owner, the document for the repository."""
+    return secrets.scan(table(spark, sf_dir, "documents")).withColumnsRenamed({"most_owners": "most_sources", "most_repos": "most_documents"})
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgaudit.llm.memory import lean
 from kgaudit.session import shared_dir, width
 
 MAGIC = b"\x1f\x8b\x08"
@@ -91,7 +92,7 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, id_
             yield pa.RecordBatch.from_arrays([pa.array([_gzip(_record(*x))[:-1] for x in zip(*cols, strict=True)], pa.binary())], names=["member"])
 
     # a cast from binary to string keeps the bytes as they are, and the text writer writes them so
-    rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    rows.mapInArrow(lean(run), "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
     return path
 
 
@@ -199,7 +200,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = 8 << 20) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.mapInArrow(run, RECORDS)
+    return ranges.mapInArrow(lean(run), RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, **kw) -> DataFrame:

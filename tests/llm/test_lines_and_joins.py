@@ -173,6 +173,50 @@ def test_unrelated_documents_of_one_id_or_none_survive(spark):
     assert len(kept) == 5 and {(None, "one two three"), (8, "a b c d"), (8, "e f g h"), (9, "k l m n")} < set(kept)
 
 
+def test_signs_rule_out_no_match():
+    """Pairs around the threshold: the signs let all pairs at or above it through, and few of those far below."""
+    import numpy as np
+
+    rng, made = np.random.default_rng(1), ngram_join.MinHash(23, 6)
+    seen = {0.8: [], 0.85: [], 0.45: []}
+    for j in seen:
+        for _ in range(150):
+            union = rng.integers(0, 1 << 63, 400, np.uint64)
+            both = round(400 * j)
+            rest = rng.permutation(400)
+            a, b = union[rest[: both + (400 - both) // 2]], np.r_[union[rest[:both]], union[rest[both + (400 - both) // 2 :]]]
+            x, y = (np.frombuffer(made.band_hashes(np.unique(s))[1], np.uint8) for s in (a, b))
+            p = 0.8 + 0.2 / 256
+            seen[j].append((x == y).sum() >= 138 * p - 6 * np.sqrt(138 * p * (1 - p)))
+    assert all(seen[0.8]) and all(seen[0.85]) and sum(seen[0.45]) < 10
+
+
+def test_recall_at_the_threshold(spark):
+    """Links of pairs at or a little above the threshold: nearly all are found."""
+    rng, rows = random.Random(4), []
+    for k in range(150):
+        base = [f"b{k}x{i}" for i in range(100)]
+        other = list(base)
+        for at in rng.sample(range(2, 98, 8), 2):
+            other[at] = f"n{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    want = plain_join(rows)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, _, n in want if n]
+    assert len(linked) > 200 and sum(got[i] == 1 for i in linked) >= 0.98 * len(linked)
+    assert all(got[i] <= n for i, _, n in want)
+
+
+def test_join_of_very_long_and_hot_texts(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-100])), (3, " ".join(long[:100_000]))]
+    rows += [(10 + k, " ".join([f"hot{i}" for i in range(60)] + [f"t{k}"])) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(df, block=16).collect())
+    assert got == collections.Counter([(1, 1, 1), (2, 1, 1), (3, 3, 0), *((10 + k, 10, 79) for k in range(80))])
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 144 and rows > 1
