@@ -38,7 +38,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         discard(old)
         if table.filter("label <> old").limit(1).count() == 0:
             discard(pairs)
-            return table.select("node", F.col("label").alias("component"))
+            out = table.select("node", F.col("label").alias("component"))
+            out.written_to = table.written_to  # so that it can be discarded
+            return out
         labels = table.select("node", "label")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
