@@ -98,15 +98,18 @@ def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a batch of texts, the line of each, and each line's text and number; lines without words are left
     out. Words are found and hashed on the bytes of all texts at once; texts are told apart by where they begin."""
-    low = [(t.as_py() or "").lower().encode() for t in texts]
+    low = [b"" if t is None else t.lower() if t.isascii() else t.decode().lower().encode() for t in texts.cast(pa.binary()).to_pylist()]
     raw = np.frombuffer(b"\n".join([*low, b""]), np.uint8)
     begin = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
+    del low
     gap = raw <= 32
-    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]]) if len(raw) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]]) if len(raw) else starts
-    line_ends = np.cumsum(raw == 10, dtype=np.int64)
-    first_line = np.r_[0, line_ends[begin[1:] - 1]] if len(low) else starts
-    line = line_ends[starts]  # lines of all texts, numbered on
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if len(raw) and not gap[0]:
+        edges = np.r_[0, edges]
+    starts, ends = edges[::2], edges[1::2]  # the last sign is a line's end, so each word has one
+    breaks = np.flatnonzero(raw == 10)
+    line = np.searchsorted(breaks, starts)  # lines of all texts, numbered on
+    first_line = np.searchsorted(breaks, begin)
     new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
     owner = np.searchsorted(first_line, line[new], "right") - 1
     return _word_hashes(raw, starts, ends), np.cumsum(new) - 1, owner, line[new] - first_line[owner]
@@ -170,12 +173,14 @@ class _Lines:
         order = np.argsort(word)
         by_line = line[order]
         order = order[np.argsort(by_line.astype(np.uint16) if len(owner) < 1 << 16 else by_line, kind="stable")]
-        same = (word[order][1:] == word[order][:-1]) & (line[order][1:] == line[order][:-1])
-        if (same & (h[order][1:] != h[order][:-1])).any():  # words that share an order number: their hashes decide
+        in_order = word[order], h[order], line[order]
+        same = (in_order[0][1:] == in_order[0][:-1]) & (in_order[2][1:] == in_order[2][:-1])
+        if (same & (in_order[1][1:] != in_order[1][:-1])).any():  # words that share an order number: their hashes decide
             order = np.lexsort((h, word, line))
-            same = (h[order][1:] == h[order][:-1]) & (line[order][1:] == line[order][:-1])
+            in_order = word[order], h[order], line[order]
+            same = (in_order[1][1:] == in_order[1][:-1]) & (in_order[2][1:] == in_order[2][:-1])
         first = np.r_[True, ~same] if len(word) else np.zeros(0, bool)
-        word, h, line = word[order][first], h[order][first], line[order][first]
+        word, h, line = (x[first] for x in in_order)
         self.word, self.line, self.owner, self.number = word, line, owner, number
         self.n = n = np.bincount(line, minlength=len(owner))
         doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -188,9 +193,13 @@ class _Lines:
             self.set[line[starts]] = np.add.reduceat(mixed, starts)
             self.odd[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
             m = mixed >> np.uint64(16)
-            bit, limb = np.uint64(1) << (m & np.uint64(63)), np.where((n > _LONG)[line], (m >> np.uint64(6)) & np.uint64(3), np.uint64(0))
-            for k in range(4):
-                self.wide[line[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
+            bit = np.uint64(1) << (m & np.uint64(63))
+            if not (n > _LONG).any():
+                self.wide[line[starts], 0] = np.bitwise_xor.reduceat(bit, starts)
+            else:
+                limb = np.where((n > _LONG)[line], (m >> np.uint64(6)) & np.uint64(3), np.uint64(0))
+                for k in range(4):
+                    self.wide[line[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
 
     def postings(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """A posting for each prefix word, and the line of each. Lines of so few words that no set of another size can
@@ -393,8 +402,9 @@ def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None, li
     return dealt.mapInArrow(lean(run), _MEET)
 
 
-def _line_texts(rows: DataFrame, bits: Broadcast) -> DataFrame:
-    """doc, pos, line of at least the lines of a bitmap; a later join is exact. A line once, whatever rows repeat it."""
+def _line_texts(rows: DataFrame, bits: Broadcast, repeated: bool) -> DataFrame:
+    """doc, pos, line of at least the lines of a bitmap; a later join is exact. A line once, whatever rows repeat it
+    (where ids are `repeated`, rows may)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,7 +419,7 @@ def _line_texts(rows: DataFrame, bits: Broadcast) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(pos[at]), pa.array([flat[k] for k in at], pa.string())], names=["doc", "pos", "line"])
 
     texts = materialize(rows.select("doc", "tie", "text").mapInArrow(lean(run), "doc long, pos long, line string"), "line-texts")
-    if texts.groupBy("doc", "pos").count().filter("count > 1").limit(1).count():
+    if repeated and texts.groupBy("doc", "pos").count().filter("count > 1").limit(1).count():
         twice, texts = texts, materialize(texts.dropDuplicates(["doc", "pos"]), "line-texts")
         discard(twice)
     return texts
@@ -481,6 +491,7 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, listed: int = LISTED,
     spark = rows.sparkSession
     parts = 4 * width(spark)
     counts = word_counts(rows)
+    repeated = rows.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
     scratch: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str = "") -> DataFrame:
@@ -496,7 +507,7 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, listed: int = LISTED,
     first = keep(first.select(*line, "x.other_doc", "x.other_pos", "more"), "line-first")
     wanted = met.filter("kind > 1")
     ends = bitmap(wanted.select(*line).union(wanted.select(*other)), _batch_ids)
-    texts = keep(_line_texts(rows, ends))
+    texts = keep(_line_texts(rows, ends, repeated))
     ends.destroy()
     asked = first.select(F.lit(2).alias("kind"), *line, *other, "more").union(met.filter("kind = 3").select("kind", *line, *other, F.lit(False).alias("more")))
     one = keep(_verified(asked, texts, threshold))
@@ -543,7 +554,7 @@ def _all_matches(rows: DataFrame, met: DataFrame, left: DataFrame, counts: Broad
     again = meet(deal(postings(rows, counts, threshold, parts, only)), threshold, lines).filter("kind = 2").select(*line, *other).distinct()
     pairs = materialize(again.join(left, line, "left_semi").join(near.select(*line, *other), [*line, *other], "left_anti"), "line-pairs")
     ends = bitmap(pairs.select(*line).union(pairs.select(*other)), _batch_ids)
-    texts = _line_texts(rows, ends)
+    texts = _line_texts(rows, ends, True)
     verified = _verified(pairs.select(F.lit(2).alias("kind"), *line, F.lit(False).alias("more"), *other), texts, threshold)
     out = materialize(verified.filter("ok").select(*line).distinct(), "line-matches")
     for x in (pairs, texts, verified):
