@@ -33,6 +33,19 @@ def length_bound(threshold: float = THRESHOLD) -> float:
     return min(threshold / (2 - threshold), _CONTAINED)
 
 
+def least_for_pairs(threshold: float = THRESHOLD) -> int:
+    """Length from which two texts that match surely share two signs in a row. Of s signs in both, a match has blocks of
+    t s / 2 signs in all and at most (1 - t) s / 2 + 1 blocks; were all of one sign, s would be 2 / (2 t - 1) at most. A
+    contained text of six signs or more shares them anyway."""
+    return 1 << 30 if threshold <= 0.5 else max(2, int(1 / (2 * threshold - 1)) + 1)
+
+
+def _two_signs(name: str) -> Column:
+    """The distinct pairs of signs that follow one another in a text of two signs or more."""
+    c = F.col(name)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
+
+
 def _contained(node: Column, name: Column) -> Column:
     n, m = F.length(node), F.length(name)
     inside = ((m >= 6) & F.contains(node, name)) | ((n >= 6) & F.contains(name, node))
@@ -49,15 +62,20 @@ def match(names: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> D
     """entity_id, node_id, matched_by, matched_name, score: the best matching name of an entity for each node.
 
     names: entity_id, name, matched_by, name_ord. nodes: node_id. Both are normalised and compared as distinct texts.
-    Equal texts meet by an equi-join. For the others a text meets only texts whose length lies within the bound, by an
-    equi-join on length; a multiset bound on the signs follows, and the ratio is computed for what is left."""
+    Equal texts meet by an equi-join. For the others a text meets only texts whose length lies within the bound and with
+    which it shares two signs that follow one another, by an equi-join on both, so no length is a hot key; a multiset
+    bound on the signs follows, and the ratio is computed for what is left."""
     left = names.withColumn("name_norm", normalize("name")).filter("name_norm <> ''")
     right = nodes.select("node_id", normalize("node_id").alias("node_norm")).filter("node_norm <> ''")
     low = length_bound(threshold)
     a = left.select("name_norm").distinct().withColumn("n", F.length("name_norm"))
     a = a.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * low - 1e-9).cast("int"), F.floor(F.col("n") / low + 1e-9).cast("int"))))
     b = right.select("node_norm").distinct().withColumn("m", F.length("node_norm"))
-    pairs = a.join(b, "m").filter("name_norm <> node_norm")
+    long = least_for_pairs(threshold)
+    two = F.when((F.col("n") >= long) & (F.col("m") >= long), _two_signs("name_norm")).otherwise(F.array(F.lit("")))
+    a = a.withColumn("two", F.explode(two))
+    also = b.withColumn("two", F.explode(F.array_append(_two_signs("node_norm"), "")))
+    pairs = a.join(also, ["m", "two"]).filter("name_norm <> node_norm").drop("two").distinct()
     most = 2.0 * F.size(F.array_intersect(_signs(F.col("node_norm")), _signs(F.col("name_norm")))) / (F.col("n") + F.col("m"))
     contained = _contained(F.col("node_norm"), F.col("name_norm"))
     pairs = pairs.withColumn("contained", contained).filter(F.col("contained") | (most >= threshold - 1e-12))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the graph and extraction formats.
 SEP = "<SEP>"
 FIELD = "<|#|>"
+INPUT_HEADING = "---Input Text---"
 
 
 def _col(x: Column | str) -> Column:
@@ -75,11 +76,22 @@ def longest_block(col: Column | str) -> Column:
 
 def input_section(col: Column | str) -> Column:
     """The fenced text that follows the input heading of a prompt; empty if there is none."""
-    return F.regexp_extract(_col(col), r"(?s)---Input Text---\s*```[^\n]*\n(.*?)```", 1)
+    return F.regexp_extract(_col(col), rf"(?s){INPUT_HEADING}\s*```[^\n]*\n(.*?)```", 1)
 
 
-#: Words that announce a designation.
-ANNOUNCE = ("alias", "callsign", "code", "алиас", "позывной", "реестровый алиас")
+def is_extraction(prompt: Column | str, asked: Column | None = None) -> Column:
+    """Whether a call extracts records: it says so, or its prompt has the input heading."""
+    headed = F.contains(F.coalesce(_col(prompt), F.lit("")), F.lit(INPUT_HEADING))
+    return headed if asked is None else F.coalesce(asked, F.lit(False)) | headed
+
+
+def allowed(options: Column | str, keys: list[str]) -> Column:
+    """Of a map of options, those that a provider takes."""
+    return F.map_filter(_col(options), lambda k, _: k.isin(keys))
+
+
+#: Words that announce a designation, in the order in which they are tried.
+ANNOUNCE = ("алиас", "alias", "позывной", "callsign", "реестровый алиас", "code")
 
 
 def designations(col: Column | str) -> Column:
@@ -118,7 +130,8 @@ def merge_packed(*cols: Column | str) -> Column:
 
 
 def basename(col: Column | str) -> Column:
-    return F.regexp_extract(_col(col), r"[^/\\]*$", 0)
+    """What follows the last slash; a backslash is a sign like others."""
+    return F.regexp_extract(_col(col), "[^/]*$", 0)
 
 
 def percent(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -132,6 +145,23 @@ def retry_delay(message: Column, attempt: Column) -> Column:
     return F.when(named != "", F.try_to_number(named, F.lit("999999.999")).cast("double") + 1.0).otherwise(F.least(2.0 * F.pow(F.lit(2.0), attempt), F.lit(60.0)))
 
 
+def retry_wait(code: Column, attempt: Column, tries: int = 5) -> Column:
+    """Seconds to wait before the next try, by status code: 2, 4, 8, 16 for too many requests and server errors; null
+    where another try is no use (other client errors, or no tries left)."""
+    again = (code == 429) | (code >= 500)
+    return F.when(again & (attempt < tries - 1), F.pow(F.lit(2.0), attempt + 1))
+
+
+def utc_iso(time: Column) -> Column:
+    """A time in UTC, to the second, with Z. The session's time zone is UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def joined_chunks(chunks: Column, order: Column) -> Column:
+    """Aggregate: the parts of a streamed answer, put together in order."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), chunks.alias("c")))), lambda x: x["c"]), "")
+
+
 def structural_name(name: Column, *qualifiers: Column) -> Column:
     """A display name that tells homonyms apart: `name (type, owner)`, leaving out what is missing."""
     inside = F.concat_ws(", ", *[F.when(F.trim(q) != "", q) for q in qualifiers])

@@ -27,7 +27,11 @@ def unify(sections: dict[str, DataFrame]) -> DataFrame:
 def names(entities: DataFrame, id_col: str = "id") -> DataFrame:
     """entity_id, matched_by, name, name_ord: canonical name, aliases, titles, callsigns, in this order."""
     kinds = [("canonical", F.array("name"))] + [(k, F.coalesce(F.col(c), F.array().cast("array<string>"))) for k, c in (("alias", "aliases"), ("title", "titles"), ("callsign", "callsigns")) if c in entities.columns]
-    each = F.concat(*[F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("matched_by"), x.alias("name"))) for k, a in kinds])
+
+    def tagged(kind: str, listed: Column) -> Column:
+        return F.transform(listed, lambda x: F.struct(F.lit(kind).alias("matched_by"), x.alias("name")))
+
+    each = F.concat(*[tagged(k, a) for k, a in kinds])
     out = entities.select(F.col(id_col).alias("entity_id"), F.posexplode(each).alias("name_ord", "x"))
     return out.select("entity_id", "x.matched_by", "x.name", "name_ord").filter("name is not null and trim(name) <> ''")
 

@@ -61,19 +61,28 @@ def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).filter("degree = 1").select("node_id", "neighbour")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 30) -> DataFrame:
-    """source, node, hops: breadth-first distances from each source, level by level. Each level is a written table and
-    meets the graph in one join; nodes seen before are taken out by an anti join."""
+def distances(edges: DataFrame, sources: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """source, node, hops: breadth-first distances from each source, level by level, until there are no new nodes. Each
+    level is a written table and meets the graph in one join; nodes seen before are taken out by an anti join.
+
+    With `wanted` (source, node) only those pairs are given, and a source goes no further once all of its own are
+    found: the rows are those of the levels up to the farthest wanted node of each source, not all pairs."""
     pairs = materialize(both_ways(edges.filter("src <> dst")), "edges")
-    level = materialize(sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("hops", F.lit(0)), "bfs")
-    seen = level
-    for hop in range(1, max_hops + 1):
+    pair = ["source", "node"]
+    asked = None if wanted is None else materialize(wanted.select(*pair).distinct(), "bfs-asked")
+    open_, start = asked, (sources if asked is None else asked).select("source").distinct()
+    level = materialize(start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")), "bfs")
+    seen, hop = level, 0
+    while level.limit(1).count():
+        hop += 1
+        if open_ is not None:
+            open_ = materialize(open_.join(level.select(*pair), pair, "left_anti"), "bfs-open")
+            level = level.join(open_.select("source").distinct(), "source", "left_semi")
         new = level.join(pairs, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
-        level = materialize(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "bfs")
-        if level.limit(1).count() == 0:
-            break
+        level = materialize(new.join(seen.select(*pair), pair, "left_anti").withColumn("hops", F.lit(hop)), "bfs")
         seen = seen.unionByName(level)
-    return seen
+    discard(pairs)
+    return seen if asked is None else seen.join(asked, pair, "left_semi")
 
 
 def two_hops(links: DataFrame) -> DataFrame:
@@ -82,6 +91,8 @@ def two_hops(links: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.child_id") == F.col("b.parent_id")).select(F.col("a.parent_id").alias("grandparent_id"), F.col("a.child_id").alias("parent_id"), F.col("b.child_id").alias("child_id"))
 
 
+#: Rows of split specifications up to which they are broadcast.
+SMALL = 10_000
 _PACKED = ("description", "keywords", "source_id", "file_path")
 
 
@@ -124,6 +135,8 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, specs: DataFrame) -> tuple[D
 
     homonyms = nodes.withColumn("norm", normalize("node_id")).join(specs.select("norm").distinct(), "norm", "left_semi")
     goals = homonyms.select("node_id", "norm").join(specs, "norm")
+    if specs.limit(SMALL + 1).count() <= SMALL:  # then an edge needn't move to its homonym, which may be an end of very many
+        goals = F.broadcast(goals)
     new_nodes = nodes.join(homonyms.select("node_id"), "node_id", "left_anti").unionByName(nodes.join(goals.select("node_id", "target"), "node_id").withColumn("node_id", F.col("target")).drop("target"))
 
     def redirect(e: DataFrame, end: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgaudit.operators.order import numbered
+
 
 def pending(docs: DataFrame, ledger: DataFrame, limit: int | None = None, force: bool = False) -> DataFrame:
     """path, text, sha of documents that the ledger (path, sha) doesn't have in this form; the first by path if there
@@ -16,8 +18,8 @@ def pending(docs: DataFrame, ledger: DataFrame, limit: int | None = None, force:
 
 
 def batches(docs: DataFrame, size: int = 10) -> DataFrame:
-    """With batch: numbers of batches in the order of paths. For the few documents that are pending."""
-    return docs.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("path")) - 1) / size).cast("long"))
+    """With batch: numbers of batches in the order of paths."""
+    return numbered(docs, ["path"], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def commit(ledger: DataFrame, done: DataFrame) -> DataFrame:

@@ -69,6 +69,12 @@ def slices(plan_rows: DataFrame, entities: DataFrame, events: DataFrame, links:
     return plan_rows.select("doc_num").join(e, "doc_num", "left").join(v, "doc_num", "left").join(h, "doc_num", "left")
 
 
+def chosen_events(events: DataFrame, focal: DataFrame) -> DataFrame:
+    """doc_num, event_id: the events (event_id, participant_ids) that a document's focal entity (doc_num, focal) took
+    part in."""
+    return focal.join(events.select("event_id", F.explode("participant_ids").alias("focal")).distinct(), "focal").select("doc_num", "event_id")
+
+
 def missing_targets(plan_rows: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
     """Planned documents whose file isn't there yet; tested before anything costly is done."""
     return plan_rows if overwrite else plan_rows.join(existing.select("filename"), "filename", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgaudit.functions import text as tx
+from kgaudit.operators.gate import leaks
 
 
 def registry_index(entities: DataFrame) -> DataFrame:
@@ -19,13 +20,16 @@ def registry_index(entities: DataFrame) -> DataFrame:
     return out.select(tx.normalize("n").alias("norm"), F.col("id").alias("entity_id"), "entity_ord", "target", "alias_target", "evidence").filter("norm <> ''").distinct()
 
 
-def resolve(mentions: DataFrame, index: DataFrame, compat: bool = False) -> DataFrame:
-    """mention_id, resolved, method, from mentions (mention_id, raw_name, description, context).
+def resolve(mentions: DataFrame, index: DataFrame, compat: bool = False, qualify: bool = False) -> DataFrame:
+    """mention_id, resolved, method, from mentions (mention_id, raw_name, description, context; to qualify also owner,
+    entity_type).
 
     registry    one entity has this name
     evidence    several have it; with compat the first whose keywords occur in the text, else the one of which most
                 occur, if it is alone at that
     designation a designation in the text that overlaps with the name (with compat: or is long enough)
+    qualified   with qualify: a name that several entities have and that nothing else settles, with the mention's owner
+                or else its type, so that no ambiguous name is given bare
     raw         the name as it is
     """
     m = mentions.withColumns({"norm": tx.normalize("raw_name"), "info": F.lower(F.concat_ws(" ", "description", "context"))})
@@ -37,8 +41,9 @@ def resolve(mentions: DataFrame, index: DataFrame, compat: bool = False) -> Data
     ranked = found.withColumns({"n": F.count("*").over(w), "best": F.max("hits").over(w)}).withColumn("ties", F.count_if(F.col("hits") == F.col("best")).over(w))
     fits = (F.col("n") == 1) | (F.col("hits") > 0) & (F.lit(True) if compat else F.col("ties") == 1)
     first = ranked.filter(fits).withColumn("at", F.row_number().over(w.orderBy(*order))).filter("at = 1")
+    shared = ranked.filter("n > 1").select("mention_id").distinct().withColumn("shared", F.lit(True))
     first = first.select("mention_id", F.when(F.col("n") == 1, F.col("target")).otherwise(F.col("alias_target")).alias("known"), F.when(F.col("n") == 1, "registry").otherwise("evidence").alias("how"))
-    out = m.join(first, "mention_id", "left")
+    out = m.join(first, "mention_id", "left").join(shared, "mention_id", "left")
     info = F.concat_ws("\n", "description", "context")
 
     def fits_name(d):
@@ -48,8 +53,13 @@ def resolve(mentions: DataFrame, index: DataFrame, compat: bool = False) -> Data
 
     named = F.get(F.filter(tx.designations(info), fits_name), F.lit(0))
     blank = F.col("norm") == ""
-    resolved = F.when(blank, F.col("raw_name")).otherwise(F.coalesce("known", named, F.trim("raw_name")))
-    method = F.when(blank, "raw").otherwise(F.coalesce("how", F.when(named.isNotNull(), "designation"), F.lit("raw")))
+    last, how_last = F.trim("raw_name"), F.lit("raw")
+    if qualify:
+        by = F.coalesce(F.nullif(F.trim("owner"), F.lit("")), F.nullif(F.trim("entity_type"), F.lit("")))
+        told = F.when(F.col("shared") & by.isNotNull(), tx.structural_name(last, by))
+        last, how_last = F.coalesce(told, last), F.when(told.isNotNull(), "qualified").otherwise("raw")
+    resolved = F.when(blank, F.col("raw_name")).otherwise(F.coalesce("known", named, last))
+    method = F.when(blank, "raw").otherwise(F.coalesce("how", F.when(named.isNotNull(), "designation"), how_last))
     return out.select("mention_id", resolved.alias("resolved"), method.alias("method"))
 
 
@@ -90,8 +100,14 @@ def last_before(rows: DataFrame, key: list[str], order: str, value, name: str =
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def evidence(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """text_id, candidate_ord, keyword: the first candidate of which a keyword is a word of the text. candidates:
-    candidate_ord, keyword. Words meet by an equi-join, so no text is tried against all candidates."""
-    found = texts.select("text_id", F.explode(tx.keywords("text")).alias("keyword")).join(candidates, "keyword")
+def evidence(texts: DataFrame, candidates: DataFrame, substrings: bool = True) -> DataFrame:
+    """text_id, candidate_ord, keyword: the first candidate of which a keyword occurs in the text, in lower case;
+    without `substrings`, as a word of it. candidates: candidate_ord, keyword. Keywords are found by the leak scan, or
+    meet words by an equi-join, so no text is tried against all candidates."""
+    if substrings:
+        lower = texts.select("text_id", F.lower("text").alias("text"))
+        hit = leaks(lower, candidates.select(F.col("keyword").alias("term_id"), F.col("keyword").alias("term")).distinct(), 1)
+        found = hit.withColumnRenamed("term_id", "keyword").join(candidates, "keyword")
+    else:
+        found = texts.select("text_id", F.explode(tx.keywords("text")).alias("keyword")).join(candidates, "keyword")
     return found.groupBy("text_id").agg(F.min(F.struct("candidate_ord", "keyword")).alias("x")).select("text_id", "x.candidate_ord", "x.keyword")

@@ -55,7 +55,8 @@ def _reach(pairs: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:
     out = out.join(cx, "x", "left").join(cy, "y", "left")
     joined = F.coalesce((F.col("x") == F.col("y")) | (F.col("cx") == F.col("cy")), F.lit(False))
     out = materialize(out.withColumns({"direct": F.coalesce("edge", F.lit(False)), "connected": joined}).drop("src", "dst", "edge", "lo", "hi", "cx", "cy"), "reach")
-    far = gr.distances(edges, out.filter("connected").select(F.col("x").alias("source")).distinct())
+    wanted = out.filter("connected").select(F.col("x").alias("source"), F.col("y").alias("node"))
+    far = gr.distances(edges, wanted, wanted)
     return out.join(far.select(F.col("source").alias("x"), F.col("node").alias("y"), "hops"), ["x", "y"], "left")
 
 
@@ -146,12 +147,21 @@ class Report:
         return json.dumps({k: [json.loads(r) for r in getattr(self, k).toJSON().collect()] for k in self.__dataclass_fields__}, ensure_ascii=False, indent=2)
 
     def text(self, verbose: bool = False) -> str:
-        s = self.summary.first().asDict()
+        """The report to read, in eight blocks: gate, coverage, homonyms, splits, hierarchy, multi-hop with sparse nodes,
+        timeline, narrators. For reports of registry size; lists of single cases only with verbose."""
+        rows = lambda df, *by: df.orderBy(*by).collect() if verbose else []
+        s, c = self.summary.first().asDict(), self.coverage.first()
+        h, m, t = hierarchy_summary(self.hierarchy).first(), multi_hop_summary(self.multi_hop).first(), timeline_summary(self.timeline).first()
+        sparse = self.dead_ends.orderBy("node_id").limit(10).collect()
         out = [f"{'PASS' if s['passed'] else 'FAIL'}", *[f"{k}: {v}" for k, v in s.items() if k != "passed"]]
-        if verbose:
-            out += [f"missing: {r['entity_id']}" for r in self.missing.orderBy("entity_id").collect()]
-            out += [f"split: {r['entity_id']} ({r['nodes']} nodes)" for r in self.splits.orderBy("entity_id").collect()]
-            out += [f"sparse: {r['node_id']} - {r['neighbour']}" for r in self.dead_ends.orderBy("node_id").limit(10).collect()]
+        out += ["", f"coverage: {c['pct']} % ({c['found']} of {c['total']})", *[f"  missing: {r['entity_id']}" for r in rows(self.missing, "entity_id")]]
+        out += ["", f"homonym groups: {s['separated']} separated, {s['collapsed']} collapsed", *[f"  {r['norm_name']}: {r['group_size']} entities, {r['nodes']} nodes, {'collapsed' if r['collapsed'] else 'separated'}" for r in rows(self.homonyms, "norm_name")]]
+        out += ["", f"entities of several nodes: {self.splits.count()}", *[f"  split: {r['entity_id']} ({r['nodes']} nodes)" for r in rows(self.splits, "entity_id")]]
+        out += ["", f"hierarchy: {h['pct']} % ({h['covered']} of {h['total']}, {h['direct']} direct), deepest level {h['max_level']}, {h['collapsed_links']} links within a node", *[f"  open: {r['parent_id']} - {r['child_id']}" for r in rows(self.hierarchy.filter("not coalesce(covered, false)"), "parent_id", "child_id")]]
+        out += ["", f"two hops: {m['pct']} % ({m['reachable']} of {m['total']}, {m['strict']} between different nodes)", *[f"  out of reach: {r['grandparent_id']} - {r['parent_id']} - {r['child_id']}" for r in rows(self.multi_hop.filter("not coalesce(reachable, false)"), "grandparent_id", "parent_id", "child_id")]]
+        out += [f"  without edges: {self.isolated.count()}, with one: {self.dead_ends.count()}", *([f"  sparse: {r['node_id']} - {r['neighbour']}" for r in sparse] if verbose else [])]
+        out += ["", f"timeline: {t['pct']} % ({t['counted']} of {t['total']}, {t['covered']} by connected nodes)", *[f"  open: {r['event_id']}" for r in rows(self.timeline.filter("not counted"), "event_id")]]
+        out += ["", "narrators:", *[f"  {r['narrator']}: {r['nodes']} nodes, {r['edges']} edges" for r in self.contributions.orderBy("narrator").collect()]]
         return "\n".join(out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgaudit.functions import fuzzy as fz
@@ -14,6 +14,7 @@ from kgaudit.operators import gate as gt
 from kgaudit.operators import graph as gr
 from kgaudit.operators import ledger as lg
 from kgaudit.operators import limiter as lm
+from kgaudit.operators import order as od
 from kgaudit.operators import planning as pl
 from kgaudit.operators import resolve as rs
 from kgaudit.operators import vectors as vc
@@ -78,9 +79,9 @@ def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lg.pending(docs, done).select(F.col("path").alias("doc_id"), "sha")
 
 
-@query("WITH d AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch FROM documents WHERE doc_id % 2 = 1) SELECT batch::BIGINT AS batch, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY batch")
+@query("WITH d AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch FROM documents) SELECT batch::BIGINT AS batch, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY batch")
 def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").select(F.col("doc_id").alias("path"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
     return lg.batches(docs).groupBy("batch").agg(F.count("*").alias("n"), F.min("path").alias("first_id"))
 
 
@@ -98,9 +99,11 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.slug("text").alias("slug"), tx.document_name("doc_id", "source", "text").alias("filename"))
 
 
-@query("SELECT d AS designation, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '\\b([A-Z0-9]{2,}-[A-Za-z0-9-]+)\\b', 1)) AS d FROM pages) GROUP BY d")
+@query("SELECT d AS designation, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '\\b([A-Z0-9]{2,}-[A-Za-z0-9-]+)\\b', 1)) AS d FROM pages UNION ALL SELECT unnest(regexp_extract_all(html, '(?i)\\b(?:alias|callsign|code)\\s*[:—-]\\s*([A-Za-z0-9_-]+)', 1)) FROM pages UNION ALL SELECT 'unit_' || page_id % 50 FROM pages) GROUP BY d")
 def designations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.explode(F.filter(tx.designations("html"), lambda x: F.regexp_like(x, F.lit("^[A-Z0-9]{2,}-[A-Za-z0-9-]+$")))).alias("designation"))
+    """Designations in pages to which an announced one is added."""
+    announced = F.concat("html", F.lit("\n callsign: `unit_"), (F.col("page_id") % 50).cast("string"), F.lit("`"))
+    pages = table(spark, sf_dir, "pages").select(F.explode(tx.designations(announced)).alias("designation"))
     return pages.groupBy("designation").agg(F.count("*").alias("n"))
 
 
@@ -236,16 +239,44 @@ def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.alias_map(_part_entities(spark, sf_dir).select("id", "name").union(suppliers))
 
 
-@query(f"WITH t AS (SELECT item_id, unnest(list_distinct(string_split_regex(lower(text), '\\s+'))) AS keyword FROM benchmark), w AS (SELECT item_id AS text_id, keyword FROM t WHERE length(keyword) >= 4), k AS (SELECT DISTINCT (length(keyword) * 100 + ascii(keyword))::INT AS candidate_ord, keyword FROM w) SELECT text_id, min(candidate_ord) AS candidate_ord FROM w JOIN k USING (keyword) GROUP BY text_id")
+@query("WITH t AS (SELECT item_id, lower(text) AS text FROM benchmark), w AS (SELECT DISTINCT keyword FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS keyword FROM t) WHERE length(keyword) >= 4), k AS (SELECT (length(keyword) * 100 + ascii(keyword))::INT AS candidate_ord, keyword FROM w) SELECT item_id AS text_id, min(candidate_ord) AS candidate_ord FROM t JOIN k ON contains(text, keyword) GROUP BY item_id")
 def evidence_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first candidate that a benchmark text has a keyword of; candidates are numbered by length and first sign of
-    their keyword."""
+    """The first candidate of which a keyword occurs in a benchmark text; candidates are numbered by length and first
+    sign of their keyword."""
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text")
     words = texts.select(F.explode(tx.keywords("text")).alias("keyword")).distinct()
     candidates = words.select((F.length("keyword") * 100 + F.ascii("keyword")).alias("candidate_ord"), "keyword")
     return rs.evidence(texts, candidates).select("text_id", "candidate_ord")
 
 
+@query(
+    """WITH e AS (SELECT p_partkey AS id, p_name AS name, [p_name || ' ' || p_partkey] AS aliases, lower(p_type || ' ' || p_brand) AS d FROM part
+  UNION ALL SELECT 1000000 + s_suppkey, s_name, ['agent ' || s_suppkey], 'supplier' FROM supplier),
+x AS (SELECT DISTINCT id, name, aliases[1] AS alias, list_filter(list_distinct(string_split(d, ' ')), lambda k: length(k) >= 4) AS evidence, {n} AS norm FROM (SELECT *, unnest(list_distinct([name] || aliases)) AS v FROM e)),
+m AS (SELECT p_partkey AS mention_id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'Supplier#' || lpad((p_partkey % 10)::VARCHAR, 9, '0') WHEN 2 THEN 'unit ' || p_partkey ELSE p_name END AS raw,
+  CASE WHEN p_partkey % 4 = 3 THEN '' ELSE p_type END AS description, CASE WHEN p_partkey % 8 = 2 THEN 'callsign: unit_x' ELSE CASE WHEN p_partkey % 4 = 3 THEN 'nothing' ELSE lower(p_brand) END END AS context, p_brand AS owner FROM part),
+f AS (SELECT m.*, x.*, len(list_filter(evidence, lambda k: contains(lower(description || ' ' || context), k))) AS hits FROM m JOIN x ON x.norm = {r}),
+b AS (SELECT mention_id, count(*) AS n, max(hits) AS best FROM f GROUP BY mention_id),
+g AS (SELECT mention_id, n, best, count(*) FILTER (WHERE hits = best) AS ties, min(name) AS only_name, min(alias) FILTER (WHERE hits = best) AS alias FROM f JOIN b USING (mention_id) GROUP BY ALL)
+SELECT m.mention_id,
+  CASE WHEN n = 1 THEN only_name WHEN n > 1 AND best > 0 AND ties = 1 THEN alias WHEN n IS NULL AND m.mention_id % 8 = 2 AND contains('unit_x', {r}) THEN 'unit_x' WHEN n > 1 THEN trim(raw) || ' (' || owner || ')' ELSE trim(raw) END AS resolved,
+  CASE WHEN n = 1 THEN 'registry' WHEN n > 1 AND best > 0 AND ties = 1 THEN 'evidence' WHEN n IS NULL AND m.mention_id % 8 = 2 AND contains('unit_x', {r}) THEN 'designation' WHEN n > 1 THEN 'qualified' ELSE 'raw' END AS method
+FROM m LEFT JOIN g USING (mention_id)""".replace("{n}", NORM.format("v")).replace("{r}", NORM.format("raw"))
+)
+def resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mention for each part, resolved against a registry of parts and suppliers: by name, by evidence, by a
+    designation, by its owner where the name is ambiguous, or left as it is."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    p = part.select(key.alias("id"), F.col("p_name").alias("name"), F.array(F.concat_ws(" ", "p_name", key.cast("string"))).alias("aliases"), F.col("p_type").alias("type"), F.col("p_brand").alias("description"), F.lit(False).alias("is_homonym_risk"))
+    agents = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("agent "), F.col("s_suppkey").cast("string"))).alias("aliases"), F.lit("supplier").alias("type"), F.lit(None).cast("string").alias("description"), F.lit(False).alias("is_homonym_risk"))
+    registry = p.unionByName(agents).withColumn("entity_ord", F.col("id"))
+    agent = F.concat(F.lit("Supplier#"), F.lpad((key % 10).cast("string"), 9, "0"))
+    raw = F.when(key % 4 == 0, F.upper("p_name")).when(key % 4 == 1, agent).when(key % 4 == 2, F.concat(F.lit("unit "), key.cast("string"))).otherwise(F.col("p_name"))
+    context = F.when(key % 8 == 2, "callsign: unit_x").when(key % 4 == 3, "nothing").otherwise(F.lower("p_brand"))
+    mentions = part.select(key.alias("mention_id"), raw.alias("raw_name"), F.when(key % 4 == 3, "").otherwise(F.col("p_type")).alias("description"), context.alias("context"), F.col("p_brand").alias("owner"), F.col("p_type").alias("entity_type"))
+    return rs.resolve(mentions, rs.registry_index(registry), qualify=True)
+
+
 @query(f"SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN sha256(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user FROM conversations")
 def asof_last_user_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -299,12 +330,12 @@ def hierarchy_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and the parts that they delivered in the first weeks, as edges."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 400")
+    """Suppliers and the parts that they delivered, as edges."""
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), F.concat(F.lit("o"), "l_orderkey").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
 
 
-_SUPPLY = "(SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_quantity AS weight, 'o' || l_orderkey AS source_id, l_orderkey * 10 + l_linenumber AS ord FROM lineitem WHERE l_orderkey <= 400)"
+_SUPPLY = "(SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_quantity AS weight, 'o' || l_orderkey AS source_id, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
 
 
 @query(f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {_SUPPLY}), d AS (SELECT a AS n, b AS m FROM e UNION ALL SELECT b, a FROM e), v AS (SELECT 's' || s_suppkey AS node_id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part) SELECT node_id, count(m) AS degree, min(m) AS neighbour FROM v LEFT JOIN d ON n = node_id GROUP BY node_id")
@@ -313,21 +344,20 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.degrees(nodes, _supply(spark, sf_dir))
 
 
-_ORDER_EDGES = "(SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderkey <= 300)"
+_ORDER_EDGES = "(SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders)"
 
 
 @query(f"WITH RECURSIVE d AS (SELECT src AS a, dst AS b FROM {_ORDER_EDGES} UNION SELECT dst, src FROM {_ORDER_EDGES}), t(node, other) AS (SELECT DISTINCT a, a FROM d UNION SELECT t.node, d.b FROM t JOIN d ON d.a = t.other) SELECT node, min(other) AS component FROM t GROUP BY node")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey <= 300")
+    o = table(spark, sf_dir, "orders")
     return gr.components(o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst")))
 
 
-@query(f"WITH RECURSIVE d AS (SELECT DISTINCT src AS a, dst AS b FROM {_SUPPLY} UNION SELECT dst, src FROM {_SUPPLY}), t(node, hops) AS (SELECT (SELECT min(a) FROM d), 0 UNION SELECT d.b, t.hops + 1 FROM t JOIN d ON d.a = t.node WHERE t.hops < 12) SELECT (SELECT min(a) FROM d) AS source, node, min(hops)::INT AS hops FROM t GROUP BY node")
+@query(f"WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM {_SUPPLY} UNION SELECT dst, src FROM {_SUPPLY}), t(node, hops) USING KEY (node) AS (SELECT (SELECT min(a) FROM d), 0 UNION SELECT d.b, min(t.hops) + 1 FROM t JOIN d ON d.a = t.node WHERE d.b NOT IN (SELECT node FROM recurring.t) GROUP BY d.b) SELECT (SELECT min(a) FROM d) AS source, node, hops::INT AS hops FROM t")
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances from one node of the supply graph."""
+    """Distances from one node of the supply graph to all that it is connected with."""
     e = _supply(spark, sf_dir)
-    first = gr.both_ways(e).agg(F.min("src").alias("source"))
-    return gr.distances(e, first, 12)
+    return gr.distances(e, gr.both_ways(e).agg(F.min("src").alias("source")))
 
 
 @query(f"WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, * FROM {_SUPPLY}), u AS (SELECT a, b, source_id, min(ord) AS o FROM e GROUP BY a, b, source_id) SELECT e.a AS src, e.b AS dst, sum(weight)::DOUBLE AS weight, (SELECT string_agg(source_id, '<SEP>' ORDER BY o) FROM u WHERE u.a = e.a AND u.b = e.b) AS source_id FROM e GROUP BY e.a, e.b")
@@ -338,7 +368,7 @@ def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH c AS (SELECT {NORM.format('p_name')} AS norm, min(p_partkey) AS canon FROM part GROUP BY 1),
 m AS (SELECT p_partkey, 'p' || canon AS canonical FROM part JOIN c ON c.norm = {NORM.format('p_name')}),
-e AS (SELECT 's' || l_suppkey AS a, canonical AS b, l_quantity AS w FROM lineitem JOIN m ON l_partkey = p_partkey WHERE l_orderkey <= 400)
+e AS (SELECT 's' || l_suppkey AS a, canonical AS b, l_quantity AS w FROM lineitem JOIN m ON l_partkey = p_partkey)
 SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(w)::DOUBLE AS weight FROM e GROUP BY 1, 2"""
 )
 def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,27 +381,71 @@ def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag FROM lineitem WHERE l_orderkey <= 400),
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag FROM lineitem),
 e AS (SELECT 's' || l_suppkey AS a, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END AS b, l_quantity AS w FROM l)
 SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(w)::DOUBLE AS weight FROM e GROUP BY 1, 2 UNION ALL SELECT 'kept', 'returned', 1.0"""
 )
 def node_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node `goods` split by the return flag that its edges speak of."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 400")
+    li = table(spark, sf_dir, "lineitem")
     edges = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.lit("goods").alias("dst"), F.col("l_quantity").alias("weight"), F.concat(F.lit("flag "), "l_returnflag").alias("description"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     nodes = edges.select(F.col("src").alias("node_id")).distinct().union(edges.select("dst").distinct())
     specs = spark.createDataFrame([("goods", "kept", 0, ["flag a", "flag n"]), ("goods", "returned", 1, ["flag r"])], "norm string, target string, target_ord int, keywords array<string>")
     return gr.split_nodes(nodes, edges, specs)[1].select("src", "dst", "weight")
 
 
+_NAMED = f"(SELECT p_partkey, 'p' || canon AS canonical FROM part JOIN (SELECT {NORM.format('p_name')} AS norm, min(p_partkey) AS canon FROM part GROUP BY 1) c ON c.norm = {NORM.format('p_name')})"
+
+
+def _confused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, splits and aliases of a graph of suppliers, parts of several names, and a node `goods` that stands
+    for two things."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.col("p_type").alias("description"), F.col("p_partkey").alias("ord"), tx.normalize("p_name").alias("name"))
+    first = part.groupBy("name").agg(F.min("ord").alias("k"))
+    aliases = part.join(first, "name").select(F.col("node_id").alias("norm"), F.concat(F.lit("p"), "k").alias("canonical"))
+    li = table(spark, sf_dir, "lineitem")
+    at = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")
+    supply = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), F.lit("").alias("description"), at)
+    goods = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.lit("goods").alias("dst"), F.col("l_quantity").alias("weight"), F.concat(F.lit("flag "), "l_returnflag").alias("description"), at)
+    others = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.lit("").alias("description"), (-1 - F.col("s_suppkey")).alias("ord"))
+    nodes = part.drop("name").unionByName(others).union(spark.createDataFrame([("goods", "", -1_000_000_000)], "node_id string, description string, ord long")).withColumn("entity_type", F.when(F.col("ord") < 0, "").otherwise("part"))
+    specs = spark.createDataFrame([("goods", "kept", 0, ["flag a", "flag n"]), ("goods", "returned", 1, ["flag r"])], "norm string, target string, target_ord int, keywords array<string>")
+    return nodes, supply.unionByName(goods), specs, aliases
+
+
+@query(f"WITH m AS {_NAMED}, e AS (SELECT 's' || l_suppkey AS a, canonical AS b, l_quantity AS w FROM lineitem JOIN m ON l_partkey = p_partkey UNION ALL SELECT 's' || l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END, l_quantity FROM lineitem) SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(w)::DOUBLE AS weight FROM e GROUP BY 1, 2 UNION ALL SELECT 'kept', 'returned', 1.0")
+def disambiguated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.disambiguate(*_confused(spark, sf_dir))[1].select("src", "dst", "weight")
+
+
+@query(f"WITH m AS {_NAMED}, t AS (SELECT canonical, p_type, min(p_partkey) AS o FROM part JOIN m USING (p_partkey) GROUP BY ALL) SELECT canonical AS node_id, 'part' AS entity_type, string_agg(p_type, '<SEP>' ORDER BY o) AS description FROM t GROUP BY canonical UNION ALL SELECT 's' || s_suppkey, NULL, '' FROM supplier UNION ALL SELECT unnest(['kept', 'returned']), NULL, ''")
+def disambiguated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.disambiguate(*_confused(spark, sf_dir))[0].select("node_id", "entity_type", "description")
+
+
+@query(f"WITH m AS {_NAMED}, e AS (SELECT DISTINCT l_suppkey, canonical FROM lineitem JOIN m ON l_partkey = p_partkey UNION SELECT DISTINCT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END FROM lineitem) SELECT 1::BIGINT AS homonyms, (SELECT count(*) FROM m WHERE canonical <> 'p' || p_partkey) AS renamed, (SELECT count(DISTINCT canonical) FROM m) + (SELECT count(*) FROM supplier) + 2 AS nodes, (SELECT count(*) FROM e) + 1 AS edges")
+def disambiguated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.disambiguate(*_confused(spark, sf_dir))[2]
+
+
+@query("WITH d AS (SELECT 'c' || c_custkey AS n, 'n' || c_nationkey AS m FROM customer UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), v AS (SELECT 'c' || c_custkey AS node_id FROM customer UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier), g AS (SELECT node_id, count(m) AS k, min(m) AS neighbour FROM v LEFT JOIN d ON n = node_id GROUP BY node_id) SELECT node_id, neighbour, CASE WHEN k = 0 THEN 'isolated' ELSE 'dead end' END AS kind FROM g WHERE k < 2")
+def sparse_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolated nodes and dead ends of customers and their nations; suppliers are nodes without edges."""
+    c = table(spark, sf_dir, "customer")
+    edges = c.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    nodes = edges.select(F.col("dst").alias("node_id")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"))).union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey")))
+    alone = gr.isolated(nodes, edges).select("node_id", F.lit(None).cast("string").alias("neighbour"), F.lit("isolated").alias("kind"))
+    return alone.unionByName(gr.dead_ends(nodes, edges).withColumn("kind", F.lit("dead end")))
+
+
 # --- checks of a graph ------------------------------------------------------------------------------------------------
 
 
-@query("WITH f AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey <= 100) SELECT count(*) AS total, count(l_suppkey) AS found, count(*) - count(l_suppkey) AS missing, round_even(100.0 * count(l_suppkey) / count(*), 2)::DOUBLE AS pct FROM supplier LEFT JOIN f ON l_suppkey = s_suppkey")
+@query("WITH f AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1) SELECT count(*) AS total, count(l_suppkey) AS found, count(*) - count(l_suppkey) AS missing, round_even(100.0 * count(l_suppkey) / count(*), 2)::DOUBLE AS pct FROM supplier LEFT JOIN f ON l_suppkey = s_suppkey")
 def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many suppliers the first orders mention."""
+    """How many suppliers delivered some item in large number at the full discount."""
     e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    found = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 100").select(F.col("l_suppkey").alias("entity_id"))
+    found = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_suppkey").alias("entity_id"))
     return vf.coverage(e, found)
 
 
@@ -402,10 +476,38 @@ def hierarchy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vf.hierarchy(links.drop("k"), found, edges, parts).withColumn("hops", F.coalesce("hops", F.lit(-1)))
 
 
-@query("SELECT l_orderkey AS event_id, 1 + count(DISTINCT l_suppkey) AS nodes, true AS is_covered, true AS counted FROM lineitem WHERE l_orderkey <= 300 GROUP BY 1")
+@query("SELECT 'r' || n_regionkey AS grandparent_id, 'n' || n_nationkey AS parent_id, 'c' || c_custkey AS child_id, n_nationkey % 5 <> 0 AS reachable, n_nationkey % 5 <> 0 AS strict, CASE WHEN n_nationkey % 5 <> 0 THEN 2 ELSE -1 END AS hops FROM nation JOIN customer ON c_nationkey = n_nationkey")
+def multi_hop_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region to customer by way of the nation, in a graph that lacks each fifth nation's edge to its region."""
+    links = _hierarchy(spark, sf_dir)
+    edges = links.filter("level = 3 or cast(substr(child_id, 2) as int) % 5 <> 0").select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst"))
+    ids = links.select(F.col("parent_id").alias("entity_id")).union(links.select("child_id")).distinct()
+    found = ids.select("entity_id", F.col("entity_id").alias("node_id"))
+    parts = gr.components(edges, ids.select(F.col("entity_id").alias("node")))
+    out = vf.multi_hop(links, found, edges, parts).withColumn("hops", F.coalesce("hops", F.lit(-1)))
+    return out.select("grandparent_id", "parent_id", "child_id", "reachable", "strict", "hops")
+
+
+@query("SELECT round_even(100.0 * (5 + count(*) FILTER (WHERE n_nationkey % 6 <> 0)) / (5 + count(*)), 2)::DOUBLE AS entity_pct, 0::BIGINT AS collapsed, 0::BIGINT AS separated, round_even(100.0 * count(*) FILTER (WHERE n_nationkey % 6 <> 0) / count(*), 2)::DOUBLE AS hierarchy_pct, 2 AS max_level, 100.0::DOUBLE AS multi_hop_pct, (SELECT round_even(100.0 * count(*) FILTER (WHERE k > 0) / count(*), 2) FROM (SELECT count(*) FILTER (WHERE n_nationkey % 6 <> 0) AS k FROM nation GROUP BY n_regionkey))::DOUBLE AS timeline_pct, (100.0 * (5 + count(*) FILTER (WHERE n_nationkey % 6 <> 0)) / (5 + count(*)) >= 70 AND 100.0 * count(*) FILTER (WHERE n_nationkey % 6 <> 0) / count(*) >= 50) AS passed FROM nation")
+def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole verification and its gate: regions and nations as the reference, a graph without each sixth nation."""
+    named = lambda df, p: df.select(F.concat(F.lit(p), f"{p}_key").alias("id"), F.substring(F.sha2(F.concat(F.lit(p), F.col(f"{p}_key").cast("string")), 256), 1, 16).alias("name"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n_key"), F.col("n_regionkey").alias("r_key"))
+    e = named(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r_key")), "r").union(named(nation, "n"))
+    links = nation.select(F.concat(F.lit("r"), "r_key").alias("parent_id"), F.concat(F.lit("n"), "n_key").alias("child_id"), F.lit(2).alias("level"), "n_key")
+    name = lambda df, id_, out: df.join(e.select(F.col("id").alias(id_), F.col("name").alias(out)), id_)
+    there = name(name(links.filter("n_key % 6 <> 0"), "parent_id", "src"), "child_id", "dst")
+    edges = there.select("src", "dst", F.lit("a.md").alias("file_path"))
+    nodes = e.join(links.filter("n_key % 6 = 0").select(F.col("child_id").alias("id")), "id", "left_anti").select(F.col("name").alias("node_id"), F.lit("a.md").alias("file_path"))
+    who = links.select(F.col("parent_id").alias("event_id"), F.col("child_id").alias("entity_id"))
+    narrators = spark.createDataFrame([("a.md", "log")], "file string, narrator string")
+    return vf.run(e, links.drop("n_key"), who, nodes, edges, narrators).summary
+
+
+@query("SELECT l_orderkey AS event_id, 1 + count(DISTINCT l_suppkey) AS nodes, true AS is_covered, true AS counted FROM lineitem GROUP BY 1")
 def timeline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as events, the order itself and its suppliers as participants, edges between them."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 300").select("l_orderkey", F.concat(F.lit("o"), "l_orderkey").alias("o"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("o"), "l_orderkey").alias("o"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
     who = li.select(F.col("l_orderkey").alias("event_id"), F.col("o").alias("entity_id")).union(li.select("l_orderkey", "s")).distinct()
     found = who.select("entity_id", F.col("entity_id").alias("node_id")).distinct()
     return vf.timeline(who, found, gr.components(li.select(F.col("o").alias("src"), F.col("s").alias("dst"))))
@@ -441,9 +543,26 @@ def document_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fuzzy matching ---------------------------------------------------------------------------------------------------
 
 
-@query()
+def _block(a: str, b: str, alo: str, ahi: str, blo: str, bhi: str) -> str:
+    """SQL: the longest common block of two parts of texts (k signs from i and j), the first of equals."""
+    lcp = f"len(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda l: substr({a}, i + 1, l) = substr({b}, j + 1, l)))"
+    each = f"flatten(list_transform(range({alo}, {ahi}), lambda i: list_transform(range({blo}, {bhi}), lambda j: {{'k': {lcp}, 'i': -i, 'j': -j}})))"
+    return f"coalesce(list_max({each}), {{'k': 0, 'i': 0, 'j': 0}})"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT p_name AS id, {NORM.format('p_name')} AS b FROM part),
+v AS (SELECT p_name || 's' AS node_id FROM (SELECT DISTINCT p_name FROM part) UNION ALL SELECT reverse(p_name) FROM (SELECT DISTINCT p_name FROM part)),
+n AS (SELECT node_id, {NORM.format('node_id')} AS a FROM v),
+p AS MATERIALIZED (SELECT DISTINCT a, b FROM n, e WHERE a <> b AND 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= 0.82),
+s AS (SELECT a, b, 0::BIGINT AS alo, length(a) AS ahi, 0::BIGINT AS blo, length(b) AS bhi, {_block('a', 'b', '0', 'length(a)', '0', 'length(b)')} AS m FROM p
+  UNION ALL SELECT a, b, c.alo, c.ahi, c.blo, c.bhi, {_block('a', 'b', 'c.alo', 'c.ahi', 'c.blo', 'c.bhi')} FROM (SELECT a, b, unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}}, {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi}}]) AS c FROM s WHERE m.k > 0)),
+r AS (SELECT a, b, 2.0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM s GROUP BY a, b),
+q AS (SELECT e.id, n.node_id, CASE WHEN n.a = e.b THEN 1.0 WHEN ((length(e.b) >= 6 AND contains(n.a, e.b)) OR (length(n.a) >= 6 AND contains(e.b, n.a))) AND least(length(n.a), length(e.b)) / greatest(length(n.a), length(e.b)) >= 0.7 THEN 0.9 WHEN r.ratio >= 0.82 THEN r.ratio END::DOUBLE AS score FROM n, e LEFT JOIN r ON r.a = n.a AND r.b = e.b)
+SELECT id AS entity_id, node_id, 'canonical' AS matched_by, id AS matched_name, score FROM q WHERE score IS NOT NULL"""
+)
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best match of each part name among the customers' and parts' names."""
+    """Matches of the part names with their plurals and with themselves backwards."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     e = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"))
     nodes = names.select(F.concat("p_name", F.lit("s")).alias("node_id")).union(names.select(F.reverse("p_name")))
@@ -468,18 +587,23 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _asked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return _vectors(spark, sf_dir).filter(F.col("id") < n).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: each hundredth vector, held against all."""
+    return _vectors(spark, sf_dir).filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_RANKED = f"(SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
 
 
-@query(f"SELECT b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_COS} DESC, b.vec_id LIMIT 10")
+@query(f"SELECT query_id, id, score FROM {_RANKED} WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vc.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir, 1), 10).select("id", F.round("score", 6).alias("score"))
+    return vc.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query_id, id, score, rank::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20) WHERE rank <= 40")
+@query(f"SELECT query_id, id, score, rank::INT AS rank FROM {_RANKED} WHERE rank <= 40")
 def vector_topk_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vc.top_k(_vectors(spark, sf_dir).drop("label"), _asked(spark, sf_dir, 20)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    """The same with the default number of neighbours, in blocks of queries."""
+    return vc.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), block_bytes=16_384).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _KINDS = "CASE WHEN label < 4 THEN 'entity' WHEN label < 7 THEN 'relation' ELSE 'chunk' END"
@@ -487,7 +611,7 @@ _KINDS = "CASE WHEN label < 4 THEN 'entity' WHEN label < 7 THEN 'relation' ELSE
 
 @query(
     f"""WITH v AS (SELECT vec_id AS id, {_KINDS} AS kind, embedding FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.id, b.kind, {_COS} AS score FROM embeddings a, v b WHERE a.vec_id < 3),
+s AS (SELECT a.vec_id AS query_id, b.id, b.kind, {_COS} AS score FROM embeddings a, v b WHERE a.vec_id % 100 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS r FROM s) WHERE r <= CASE kind WHEN 'chunk' THEN 20 ELSE 40 END),
 g AS (SELECT r.id AS rel_id, (SELECT max(e.id) FROM v e WHERE e.kind = 'entity' AND e.id <= r.id) AS src, (SELECT min(e.id) FROM v e WHERE e.kind = 'entity' AND e.id >= r.id) AS dst FROM v r WHERE r.kind = 'relation'),
 l AS (SELECT query_id, kind, id, score FROM t WHERE kind = 'entity' UNION ALL SELECT query_id, 'relation', rel_id, score FROM t JOIN g ON t.id = g.src OR t.id = g.dst WHERE kind = 'entity'),
@@ -496,14 +620,12 @@ m AS (SELECT 'local' AS mode, * FROM l UNION ALL SELECT 'global', * FROM o UNION
 SELECT query_id, mode, kind, id, round(max(score), 6) AS score FROM m WHERE id IS NOT NULL GROUP BY ALL"""
 )
 def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All modes for three questions; a relation's ends are the entities with the nearest ids on either side."""
+    """All modes; a relation's ends are the entities with the nearest ids on either side."""
     label = F.col("label")
     v = _vectors(spark, sf_dir).withColumn("kind", F.when(label < 4, "entity").when(label < 7, "relation").otherwise("chunk")).drop("label")
-    near = Window.partitionBy().orderBy("id")
-    is_entity = F.when(F.col("kind") == "entity", F.col("id"))
-    g = v.select("id", "kind", F.last(is_entity, True).over(near.rowsBetween(Window.unboundedPreceding, 0)).alias("src"), F.first(is_entity, True).over(near.rowsBetween(0, Window.unboundedFollowing)).alias("dst"))
+    g = od.nearest(v.select("id", "kind"), "id", F.when(F.col("kind") == "entity", F.col("id")), "src", "dst")
     g = g.filter("kind = 'relation'").select(F.col("id").alias("rel_id"), "src", "dst")
-    out = vc.retrieve_all(v, g, _asked(spark, sf_dir, 3), ("local", "global", "hybrid", "naive", "mix", "bypass"))
+    out = vc.retrieve_all(v, g, _asked(spark, sf_dir), ("local", "global", "hybrid", "naive", "mix", "bypass"))
     return out.filter("id is not null").withColumn("score", F.round("score", 6))
 
 
@@ -524,12 +646,85 @@ def sliding_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.trailing_counts(_requests(spark, sf_dir), 3600).select("key", "request_id", "in_window")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch(date_trunc('second', ts))::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)), event_id) AS n FROM events),
+a(user_id, n, held) AS (SELECT user_id, n, [t] FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, list_slice(held || [CASE WHEN len(held) >= 3 AND now - held[-3] < 3600.0::DOUBLE THEN held[-3] + 3600.0::DOUBLE + 0.05::DOUBLE ELSE now END], -3, -1) FROM (SELECT a.user_id, e.n, held, greatest(held[-1], e.t) AS now FROM a JOIN e ON e.user_id = a.user_id AND e.n = a.n + 1))
+SELECT user_id AS key, event_id AS request_id, t AS at, held[-1] AS admitted, held[-1] - t AS waited FROM a JOIN e USING (user_id, n)"""
+)
 def rate_limiter_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three requests an hour for each user."""
     return lm.admissions(_requests(spark, sf_dir), 3, 3600.0)
 
 
+@query("SELECT c AS code, a::BIGINT AS attempt, CASE WHEN (c = 429 OR c >= 500) AND a < 4 THEN 2.0 ** (a + 1) END::DOUBLE AS wait FROM (SELECT unnest([400, 404, 429, 500, 503])) t(c), range(6) r(a)")
+def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.range(6).select(F.col("id").alias("attempt"), F.explode(F.array(*[F.lit(c) for c in (400, 404, 429, 500, 503)])).alias("code"))
+    return t.select("code", "attempt", tx.retry_wait(F.col("code"), F.col("attempt")).alias("wait"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, props LIKE '%1%' OR event_type = 'error' AS extraction FROM events")
+def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of a provider: when, and whether they extract records (asked for, or by the prompt's heading)."""
+    e = table(spark, sf_dir, "events")
+    prompt = F.when(F.col("event_type") == "error", F.concat(F.lit("x ---Input Text--- "), "props")).otherwise(F.col("props"))
+    return e.select("event_id", tx.utc_iso(F.col("ts").cast("timestamp")).alias("at"), tx.is_extraction(prompt, F.contains("props", F.lit("1"))).alias("extraction"))
+
+
+@query("SELECT event_id, 'v' || value AS temperature, 2::BIGINT AS options FROM events")
+def provider_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of calls, cut down to those that a provider takes."""
+    e = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("temperature"), F.concat(F.lit("v"), F.col("value").cast("string")), F.lit("model"), F.col("event_type"), F.lit("secret"), F.col("props")).alias("o"))
+    return e.withColumn("o", tx.allowed("o", ["temperature", "model"])).select("event_id", F.col("o")["temperature"].alias("temperature"), F.size("o").cast("long").alias("options"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id")
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks of a streamed answer, put together."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(tx.joined_chunks(F.col("text"), F.col("turn")).alias("answer"))
+
+
+@query("SELECT vec_id AS id, len(embedding)::BIGINT AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
+def stacked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).select("id", F.array("embedding").alias("matrix"))
+    v = vc.stacked(rows, 64)
+    return v.select("id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@query("SELECT DISTINCT 'src/m' || doc_id || '.py' AS file, 'm' || (doc_id % 7 * 1000003) AS module FROM documents WHERE 'm' || (doc_id % 7 * 1000003) NOT IN (SELECT 'm' || doc_id FROM documents)")
+def missing_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that import a known module, one beside them, and one that may be missing."""
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("import os\nfrom m"), (F.col("doc_id") % 7 * 1_000_003).cast("string"), F.lit(" import x\n"))
+    return gt.missing_modules(d.select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), text.alias("text")), ["os"])
+
+
+@query()
+def holdout_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdout by the seeded generator, bit by bit; tested against a plain version."""
+    return en.choose_holdout(_part_entities(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "name"))
+
+
+@query()
+def document_plan_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus plan by the seeded generator over nations and the events of their regions; tested against a plain
+    version."""
+    nation = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a few rows by nature
+    events = sorted({r["n_regionkey"] for r in nation})
+    return pl.plan(spark, [(f"n{r['n_nationkey']}", r["n_name"]) for r in nation], [(f"v{k}", [f"n{r['n_nationkey']}" for r in nation if r["n_regionkey"] == k]) for k in events])
+
+
+@query("SELECT 'n' || c_nationkey AS parent_id, 'c' || c_custkey AS child_id FROM customer WHERE c_custkey % 10 <> 0 AND c_nationkey % 4 <> 1")
+def split_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of a split that withholds each tenth customer and some nations: those that touch no withheld end."""
+    c = table(spark, sf_dir, "customer")
+    links = c.select(F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.concat(F.lit("c"), "c_custkey").alias("child_id"))
+    e = links.select(F.col("child_id").alias("id")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey")))
+    number = F.substring("id", 2, 20).cast("int")
+    held = e.filter(F.when(F.col("id").startswith("c"), number % 10 == 0).otherwise(number % 4 == 1))
+    return en.split(e, held, links)[2]
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = st.windowed_counts(table(spark, sf_dir, "events"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where a session has none
-    (tests, a single machine) a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where a session has none, one is made on a
+    single machine; a cluster has to name it."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kgaudit-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,6 +63,25 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def put(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """Writes one file from the driver, by whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)
+    out = fs.create(p, True)
+    try:
+        for c in chunks:
+            out.write(bytearray(c))
+    finally:
+        out.close()
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +15,7 @@ from pyspark.sql import types as T
 
 from kgaudit.functions import text as tx
 from kgaudit.operators.entities import SECTIONS, unify
+from kgaudit.session import put
 
 _S, _LIST = T.StringType(), T.ArrayType(T.StringType())
 
@@ -66,10 +72,28 @@ def participants(registry: DataFrame) -> DataFrame:
     return section(registry, "timeline").select("event_id", F.explode("participant_ids").alias("entity_id"))
 
 
+def timeline(registry: DataFrame) -> DataFrame:
+    """event_id, year (as text, empty if missing), title, description."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return section(registry, "timeline").select("event_id", *[text(c).alias(c) for c in ("year", "title", "description")])
+
+
 def write_json(rows: list[dict] | dict, path: str) -> None:
-    """A small document as indented JSON that keeps its letters."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2)
+    """A small document as indented JSON that keeps its letters, by the file system that the path names."""
+    write_text(json.dumps(rows, ensure_ascii=False, indent=2), path)
+
+
+def write_text(text: str, path: str) -> None:
+    if (spark := SparkSession.getActiveSession()) is None:
+        raise RuntimeError("there is no session")
+    put(spark, path, [text.encode()])
+
+
+def settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """NAME=value lines of a settings file; names that the environment has win. Quotes around values are taken off."""
+    lines = [r["question"] for r in read_questions(spark, path).collect()]
+    named = dict(x.removeprefix("export ").split("=", 1) for x in lines if "=" in x)
+    return {k.strip(): os.environ.get(k.strip(), v.strip().strip("'\"")) for k, v in named.items()}
 
 
 _NODE = "_id string, data array<struct<_key:string,_VALUE:string>>"
@@ -101,6 +125,44 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.select(F.col("src").alias("_source"), F.col("dst").alias("_target"), data(edges, ("src", "dst"))).write.format("xml").option("rootTag", "graph").option("rowTag", "edge").save(f"{path}/edges")
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, dry_run: bool = False) -> dict[str, int]:
+    """nodes (node_id, ...) and edges (src, dst, ...) as one GraphML file, sorted, for readers of that form; the path may
+    be that of the file which they were read from, once they are tables of their own. Rows go through the driver in
+    order, a partition at a time. A dry run only counts. Returns the numbers of nodes and edges."""
+    spark = nodes.sparkSession
+    attributes = [("node", c, f"n{i}", nodes) for i, c in enumerate(x for x in nodes.columns if x != "node_id")]
+    attributes += [("edge", c, f"e{i}", edges) for i, c in enumerate(x for x in edges.columns if x not in ("src", "dst"))]
+    if dry_run:
+        return {"nodes": nodes.count(), "edges": edges.count()}
+    kinds = {"double": "double", "float": "double", "int": "long", "bigint": "long", "boolean": "boolean"}
+    told = {"nodes": 0, "edges": 0}
+
+    def element(tag: str, row, key: str, own: str) -> str:
+        data = "".join(f"<data key={quoteattr(i)}>{escape(str(row[c]).lower() if isinstance(row[c], bool) else str(row[c]))}</data>" for kind, c, i, _ in attributes if kind == key and row[c] is not None)
+        return f"<{tag} {own}>{data}</{tag}>\n"
+
+    def chunks() -> Iterator[bytes]:
+        yield b"<?xml version='1.0' encoding='utf-8'?>\n<graphml xmlns=\"http://graphml.graphdrawing.org/xmlns\">\n"
+        for kind, c, i, df in attributes:
+            yield f'<key id="{i}" for="{kind}" attr.name={quoteattr(c)} attr.type="{kinds.get(df.schema[c].dataType.simpleString(), "string")}"/>\n'.encode()
+        yield b'<graph edgedefault="undirected">\n'
+        for r in nodes.orderBy("node_id").toLocalIterator():
+            told["nodes"] += 1
+            yield element("node", r, "node", f"id={quoteattr(r['node_id'])}").encode()
+        for r in edges.orderBy("src", "dst").toLocalIterator():
+            told["edges"] += 1
+            yield element("edge", r, "edge", f"source={quoteattr(r['src'])} target={quoteattr(r['dst'])}").encode()
+        yield b"</graph>\n</graphml>\n"
+
+    aside = f"{path}.{uuid.uuid4().hex}"  # whole or not at all, also where the path is the one read from
+    put(spark, aside, chunks())
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(p(path), False)
+    fs.rename(p(aside), p(path))
+    return told
+
+
 def read_corpus(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """path, file, text of the .md files of a folder; files that can't be read are passed over."""
     df = spark.read.option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
@@ -113,16 +175,20 @@ def corpus_narrators(corpus: DataFrame) -> DataFrame:
 
 
 def write_corpus(docs: DataFrame, folder: str) -> None:
-    """One file for each row (filename, frontmatter, body), by the tasks that hold them."""
-    import os
-
-    def put(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(folder, r["filename"]), "w", encoding="utf-8") as f:
-                f.write(f"{r['frontmatter']}\n\n{r['body']}\n")
-
-    docs.select("filename", "frontmatter", "body").foreachPartition(put)
+    """One file for each row (filename, frontmatter, body), by the file system that the folder names: Spark's writer
+    makes a folder for each name, and the driver gives the file in it its name."""
+    spark = docs.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    whole = F.concat_ws("", F.coalesce("frontmatter", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    docs.select(whole.alias("value"), "filename").write.partitionBy("filename").text(aside)
+    for made in fs.listStatus(p(aside)):
+        if (name := made.getPath().getName()).startswith("filename="):
+            to = p(f"{folder}/{unquote(name.removeprefix('filename='))}")
+            fs.delete(to, False)
+            fs.rename(next(x.getPath() for x in fs.listStatus(made.getPath()) if x.getPath().getName().startswith("part-")), to)
+    fs.delete(p(aside), True)
 
 
 def read_statuses(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +212,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("question")).filter("question <> '' and not startswith(question, '#')")
 
 
-def provider(rows: DataFrame, answer, schema: str) -> DataFrame:
+def provider(rows: DataFrame, answer, schema: str, at_once: int | None = None) -> DataFrame:
     """Rows through a pluggable provider (a function from pandas to pandas), batch by batch: where a language model
-    would be called. Put filters before it."""
+    would be called, by at most `at_once` tasks at a time. Put filters before it."""
+    rows = rows if at_once is None else rows.coalesce(at_once)
     return rows.mapInPandas(lambda pdfs: (answer(p) for p in pdfs), schema)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kgaudit.operators.limiter import admit
+from kgaudit.session import exists
 
 
 def ingest(spark: SparkSession, folder: str, schema, ledger_path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], files_per_batch: int = 10, **options: str) -> StreamingQuery:
@@ -21,12 +22,9 @@ def ingest(spark: SparkSession, folder: str, schema, ledger_path: str, checkpoin
 
     def batch(df: DataFrame, number: int) -> None:
         new = df.select("id", "text", F.sha2("text", 256).alias("sha")).dropDuplicates(["id", "sha"])
-        try:
+        if exists(spark, ledger_path):
             seen = spark.read.schema("id long, sha string").parquet(f"{ledger_path}/*").filter(F.col("_metadata.file_path").contains(f"/batch={number}/") == F.lit(False))
             new = new.join(seen, ["id", "sha"], "left_anti")
-        except Exception as e:  # no ledger yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new = new.persist()
         sink(new, number)
         new.select("id", "sha").write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")

@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,8 +32,18 @@ def test_components_and_distances_against_plain_search(spark, seed):
     got = {r["node"]: r["component"] for r in graph.components(df, nodes).collect()}
     assert got == {x: min(reach(x)) for x in (*near, 999)}
     s = sorted(near)[:3]
-    far = {(r["source"], r["node"]): r["hops"] for r in graph.distances(df, spark.createDataFrame([(x,) for x in s], "source long"), 50).collect()}
+    far = {(r["source"], r["node"]): r["hops"] for r in graph.distances(df, spark.createDataFrame([(x,) for x in s], "source long")).collect()}
     assert far == {(a, b): d for a in s for b, d in reach(a).items()}
+    wanted = {(a, rng.choice(sorted(reach(a)))) for a in near for _ in range(2)} | {(s[0], 999)}
+    some = spark.createDataFrame(sorted(wanted), "source long, node long")
+    far = {(r["source"], r["node"]): r["hops"] for r in graph.distances(df, some, some).collect()}
+    assert far == {(a, b): reach(a)[b] for a, b in wanted if b in reach(a)}
+
+
+def test_distances_run_to_the_end_of_a_long_chain(spark):
+    df = spark.range(45).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.distances(df, spark.createDataFrame([(0,)], "source long")).agg(F.max("hops"), F.count("*")).first()
+    assert tuple(got) == (45, 46)
 
 
 def test_star_graph_converges(spark):
@@ -69,6 +80,10 @@ def test_resolve(spark):
     rows = [("house-alpha", "", ""), ("Lantern", "a station with a harbor", ""), ("Lantern", "nothing", ""), ("Unknown", "callsign: Unknown-7", ""), ("", "", ""), ("LANTERN", "gamma station", "works")]
     assert resolved(spark, rows) == [("House Alpha", "registry"), ("Two", "evidence"), ("Lantern", "raw"), ("Unknown-7", "designation"), ("", "raw"), ("One", "evidence")]
     assert resolved(spark, [("Zed", "code: other-long-name", "")]) == [("Zed", "raw")]
+    e = spark.createDataFrame(REGISTRY, "id string, entity_ord int, name string, aliases array<string>, type string, description string, is_homonym_risk boolean")
+    m = spark.createDataFrame([(1, "Lantern", "", "nothing", "House Beta", "ship"), (2, "lantern", "", "", " ", "station"), (3, "Lantern", "", "", None, None), (4, "Zed", "", "", "X", "y")], "mention_id int, raw_name string, description string, context string, owner string, entity_type string")
+    got = [tuple(r)[1:] for r in resolve.resolve(m, resolve.registry_index(e), qualify=True).orderBy("mention_id").collect()]
+    assert got == [("Lantern (House Beta)", "qualified"), ("lantern (station)", "qualified"), ("Lantern", "raw"), ("Zed", "raw")]
     assert resolved(spark, [("Zed", "code: other-long-name", "")], compat=True) == [("other-long-name", "designation")]
 
 
@@ -107,7 +122,42 @@ def test_leaks_against_all_pairs(spark):
     texts = [(1, "see the alpha-beta gamma, at last"), (2, "alphabeta"), (3, "x alpha-beta gammas"), (4, "tiny"), (5, None)]
     terms = [(1, "alpha-beta gamma"), (2, "alpha"), (3, "tiny"), (4, "beta gamma, at"), (5, None), (6, "-beta ")]
     got = {tuple(r) for r in gate.leaks(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(terms, "term_id int, term string")).collect()}
-    assert got == {(i, k) for i, t in texts for k, s in terms if t and s and len(s) >= 5 and s in t}
+    want = {(i, k) for i, t in texts for k, s in terms if t and s and len(s) >= 5 and s in t}
+    assert got == want
+    by_key = gate.leaks_by_key(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(terms, "term_id int, term string"))
+    assert {tuple(r) for r in by_key.collect()} == want
+
+
+def test_both_leak_scans_agree(spark):
+    rng = random.Random(4)
+    words = ["alpha", "be", "Gamma", "δέλτα", "x-1", "..", "omega7"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(120)]
+    terms = [(k, "".join(rng.choices([*words, " ", " "], k=rng.randint(1, 9)))) for k in range(80)] + [(k + 1000, texts[k][1][3:60]) for k in range(40)]
+    t, m = spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(terms, "term_id long, term string")
+    want = {(i, k) for i, x in texts for k, s in terms if len(s) >= 5 and s in x}
+    assert len(want) > 40
+    for scan in (gate.leaks, gate.leaks_by_key):
+        assert {tuple(r) for r in scan(t, m).collect()} == want
+
+
+def test_order_over_many_parts(spark):
+    from kgaudit.operators import order
+
+    rng = random.Random(5)
+    ids = rng.sample(range(10**6), 500)
+    rows = [(i, rng.choice([None, None, i])) for i in ids]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(6)
+    got = {r["id"]: r["number"] for r in order.numbered(df, ["id"]).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
+    held = sorted(v for _, v in rows if v is not None)
+    near = {r["id"]: (r["last"], r["next"]) for r in order.nearest(df, "id", F.col("v")).collect()}
+    assert near == {i: (max((h for h in held if h <= i), default=None), min((h for h in held if h >= i), default=None)) for i in ids}
+    assert order.numbered(df.limit(0), ["id"]).count() == 0 and order.nearest(df.limit(0), "id", F.col("v")).count() == 0
+
+
+def test_missing_modules(spark):
+    files = spark.createDataFrame([("a/one.py", "import os\nfrom two import x\n  import three.sub"), ("a/two.py", "import one"), ("a/x.txt", None)], "file string, text string")
+    assert [tuple(r) for r in gate.missing_modules(files, ["os"]).collect()] == [("a/one.py", "three")]
 
 
 def test_gate(spark):
@@ -129,6 +179,45 @@ def test_allocation_and_plan(spark):
     assert planning.missing_targets(a, a.select("filename").limit(1)).count() < 24
 
 
+def test_top_k_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)).astype(np.float32).astype(float)
+    x[50:60], x[70] = x[10], 0
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(900, None)], "id long, embedding array<double>").repartition(5)
+    q = v.filter("id % 20 = 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    cos = lambda a, b: 0.0 if not a.any() or not b.any() else float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
+    for block in (32 << 20, 100):
+        got = {}
+        for r in vectors.top_k(v, q, 7, block).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
+        assert set(got) == set(range(10, 300, 20))
+        for i, best in got.items():
+            want = sorted(((round(cos(x[i], x[j]), 9), j) for j in range(300)), key=lambda p: (-p[0], p[1]))[:7]
+            assert best == [(j, s) for s, j in want]
+    assert vectors.top_k(v, q.limit(0)).count() == 0 and vectors.top_k(v.limit(0), q).count() == 0
+
+
+def test_stacked_vectors_are_checked(spark):
+    good = spark.createDataFrame([(1, [[1.0, 2.0]])], "id long, matrix array<array<double>>")
+    assert vectors.stacked(good, 2).first()["embedding"] == [1.0, 2.0]
+    for bad in ([[1.0, 2.0], [3.0, 4.0]], [[1.0]], []):
+        with pytest.raises(Exception, match="not one vector"):
+            vectors.stacked(spark.createDataFrame([(1, bad)], "id long, matrix array<array<double>>"), 2).collect()
+
+
+def test_seeded_holdout_and_plan_against_plain_versions(spark):
+    from kgaudit.operators import entities
+
+    rows = [(f"e{k:02d}", f"name {k % 37}") for k in range(40)]
+    held = sorted(r["id"] for r in entities.choose_holdout(spark.createDataFrame(rows, "id string, name string")).collect())
+    groups = {}
+    for i, n in rows:
+        groups.setdefault(n, []).append(i)
+    last = max(n for n, ids in groups.items() if len(ids) > 1)
+    rest = sorted(i for i, _ in rows if i not in groups[last])
+    assert held == sorted([*groups[last], *random.Random(20260806).sample(rest, round(len(rest) * 0.2))])
+
+
 def test_retrieval_modes(spark):
     v = spark.createDataFrame([(1, "entity", [1.0, 0.0]), (2, "entity", [0.0, 1.0]), (3, "relation", [1.0, 0.1]), (4, "chunk", [0.5, 0.5]), (5, "chunk", [0.0, 0.0])], "id long, kind string, embedding array<float>")
     edges = spark.createDataFrame([(3, 1, 2)], "rel_id long, src long, dst long")
