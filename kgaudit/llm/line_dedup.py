@@ -12,8 +12,8 @@ earlier means a smaller document id, then a smaller place in the document.
    such line before it. For the others the length filter, the positional filter and a bound on the words that differ
    (by parities of hash bits) leave candidates; the earliest go on, up to one that is hardly wrong or to LISTED of them,
    and a sign if there are more.
-4. All pairs are verified on the lines' words: first the pairs of like signatures and the earliest candidate of each
-   line, then, where it failed, its other candidates. Lines for which all failed and that have more are looked for in
+4. All pairs are verified on the lines' words: first the pairs of like signatures and one candidate of each line,
+   then, where it failed, its other candidates. Lines for which all failed and that have more are looked for in
    all texts, or, if they are many, go through steps 2 to 4 again, now with all of their candidates. If two lines of
    like signatures turn out to differ, everything is done again without signatures. So no line is removed without a
    match, none that has one is kept, and a group of many near copies isn't spelt out in pairs. (Words are told apart by
@@ -95,24 +95,36 @@ def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+class _Cut:
+    """The words of a batch of texts, found and hashed on the bytes of all texts at once."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        low = [b"" if t is None else t.lower() if t.isascii() else t.decode().lower().encode() for t in texts.cast(pa.binary()).to_pylist()]
+        self.raw = raw = np.frombuffer(b"\n".join([*low, b""]), np.uint8)
+        self.begin = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
+        del low
+        gap = raw <= 32
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if len(raw) and not gap[0]:
+            edges = np.r_[0, edges]
+        self.starts, ends = edges[::2], edges[1::2]  # the last sign is a line's end, so each word has one
+        self.hashes = _word_hashes(raw, self.starts, ends)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The line of each word, and each line's text and number; lines without words are left out. Texts are told
+        apart by where they begin."""
+        breaks = np.flatnonzero(self.raw == 10)
+        line = np.searchsorted(breaks, self.starts)  # lines of all texts, numbered on
+        first_line = np.searchsorted(breaks, self.begin)
+        new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
+        owner = np.searchsorted(first_line, line[new], "right") - 1
+        return np.cumsum(new) - 1, owner, line[new] - first_line[owner]
+
+
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a batch of texts, the line of each, and each line's text and number; lines without words are left
-    out. Words are found and hashed on the bytes of all texts at once; texts are told apart by where they begin."""
-    low = [b"" if t is None else t.lower() if t.isascii() else t.decode().lower().encode() for t in texts.cast(pa.binary()).to_pylist()]
-    raw = np.frombuffer(b"\n".join([*low, b""]), np.uint8)
-    begin = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
-    del low
-    gap = raw <= 32
-    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    if len(raw) and not gap[0]:
-        edges = np.r_[0, edges]
-    starts, ends = edges[::2], edges[1::2]  # the last sign is a line's end, so each word has one
-    breaks = np.flatnonzero(raw == 10)
-    line = np.searchsorted(breaks, starts)  # lines of all texts, numbered on
-    first_line = np.searchsorted(breaks, begin)
-    new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
-    owner = np.searchsorted(first_line, line[new], "right") - 1
-    return _word_hashes(raw, starts, ends), np.cumsum(new) - 1, owner, line[new] - first_line[owner]
+    """Word hashes of a batch of texts, the line of each, and each line's text and number."""
+    cut = _Cut(texts)
+    return cut.hashes, *cut.lines()
 
 
 def _words(line: str) -> set[str]:
@@ -129,7 +141,7 @@ def word_counts(rows: DataFrame) -> Broadcast:
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for b in slices(batch, _SORTED):
-                h, *_ = _hashed(b.column(b.num_columns - 1))
+                h = _Cut(b.column(b.num_columns - 1)).hashes
                 np.add.at(total, (h & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
         pack = zstandard.ZstdCompressor(1)
         at = [k for k in range(CELLS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
@@ -465,11 +477,16 @@ def _few_matches(rows: DataFrame, asked: list[tuple[int, int, str]], counts: np.
         for batch in batches:
             hit: set[int] = set()
             for b in slices(batch, _SORTED):
-                h, line, owner, number = _hashed(b.column(2))
+                cut = _Cut(b.column(2))
+                h = cut.hashes
+                found = [at for at in np.flatnonzero(flags[(h & np.uint64(0xFFFFF)).astype(np.int64)]).tolist() if int(h[at]) in words]
+                if not found:
+                    continue
+                line, owner, number = cut.lines()
                 docs, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
                 split: dict[int, list[str]] = {}
-                for at in np.flatnonzero(flags[(h & np.uint64(0xFFFFF)).astype(np.int64)]):
-                    for k in words.get(int(h[at]), ()):
+                for at in found:
+                    for k in words[int(h[at])]:
                         o, j = int(owner[line[at]]), int(number[line[at]])
                         doc, pos, mine = lines[k]
                         if k in hit or (int(docs[o]), (int(ties[o]) & 0x7FFFFFFF) << 32 | j) >= (doc, pos):
@@ -503,8 +520,8 @@ def removed_lines(rows: DataFrame, threshold: float = 0.8, listed: int = LISTED,
     line, other = ["doc", "pos"], ["other_doc", "other_pos"]
     met = keep(meet(deal(postings(rows, counts, threshold, parts, None, bits or 64)), threshold, None, listed, bits), "line-candidates")
     near = met.filter("kind = 2")
-    first = near.groupBy(*line).agg(F.min(F.struct(*other)).alias("x"), F.bool_or("more").alias("more"))
-    first = keep(first.select(*line, "x.other_doc", "x.other_pos", "more"), "line-first")
+    # some candidate of each line: both values are of one row, the first that comes
+    first = keep(near.groupBy(*line).agg(*[F.any_value(c).alias(c) for c in other], F.bool_or("more").alias("more")), "line-first")
     wanted = met.filter("kind > 1")
     ends = bitmap(wanted.select(*line).union(wanted.select(*other)), _batch_ids)
     texts = keep(_line_texts(rows, ends, repeated))
