@@ -139,14 +139,16 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, specs: DataFrame) -> tuple[D
         goals = F.broadcast(goals)
     new_nodes = nodes.join(homonyms.select("node_id"), "node_id", "left_anti").unionByName(nodes.join(goals.select("node_id", "target"), "node_id").withColumn("node_id", F.col("target")).drop("target"))
 
+    to = goals.select(F.col("node_id").alias("__node"), F.col("target").alias("__target"), F.col("target_ord").alias("__ord"), F.col("keywords").alias("__words"))  # edges may have such columns too
+
     def redirect(e: DataFrame, end: str) -> DataFrame:
         text = F.concat_ws(" ", *[F.col(c) for c in _PACKED if c in e.columns], "src", "dst")
         hit = e.withColumn("__e", F.monotonically_increasing_id()).withColumn("__text", normalize(text))
-        near = hit.join(goals, F.col(end) == F.col("node_id"))
-        score = F.size(F.filter(F.transform("keywords", lambda k: normalize(k)), lambda k: F.contains(F.col("__text"), k)))
-        best = Window.partitionBy("__e").orderBy(F.desc("__score"), "target_ord")
-        moved = near.withColumn("__score", score).withColumn("__at", F.row_number().over(best)).filter("__at = 1").withColumn(end, F.col("target"))
-        rest = hit.join(goals.select("node_id").distinct(), F.col(end) == F.col("node_id"), "left_anti")
+        near = hit.join(to, F.col(end) == F.col("__node"))
+        score = F.size(F.filter(F.transform("__words", lambda k: normalize(k)), lambda k: F.contains(F.col("__text"), k)))
+        best = Window.partitionBy("__e").orderBy(F.desc("__score"), "__ord")
+        moved = near.withColumn("__score", score).withColumn("__at", F.row_number().over(best)).filter("__at = 1").withColumn(end, F.col("__target"))
+        rest = hit.join(to.select("__node").distinct(), F.col(end) == F.col("__node"), "left_anti")
         return rest.select(e.columns).unionByName(moved.select(e.columns))
 
     moved = redirect(materialize(redirect(edges, "src"), "split-edges"), "dst")

@@ -18,13 +18,50 @@ def registry(tmp_path):
 def test_verify_and_split(spark, registry, capsys):
     out = registry / "report.json"
     assert cli.main(["verify", "--graph", str(registry / "g.graphml"), "--ground-truth", str(registry / "gt.json"), "--json", str(out), "--verbose"]) == 1
-    assert "FAIL" in capsys.readouterr().out and json.loads(out.read_text())["summary"][0]["collapsed"] == 1
+    said = capsys.readouterr().out
+    assert all(f"\n{block}" in said for block in ("coverage:", "homonym groups:", "entities of several nodes:", "hierarchy:", "two hops:", "timeline:", "narrators:"))
+    assert said.startswith("FAIL") and json.loads(out.read_text())["summary"][0]["collapsed"] == 1
     assert cli.main(["split", "--ground-truth", str(registry / "gt.json"), "--registry", str(registry / "r.json"), "--holdout", str(registry / "h.json")]) == 0
     held = json.loads((registry / "h.json").read_text())
     assert {"s1", "s2"} <= set(held["withheld_entity_ids"]) and "timeline" not in held
     assert all(x["child_id"] not in held["withheld_entity_ids"] for x in json.loads((registry / "r.json").read_text())["hierarchy"])
 
 
+def test_generate_skips_what_is_there(spark, registry, capsys):
+    out = registry / "docs"
+    args = ["generate", "--ground-truth", str(registry / "gt.json"), "--out-dir", str(out), "--count", "4"]
+    assert cli.main(args) == 0
+    first = capsys.readouterr().out.splitlines()
+    assert len(first) == 5 and first[-1] == "planned: 4"
+    out.mkdir()
+    (out / first[0].split()[0]).write_text("x")
+    assert cli.main(args) == 0
+    assert capsys.readouterr().out.splitlines()[-2:] == ["planned: 3", "skipped: 1"]
+    assert cli.main([*args, "--overwrite"]) == 0 and capsys.readouterr().out.splitlines()[-1] == "planned: 4"
+
+
+def test_disambiguate_is_a_dry_run_unless_told(spark, registry, capsys):
+    before = (registry / "g.graphml").read_text()
+    (registry / "specs.json").write_text(json.dumps({"norm": "b", "target": "B one", "target_ord": 0, "keywords": ["x"]}) + "\n" + json.dumps({"norm": "b", "target": "B two", "target_ord": 1, "keywords": ["y"]}))
+    args = ["disambiguate", "--graph", str(registry / "g.graphml"), "--ground-truth", str(registry / "gt.json"), "--specs", str(registry / "specs.json")]
+    assert cli.main(args) == 0 and "homonyms: 1" in capsys.readouterr().out and (registry / "g.graphml").read_text() == before
+    assert cli.main([*args, "--output-graph", str(registry / "o.graphml"), "--verbose"]) == 0
+    assert capsys.readouterr().out.splitlines()[1:] == ["A", "B one", "B two"]
+    assert cli.main([*args, "--in-place"]) == 0
+    assert (registry / "g.graphml").read_text() == (registry / "o.graphml").read_text() != before
+
+
+def test_repl(spark, tmp_path, capsys):
+    import argparse
+
+    spark.createDataFrame([(1, "entity", [1.0, 0.0])], "id long, kind string, embedding array<float>").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([], "rel_id long, src long, dst long").write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query array<float>").write.parquet(str(tmp_path / "q"))
+    a = argparse.Namespace(vectors=str(tmp_path / "v"), edges=str(tmp_path / "e"), questions=str(tmp_path / "q"), mode="local", top_k=4)
+    assert cli._repl(spark, a, ["7\n", "\n", "exit\n", "7\n"]) == 0
+    assert capsys.readouterr().out.count("entity") == 1
+
+
 def test_pending_gate_and_errors(spark, tmp_path, capsys):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.md").write_text("the secret name")

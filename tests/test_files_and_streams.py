@@ -19,11 +19,55 @@ def test_graph_round_trip(spark, tmp_path):
     assert {(r["node_id"], r["entity_type"]) for r in again.collect()} == {("B", "ship"), ("A", None)}
 
 
+def test_graphml_round_trip_in_place(spark, tmp_path):
+    path = str(tmp_path / "g.graphml")
+    nodes = spark.createDataFrame([("A & B", "ship", None), ('C "q"', None, "x<y")], "node_id string, entity_type string, description string")
+    edges = spark.createDataFrame([("A & B", 'C "q"', 2.5, "d")], "src string, dst string, weight double, description string")
+    assert files.write_graphml(nodes, edges, path, dry_run=True) == {"nodes": 2, "edges": 1} and not (tmp_path / "g.graphml").exists()
+    for _ in range(2):  # the second time over itself
+        assert files.write_graphml(nodes, edges, path) == {"nodes": 2, "edges": 1}
+        n, e = files.read_graph(spark, path)
+        assert {(r["node_id"], r["entity_type"], r["description"]) for r in n.collect()} == {("A & B", "ship", None), ('C "q"', None, "x<y")}
+        assert [(r["src"], r["dst"], r["weight"], r["description"]) for r in e.collect()] == [("A & B", 'C "q"', 2.5, "d")]
+    assert [x.name for x in tmp_path.iterdir()] == ["g.graphml"]
+
+
+def test_settings(spark, tmp_path, monkeypatch):
+    (tmp_path / "env").write_text("# keys\nexport KG_A='one'\nKG_B = two\nplain\n")
+    monkeypatch.setenv("KG_B", "three")
+    assert files.settings(spark, str(tmp_path / "env")) == {"KG_A": "one", "KG_B": "three"}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    from kgaudit.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            self.path = value
+
+    class Session:
+        conf = Conf()
+
+    for master, ok in (("local[2]", True), ("local", True), ("spark://h:7077", False), ("local-cluster[3,2,1000]", False), ("yarn", False)):
+        Session.sparkContext = type("Context", (), {"master": master})
+        if ok:
+            assert shared_dir(Session).startswith("file://")
+        else:
+            with pytest.raises(RuntimeError):
+                shared_dir(Session)
+
+
 def test_registry(spark, tmp_path):
     doc = {"sector_name": "S", "houses": [{"id": "h", "name": "H", "aliases": ["x"], "description": "d"}], "stations_and_ships": [{"id": "s", "name": "N", "type": "t", "owner_id": "h", "description": "d"}], "hierarchy": [{"parent_id": "h", "child_id": "s"}], "timeline": [{"event_id": "e", "year": 1, "title": "t", "description": "", "participant_ids": ["h", "s"]}]}
     files.write_json(doc, str(tmp_path / "r.json"))
     r = files.read_registry(spark, str(tmp_path / "r.json"))
     assert {(x["id"], x["category"], x["entity_ord"]) for x in files.registry_entities(r).collect()} == {("h", "house", 0), ("s", "station_or_ship", 3_000_000)}
+    assert tuple(files.timeline(r).first()) == ("e", "1", "t", "")
     assert files.hierarchy_links(r).first()["level"] == 1 and files.participants(r).count() == 2
     assert files.read_registry(spark, str(tmp_path / "none.json"), tolerant=True).first()["houses"] is None
 
@@ -35,6 +79,9 @@ def test_corpus(spark, tmp_path):
     assert {(r["file"], r["narrator"]) for r in files.corpus_narrators(corpus).collect()} == {("a.md", "log"), ("b.md", "unknown")}
     assert files.read_corpus(spark, str(tmp_path / "c"), limit=1).select("file").collect()[0][0] == "a.md"
     assert files.read_inventory(spark, str(tmp_path / "c")).filter("path like '%.md'").count() == 2
+    assert (tmp_path / "c" / "a.md").read_text() == "---\nnarrator: log\n---\n\nBody\n"
+    files.write_corpus(rows.limit(1).replace("Body", "Other"), str(tmp_path / "c"))
+    assert (tmp_path / "c" / "a.md").read_text().endswith("Other\n") and len([x for x in (tmp_path / "c").iterdir() if x.suffix == ".md"]) == 2
 
 
 def test_key_value_stores(spark, tmp_path):
