@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgaudit.llm.memory import lean
-from kgaudit.session import materialize
+from kgaudit.session import discard, materialize
 
 log = logging.getLogger(__name__)
 _NO_ID = (1 << 63) - 1
@@ -233,6 +233,7 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, recall: float
         leaves = max(128, min(count // leaf_rows, sample_rows // 16))
         found = _search_one(rows.filter(F.col("n") == n).drop("n"), query_step, k, recall, sample_rows, leaves, calibrate, shard_rows)
         out = found if len(lengths) == 1 else out.unionByName(found)
+    discard(rows)
     return out
 
 
@@ -309,4 +310,7 @@ def _search_one(rows: DataFrame, query_step: int, k: int, recall: float, sample_
     best = dealt.groupBy("shard").applyInArrow(answer, "asked long, query_id long, ids array<long>, scores array<double>")
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
     merged = best.select("asked", "query_id", pairs.alias("p")).groupBy("asked", "query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
-    return merged.select("query_id", F.posexplode("p").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.nullif(F.col("x.i"), F.lit(_NO_ID)).alias("vec_id"), (-F.col("x.s")).alias("score"))
+    found = merged.select("query_id", F.posexplode("p").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.nullif(F.col("x.i"), F.lit(_NO_ID)).alias("vec_id"), (-F.col("x.s")).alias("score"))
+    out = materialize(found, "ann-found")
+    discard(placed)
+    return out

@@ -78,7 +78,10 @@ def queue(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3
     offsets = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("s"), offsets["part"].alias("p"), "offset", "source_size", "target")
     inside = Window.partitionBy("part", "source").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     own = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return own.join(offsets, own["source"].eqNullSafe(offsets["s"]) & (own["part"] == offsets["p"])).select("row", "doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("inside")).alias("before"))
+    both = own.join(offsets, own["source"].eqNullSafe(offsets["s"]) & (own["part"] == offsets["p"]))
+    out = materialize(both.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("inside")).alias("before")), "mix-queued")
+    discard(placed)
+    return out
 
 
 def _start(k: int) -> Column:
@@ -119,7 +122,9 @@ def _served(k: int, end: float) -> Column:
 
 def _queued(docs: DataFrame, epochs: int, seed: int, id_col: str, text_col: str, source_col: str, **kw) -> tuple[DataFrame, float]:
     rows = docs.select(*sized(docs, seed, id_col, text_col, source_col)).withColumn("row", F.monotonically_increasing_id())
-    q = materialize(queue(materialize(rows, "mix-sizes"), epochs=epochs, **kw), "mix-queued")
+    rows = materialize(rows, "mix-sizes")
+    q = queue(rows, epochs=epochs, **kw)
+    discard(rows)
     return q, cut(q, epochs)
 
 
@@ -145,7 +150,8 @@ def mixed(docs: DataFrame, epochs: int = 3, seed: int = 7, id_col: str = "doc_id
     part is in if that is half of it or more. Documents without words aren't in the mix."""
     whole = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
     rows = materialize(whole.select(*sized(docs, seed, id_col, text_col, source_col), F.col("__row").alias("row")), "mix-sizes")
-    q = materialize(queue(rows, epochs=epochs, **kw), "mix-queued")
+    q = queue(rows, epochs=epochs, **kw)
+    discard(rows)
     end = cut(q, epochs)
     times = sum(((_served(k, end) * 2 >= F.col("size")).cast("int") for k in range(1, epochs)), (_served(0, end) * 2 >= F.col("size")).cast("int"))
     often = q.filter("size > 0").select(F.col("row").alias("__of"), times.alias("__times")).filter("__times > 0")

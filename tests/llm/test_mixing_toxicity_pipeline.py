@@ -234,6 +234,33 @@ def test_pipeline_runs_whole(spark, sf):
     assert p.run(spark, sf).count() > 0 and p.ORACLE_SQL is None
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ties: each stage keeps all columns, clean documents stay."""
+    import corpus_pipeline as p
+
+    rows = [(i, f"plain document number {i} about w{i} and v{i}\na line that many share, word for word", "en", "ab"[i % 2], 60) for i in range(12)]
+    rows += [(None, "no id here at all", None, None, None), (None, None, "en", "a", 0), (20, "", None, "b", 0), (21, None, "fr", None, None)]
+    rows += [(22, "twice the same row", "en", "a", 18)] * 3 + [(23, "twice the same row", "en", "b", 18), (24, "z" * 300_000, "en", "a", 300_000)]
+    spark.createDataFrame(rows, DOCUMENTS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    more = docs.selectExpr("*", "1 row", "2 part", "'x' key", "3 size", "4 n_lines", "5 label", "6 line", "7 component")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, more, str(tmp_path))
+        assert out.columns == more.columns, name
+        assert out.select("row", "n_lines", "key").distinct().collect() == [(1, 4, "x")], name
+    kept = {r["text"] for r in p.drop_near_copies(spark, p.drop_toxic(spark, docs, str(tmp_path)), str(tmp_path)).collect()}
+    assert {r[1] for r in rows[:12]} <= kept and "twice the same row" in kept
+    got = p.run(spark, str(tmp_path)).collect()
+    assert got and {r["doc_id"] for r in got} <= {r[0] for r in rows} and all(r["n_tokens"] > 0 for r in got)  # the mix takes some more often, others not at all
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
 def test_registered():
     import __spark_entry__ as e
 
