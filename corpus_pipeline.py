@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs).drop("n_lines", "n_removed")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = line_dedup.dedup(docs.withColumnsRenamed(own)).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()})
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
