@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgaudit.session import discard, materialize
@@ -135,23 +135,23 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, specs: DataFrame) -> tuple[D
 
     homonyms = nodes.withColumn("norm", normalize("node_id")).join(specs.select("norm").distinct(), "norm", "left_semi")
     goals = homonyms.select("node_id", "norm").join(specs, "norm")
-    if specs.limit(SMALL + 1).count() <= SMALL:  # then an edge needn't move to its homonym, which may be an end of very many
-        goals = F.broadcast(goals)
     new_nodes = nodes.join(homonyms.select("node_id"), "node_id", "left_anti").unionByName(nodes.join(goals.select("node_id", "target"), "node_id").withColumn("node_id", F.col("target")).drop("target"))
 
-    to = goals.select(F.col("node_id").alias("__node"), F.col("target").alias("__target"), F.col("target_ord").alias("__ord"), F.col("keywords").alias("__words"))  # edges may have such columns too
+    # an edge meets one row for each homonym at its ends; edges may have columns of any name
+    words = F.transform("keywords", lambda k: normalize(k))
+    to = goals.groupBy(F.col("node_id").alias("__node")).agg(F.collect_list(F.struct((-F.col("target_ord")).alias("ord"), F.col("target").alias("target"), words.alias("words"))).alias("__goals"))
+    if specs.limit(SMALL + 1).count() <= SMALL:  # then an edge needn't move to its homonym, which may be an end of very many
+        to = F.broadcast(to)
 
     def redirect(e: DataFrame, end: str) -> DataFrame:
-        text = F.concat_ws(" ", *[F.col(c) for c in _PACKED if c in e.columns], "src", "dst")
-        hit = e.withColumn("__e", F.monotonically_increasing_id()).withColumn("__text", normalize(text))
-        near = hit.join(to, F.col(end) == F.col("__node"))
-        score = F.size(F.filter(F.transform("__words", lambda k: normalize(k)), lambda k: F.contains(F.col("__text"), k)))
-        best = Window.partitionBy("__e").orderBy(F.desc("__score"), "__ord")
-        moved = near.withColumn("__score", score).withColumn("__at", F.row_number().over(best)).filter("__at = 1").withColumn(end, F.col("__target"))
-        rest = hit.join(to.select("__node").distinct(), F.col(end) == F.col("__node"), "left_anti")
-        return rest.select(e.columns).unionByName(moved.select(e.columns))
-
-    moved = redirect(materialize(redirect(edges, "src"), "split-edges"), "dst")
+        text = normalize(F.concat_ws(" ", *[F.col(c) for c in _PACKED if c in e.columns], "src", "dst"))
+        hits = lambda t, g: F.size(F.filter(g["words"], lambda k: F.contains(t, k)))
+        best = lambda t: F.array_max(F.transform("__goals", lambda g: F.struct(hits(t, g).alias("n"), g["ord"].alias("ord"), g["target"].alias("target"))))["target"]
+        near = e.join(to, F.col(end) == F.col("__node"), "left")
+        moved = F.when(F.col("__goals").isNotNull(), F.transform(F.array(text), best)[0])  # the text is bound first: made once
+        return near.withColumn(end, F.coalesce(moved, end)).select(e.columns)
+
+    moved = redirect(redirect(edges, "src"), "dst")
     a, b = goals.alias("a"), goals.alias("b")
     tied = a.join(b, (F.col("a.node_id") == F.col("b.node_id")) & (F.col("a.target_ord") < F.col("b.target_ord"))).select(F.col("a.target").alias("src"), F.col("b.target").alias("dst"), F.lit(1.0).alias("weight"), F.lit("incident").alias("keywords"))
     return new_nodes, merge_edges(moved.unionByName(tied.withColumn("ord", F.lit(1 << 40)), allowMissingColumns=True))
