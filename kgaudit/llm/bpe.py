@@ -31,7 +31,7 @@ from kgaudit.llm.memory import Recent, lean
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: What a task keeps, in entries: encodings of pieces (of at most LONGEST_KEPT signs) and verdicts on pairs of tokens.
 #: Bounds memory and changes no result.
-KEPT_PIECES, LONGEST_KEPT, KEPT_PAIRS = 250_000, 64, 200_000
+KEPT_PIECES, LONGEST_KEPT, KEPT_PAIRS = 150_000, 64, 200_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _ASCII = r"\t-\r "

@@ -16,9 +16,9 @@ Batches = Iterator[pa.RecordBatch]
 
 def give_back() -> None:
     """Returns freed memory to the system (the C library's part where it has such a call)."""
-    if not gc.get_freeze_count():
-        gc.freeze()  # modules stay; not to be looked through after each task
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # what is left now is modules; not to be looked through after each task
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -36,7 +36,7 @@ from kgaudit.llm.memory import Recent, lean
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _WORDS = re.compile(r"[^\W\d_]+")
-_KEPT_TERMS = 150_000
+_KEPT_TERMS = 100_000
 
 
 class _Terms(Recent):
