@@ -1,5 +1,6 @@
-"""Keeps Python workers small. Workers live on from task to task, so what one operator leaves in them adds to the next:
-a task gives its memory back when it ends, and caches are bounded."""
+"""Keeps executors small. Python workers live on from task to task, so what one operator leaves in them adds to the next:
+a task gives its memory back when it ends, and caches are bounded. Arrow batches, which both sides hold whole, are of at
+most ROWS rows: the session's setting is lowered where it is higher. No result depends on it."""
 
 from __future__ import annotations
 
@@ -10,8 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 Batches = Iterator[pa.RecordBatch]
+ROWS, _SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def give_back() -> None:
@@ -26,6 +29,8 @@ def give_back() -> None:
 
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """A function for mapInArrow that gives memory back at the end of its task."""
+    if (spark := SparkSession.getActiveSession()) and not 0 < int(spark.conf.get(_SETTING)) <= ROWS:
+        spark.conf.set(_SETTING, str(ROWS))
 
     def task(batches: Batches) -> Batches:
         pa.set_memory_pool(pa.system_memory_pool())
