@@ -20,6 +20,30 @@ def registry_index(entities: DataFrame) -> DataFrame:
     return out.select(tx.normalize("n").alias("norm"), F.col("id").alias("entity_id"), "entity_ord", "target", "alias_target", "evidence").filter("norm <> ''").distinct()
 
 
+def _answers(asked: DataFrame, index: DataFrame, compat: bool) -> DataFrame:
+    """norm, info, known, how, shared: what names with their texts stand for, each pair of them once, where the index has
+    the name. Entities of a name with equal evidence count as one with a number, and the hits of a pair are summed up
+    where they are found, so no step writes or sends the mentions of a name times its entities."""
+    hits = F.size(F.filter("evidence", lambda k: F.contains(F.col("info"), k)))
+    groups = index.groupBy("norm", F.array_sort("evidence").alias("evidence")).agg(F.count("*").alias("size"), F.min("entity_ord").alias("ord"))
+    # merged, since the registry may be far larger than its files tell; the key of the sums isn't that of the join, so a
+    # name with many texts may be split over tasks
+    found = asked.join(groups.hint("merge"), "norm").select(F.struct("norm", "info").alias("pair"), hits.alias("hits"), "size", "ord")
+    by_hits = found.groupBy("pair", "hits").agg(F.sum("size").alias("size"), F.min("ord").alias("ord"))
+    top = F.max(F.struct("hits", "size", "ord"))
+    each = by_hits.groupBy("pair").agg(F.sum("size").alias("n"), top.alias("top"), F.min(F.when(F.col("hits") > 0, F.col("ord"))).alias("first_hit"))
+    each = each.select("pair.norm", "pair.info", "n", F.col("top.hits").alias("best"), F.col("top.size").alias("ties"), F.col("top.ord").alias("ord"), "first_hit")
+    one = F.col("n") == 1
+    fits = one | (F.col("best") > 0) & (F.lit(True) if compat else F.col("ties") == 1)
+    at = F.when(one, F.col("ord")).otherwise(F.col("first_hit") if compat else F.col("ord"))
+    chosen = each.filter(fits).select("norm", "info", "n", "best", at.alias("entity_ord"))
+    # entities may share a place in the order
+    right = one | ((hits > 0) if compat else hits == F.col("best"))
+    named = F.when(one, F.col("target")).otherwise(F.col("alias_target"))
+    known = chosen.join(index.hint("merge"), ["norm", "entity_ord"]).filter(right).groupBy("norm", "info").agg(F.min(named).alias("known"), F.min(F.when(one, "registry").otherwise("evidence")).alias("how"))
+    return each.select("norm", "info", (F.col("n") > 1).alias("shared")).join(known, ["norm", "info"], "left")
+
+
 def resolve(mentions: DataFrame, index: DataFrame, compat: bool = False, qualify: bool = False) -> DataFrame:
     """mention_id, resolved, method, from mentions (mention_id, raw_name, description, context; to qualify also owner,
     entity_type).
@@ -33,17 +57,7 @@ def resolve(mentions: DataFrame, index: DataFrame, compat: bool = False, qualify
     raw         the name as it is
     """
     m = mentions.withColumns({"norm": tx.normalize("raw_name"), "info": F.lower(F.concat_ws(" ", "description", "context"))})
-    found = m.select("mention_id", "norm", "info").join(index, "norm")
-    hits = F.size(F.filter("evidence", lambda k: F.contains(F.col("info"), k)))
-    found = found.withColumn("hits", hits)
-    order = [F.col("entity_ord")] if compat else [F.desc("hits"), F.col("entity_ord")]
-    w = Window.partitionBy("mention_id")
-    ranked = found.withColumns({"n": F.count("*").over(w), "best": F.max("hits").over(w)}).withColumn("ties", F.count_if(F.col("hits") == F.col("best")).over(w))
-    fits = (F.col("n") == 1) | (F.col("hits") > 0) & (F.lit(True) if compat else F.col("ties") == 1)
-    first = ranked.filter(fits).withColumn("at", F.row_number().over(w.orderBy(*order))).filter("at = 1")
-    shared = ranked.filter("n > 1").select("mention_id").distinct().withColumn("shared", F.lit(True))
-    first = first.select("mention_id", F.when(F.col("n") == 1, F.col("target")).otherwise(F.col("alias_target")).alias("known"), F.when(F.col("n") == 1, "registry").otherwise("evidence").alias("how"))
-    out = m.join(first, "mention_id", "left").join(shared, "mention_id", "left")
+    out = m.join(_answers(m.select("norm", "info").distinct(), index, compat), ["norm", "info"], "left")
     info = F.concat_ws("\n", "description", "context")
 
     def fits_name(d):

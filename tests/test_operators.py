@@ -87,6 +87,35 @@ def test_resolve(spark):
     assert resolved(spark, [("Zed", "code: other-long-name", "")], compat=True) == [("other-long-name", "designation")]
 
 
+def most_rows(spark, df):
+    """The rows of df, and the most rows that a step of its plan put out."""
+    got = df.collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    run = max(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))
+    nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+    for metrics in (nodes.apply(i).metrics() for i in range(nodes.size())):
+        for m in (metrics.apply(i) for i in range(metrics.size())):
+            if m.name() in ("number of output rows", "shuffle records written") and values.get(m.accumulatorId()).isDefined():
+                most = max(most, int(values.get(m.accumulatorId()).get().replace(",", "")))
+    return got, most
+
+
+def test_resolve_a_name_of_many(spark):
+    """Mentions of a name that many entities have don't meet each of them."""
+    kinds = ["dredger", "lantern", "beacon"]
+    e = [(f"e{i}", i, "Hot", [f"Hot {i}"], kinds[i % 3], "", False) for i in range(300)] + [("u", 300, "Hot", ["The One"], "anchorage", "", False)]
+    e = spark.createDataFrame(e, "id string, entity_ord int, name string, aliases array<string>, type string, description string, is_homonym_risk boolean")
+    texts = ["a dredger", "an anchorage", "nothing"]
+    m = spark.createDataFrame([(i, "HOT", texts[i % 3], "", "Beta", "ship") for i in range(300)] + [(300, "hot 7", "", "", "", "")], "mention_id int, raw_name string, description string, context string, owner string, entity_type string")
+    index = resolve.registry_index(e)
+    got, most = most_rows(spark, resolve.resolve(m, index, qualify=True))
+    owned, one = ("HOT (Beta)", "qualified"), ("The One", "evidence")
+    assert sorted(map(tuple, got)) == [(i, *(one if i % 3 == 1 else owned)) for i in range(300)] + [(300, "Hot", "registry")]
+    assert most < 2000  # mentions times entities are 90,300
+    assert {tuple(r)[1:] for r in resolve.resolve(m, index, compat=True).collect()} == {("Hot 0", "evidence"), one, ("HOT", "raw"), ("Hot", "registry")}
+
+
 def test_as_of_rename(spark):
     text = "\n".join(["entity<|#|>V<|#|>t<|#|>d", "relation<|#|>V<|#|>Q<|#|>k<|#|>d", "entity<|#|>V<|#|>t<|#|>d", "relation<|#|>v<|#|>Z<|#|>k<|#|>d", "free text", "entity<|#|>short"])
     lines = resolve.records(spark.createDataFrame([(1, text)], "doc_id int, text string"))
