@@ -48,7 +48,7 @@ CELLS = 1 << 21
 _CHUNK = 1 << 16
 _TOP = (1 << 20) - 1
 _LAST = (1 << 63) - 1
-_POSTING = np.dtype([("word", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("odd", "<u8"), ("set", "<u4"), ("n", "<u4"), ("i", "<u4"), ("wide", "<u8", (4,))])
+_POSTING = {"word": "<u8", "doc": "<i8", "pos": "<i8", "odd": "<u8", "set": "<u4", "n": "<u4", "i": "<u4"} | {f"wide{k}": "<u8" for k in range(4)}
 #: Besides parities of 64 hash bits all lines have those of 64 others, lines of more words than this of 256.
 _LONG = 64
 #: A line's candidates for a word are listed up to the first that differs by less than SURE of what it may, and up to
@@ -182,12 +182,16 @@ class _Lines:
             some = np.zeros(len(owner), bool)
             some[line[hits(only, word.astype(np.int64))]] = True
             word, h, line = word[some[line]], h[some[line]], line[some[line]]
-        order = np.argsort(word)
-        by_line = line[order]
-        order = order[np.argsort(by_line.astype(np.uint16) if len(owner) < 1 << 16 else by_line, kind="stable")]
+        if len(owner) < 1 << 16:  # by line and the first 48 bits of the word, in one sort
+            key = line.astype(np.uint64) << np.uint64(48) | word >> np.uint64(16)
+            order = np.argsort(key)
+            key = key[order]
+            same = key[1:] == key[:-1]
+        else:
+            order = np.lexsort((word, line))
+            same = (word[order][1:] == word[order][:-1]) & (line[order][1:] == line[order][:-1])
         in_order = word[order], h[order], line[order]
-        same = (in_order[0][1:] == in_order[0][:-1]) & (in_order[2][1:] == in_order[2][:-1])
-        if (same & (in_order[1][1:] != in_order[1][:-1])).any():  # words that share an order number: their hashes decide
+        if (in_order[1][1:][same] != in_order[1][:-1][same]).any():  # words that share an order number: their hashes decide
             order = np.lexsort((h, word, line))
             in_order = word[order], h[order], line[order]
             same = (in_order[1][1:] == in_order[1][:-1]) & (in_order[2][1:] == in_order[2][:-1])
@@ -213,8 +217,8 @@ class _Lines:
                 for k in range(4):
                     self.wide[line[starts], k] = np.bitwise_xor.reduceat(np.where(limb == k, bit, np.uint64(0)), starts)
 
-    def postings(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """A posting for each prefix word, and the line of each. Lines of so few words that no set of another size can
+    def postings(self, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """A posting for each prefix word, by columns, and the line of each. Lines of so few words that no set of another size can
         match, nor another of the same size, meet by their set."""
         n = self.n
         start = np.zeros(len(n) + 1, np.int64)
@@ -224,10 +228,9 @@ class _Lines:
         prefix = np.where(lone, 1, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)
         own = i < prefix[self.line]
         at = self.line[own]
-        p = np.empty(len(at), _POSTING)
-        p["word"], p["i"] = np.where(lone[at], mix(self.set[at]), self.word[own]), i[own]
-        p["doc"], p["pos"], p["set"], p["odd"], p["n"], p["wide"] = self.doc[at], self.pos[at], (self.set[at] >> np.uint64(32)).astype(np.uint32), self.odd[at], n[at], self.wide[at]
-        return p, at
+        p = {"word": np.where(lone[at], mix(self.set[at]), self.word[own]), "doc": self.doc[at], "pos": self.pos[at], "odd": self.odd[at]}
+        p |= {"set": (self.set[at] >> np.uint64(32)).astype("<u4"), "n": n[at].astype("<u4"), "i": i[own].astype("<u4")}
+        return p | {f"wide{k}": np.ascontiguousarray(self.wide[:, k])[at] for k in range(4)}, at
 
 
 def _repeats(lines: list[_Lines], before: list[int], texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +262,22 @@ def _repeats(lines: list[_Lines], before: list[int], texts: pa.Array, bits: int)
     return again, twin
 
 
-def _pack(x: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
-    """A table of records, first bytes first: planes of bytes that hardly differ shrink to nothing."""
-    return packer.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+def _planes(p: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Columns of postings in some order as rows of bytes, each column's first bytes first: rows of bytes that hardly
+    differ shrink to nothing."""
+    return np.concatenate([p[k].take(order).astype(kind, copy=False).view(np.uint8).reshape(len(order), -1).T for k, kind in _POSTING.items()])
 
 
-def _unpack(data: bytes, kind: np.dtype, unpacker: zstandard.ZstdDecompressor) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(unpacker.decompress(data), np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+def _columns(packs: list[bytes], unpacker: zstandard.ZstdDecompressor) -> dict[str, np.ndarray]:
+    """The columns of packed planes."""
+    size = sum(np.dtype(kind).itemsize for kind in _POSTING.values())
+    planes = [np.frombuffer(unpacker.decompress(x), np.uint8).reshape(size, -1) for x in packs]
+    out, at = {}, 0
+    for k, kind in _POSTING.items():
+        n = np.dtype(kind).itemsize
+        out[k] = np.ascontiguousarray(np.concatenate([x[at : at + n] for x in planes], axis=1).T).view(kind).reshape(-1)
+        at += n
+    return out
 
 
 def postings(rows: DataFrame, counts: Broadcast, threshold: float, parts: int, only: Broadcast | None = None, bits: int = 64) -> DataFrame:
@@ -287,83 +299,95 @@ def postings(rows: DataFrame, counts: Broadcast, threshold: float, parts: int, o
                     own = ~(again | twin)[done + line]
                     if only is not None:
                         own &= hits(only.value, p["word"].astype(np.int64))
-                    found.append(p[own])
+                    own = np.flatnonzero(own)
+                    found.append({k: v.take(own) for k, v in p.items()})
                     done += len(x.doc)
-                p = np.concatenate(found)
+                p = {k: np.concatenate([x[k] for x in found]) for k in _POSTING}
                 gone = np.empty(int((again & ~twin).sum()), _LINE)
                 gone["doc"], gone["pos"] = (np.concatenate([getattr(x, k) for x in lines])[again & ~twin] for k in ("doc", "pos"))
                 del lines, found
                 to = (mix(p["word"]) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(to, kind="stable")
-                p, to = p[by], to[by]
-                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-                blocks = [_pack(x, packer) for x in np.split(p, cuts[1:])] if len(to) else []
+                by = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
+                to, planes = to[by], _planes(p, by)
+                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+                blocks = [packer.compress(np.ascontiguousarray(planes[:, a:b])) for a, b in zip(cuts, np.r_[cuts[1:], len(to)], strict=True)] if len(to) else []
                 ids, kinds = [int(to[c]) for c in cuts], [0] * len(blocks)
                 if len(gone) and only is None:
-                    ids.append(int(gone["pos"][0] % parts)), kinds.append(1), blocks.append(_pack(gone, packer))
+                    ids.append(int(gone["pos"][0] % parts)), kinds.append(1), blocks.append(packer.compress(np.ascontiguousarray(gone.view(np.uint8).reshape(len(gone), -1).T)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "kind", "packed"])
 
     return rows.select("doc", "tie", "text").mapInArrow(lean(run), "part int, kind int, packed binary")
 
 
-def _alike(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _alike(p: dict[str, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted postings: which have the signature of an earlier one of their word, and the last such before each.
     Where it is the line's first posting `bits` of the signature count, elsewhere all that there is."""
     part = mix(p["odd"] + mix((p["set"].astype(np.uint64) << np.uint64(32)) + p["n"]))
     for k in range(4):
-        part = mix(part + p["wide"][:, k])
+        part = mix(part + p[f"wide{k}"])
     if bits < 64:
         part = np.where(p["i"] == 0, part >> np.uint64(64 - bits), part)
-    order = np.argsort(mix(p["word"]) + part, kind="stable")
-    same = (part[order][1:] == part[order][:-1]) & (p["word"][order][1:] == p["word"][order][:-1])
+    part += mix(p["word"])
+    order = np.argsort(part)
+    part = part[order]
+    again = np.flatnonzero(part[1:] == part[:-1])
+    group = np.zeros(len(part), bool)
+    group[again] = group[again + 1] = True
+    order[group] = order[group][np.lexsort((order[group], part[group]))]  # postings of one key in their order
+    later, before = order[again + 1], order[again]
+    same = p["word"][later] == p["word"][before]
     if bits == 64:
-        for k in ("odd", "set", "n", "wide"):
-            x = p[k][order]
-            same &= (x[1:] == x[:-1]).all(1) if x.ndim > 1 else x[1:] == x[:-1]
-    hit, last = np.zeros(len(p), bool), np.zeros(len(p), np.int64)
-    later = order[1:][same]
-    hit[later], last[later] = True, order[:-1][same]
+        for k in ("odd", "set", "n", *(f"wide{k}" for k in range(4))):
+            same &= p[k][later] == p[k][before]
+    hit, last = np.zeros(len(part), bool), np.zeros(len(part), np.int64)
+    hit[later[same]], last[later[same]] = True, before[same]
     return hit, last
 
 
-def _candidates(p: np.ndarray, threshold: float, wanted: np.ndarray | None, listed: int, bits: int):
+def _candidates(p: dict[str, np.ndarray], threshold: float, wanted: np.ndarray | None, listed: int, bits: int):
     """Of postings: pairs of a line and an earlier one of like signature (at the line's first posting); and places of
     candidate pairs, later and earlier, with a sign. Without `wanted`: the earliest candidates of each line and word, up
     to one that differs so little that it is hardly wrong, or to so many; and whether there are more. With it: all
     candidates of these lines."""
-    p = p[np.lexsort((p["pos"], p["doc"], p["word"]))]
-    twin = (p["word"][1:] == p["word"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["pos"][1:] == p["pos"][:-1])
-    p = p[np.r_[True, ~twin]] if len(p) else p  # a repeated row sends a line twice
-    equal = np.zeros((0, 2), np.int64)
-    if bits and len(p):
-        same, last = _alike(p, bits)
-        pairs = np.flatnonzero(same & (p["i"] == 0))
-        equal = np.stack([p[pairs], p[last[pairs]]], 1)
-        p = p[~same]
-    at = np.arange(len(p))
-    start = np.maximum.accumulate(np.where(np.r_[True, p["word"][1:] != p["word"][:-1]], at, 0)) if len(p) else at
-    n, rest, odd, wide = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["i"], np.ascontiguousarray(p["odd"]), p["wide"]
-    need, differ, fold = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), np.bitwise_xor.reduce(wide, axis=1)
+    order = np.lexsort((p["pos"], p["doc"], p["word"]))
+    word, doc, pos = (p[k].take(order) for k in ("word", "doc", "pos"))
+    twin = np.flatnonzero((word[1:] == word[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]))
+    if len(twin):
+        order = np.delete(order, twin + 1)  # a repeated row sends a line twice
+    p = {k: v.take(order) for k, v in p.items()}
+    same, last = _alike(p, bits) if bits and len(order) else (np.zeros(len(order), bool), np.zeros(len(order), np.int64))
+    pairs, keep = np.flatnonzero(same & (p["i"] == 0)), np.flatnonzero(~same)
+    equal = {k: np.stack([p[k][pairs], p[k][last[pairs]]], 1) for k in ("doc", "pos")}
+    p = {k: v.take(keep) for k, v in p.items()}
+    at, word, wide = np.arange(len(p["word"])), p["word"], [p[f"wide{k}"] for k in range(4)]
+    start = np.maximum.accumulate(np.where(np.r_[True, word[1:] != word[:-1]], at, 0)) if len(at) else at
+    n, odd = p["n"].astype(np.int64), p["odd"]
+    rest = n - p["i"]
+    need, differ, fold = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), wide[0] ^ wide[1] ^ wide[2] ^ wide[3]
     loose = (differ * n + 1e-3).astype(np.float32)  # the sum of two bounds the words that differ, with some slack
     later = np.flatnonzero(start < at)
     if wanted is not None:
         later = later[hits(wanted, _line_ids(p["doc"][later], p["pos"][later]))]
     later = later[np.argsort(start[later] - later, kind="stable")]  # those with the most lines before them first
     found, c = [], 0
-    count, sure, more, done = np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.zeros(len(p), bool), np.zeros(len(p), bool)
+    count, sure, more, done = np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.zeros(len(at), bool), np.zeros(len(at), bool)
     first, fewer, own_odd, own_loose = start[later], start[later] - later, odd[later], loose[later]
     while m := int(np.searchsorted(fewer, -c)):  # lines with more than c before them
         x = first[:m] + c
-        near = np.flatnonzero(np.bitwise_count(own_odd[:m] ^ odd[x]) <= own_loose[:m] + loose[x])
+        near = np.flatnonzero(np.bitwise_count(own_odd[:m] ^ odd.take(x)) <= own_loose[:m] + loose.take(x))
         y, x = later[near], x[near]
         if wanted is None:
             open_ = ~done[y]
             y, x = y[open_], x[open_]
-        both, most = n[y] + n[x], differ * (n[y] + n[x]) + 1e-9
-        apart = np.maximum(np.bitwise_count(odd[y] ^ odd[x]), np.bitwise_count(fold[y] ^ fold[x])).astype(np.int64)
-        long = np.flatnonzero((n[y] > _LONG) & (n[x] > _LONG))
-        apart[long] = np.maximum(apart[long], np.bitwise_count(wide[y[long]] ^ wide[x[long]]).sum(1))
-        ok = (apart <= most) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9) & (np.minimum(rest[y], rest[x]) >= need * both - 1e-9)
+        own_n, other_n = n.take(y), n.take(x)
+        both = own_n + other_n
+        fits = np.flatnonzero((np.minimum(own_n, other_n) >= threshold * np.maximum(own_n, other_n) - 1e-9) & (np.minimum(rest.take(y), rest.take(x)) >= need * both - 1e-9))
+        y, x, most = y[fits], x[fits], differ * both[fits] + 1e-9
+        apart = np.maximum(np.bitwise_count(odd.take(y) ^ odd.take(x)), np.bitwise_count(fold.take(y) ^ fold.take(x))).astype(np.int64)
+        long = np.flatnonzero((own_n[fits] > _LONG) & (other_n[fits] > _LONG))
+        if len(long):
+            apart[long] = np.maximum(apart[long], sum(np.bitwise_count(w[y[long]] ^ w[x[long]]).astype(np.int64) for w in wide))
+        ok = apart <= most
         if wanted is None:
             full = ok & (sure[y] | (count[y] >= listed))
             more[y[full]] = done[y[full]] = True
@@ -391,25 +415,26 @@ def meet(dealt: DataFrame, threshold: float, wanted: Broadcast | None = None, li
         packs: dict[int, list[bytes]] = {}
         unpacker = zstandard.ZstdDecompressor()
 
-        def out(kind: int, line: np.ndarray, other: np.ndarray | None = None, word: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
-            none, n = pa.nulls(len(line), pa.int64()), len(line)
-            ends = [none, none] if other is None else [pa.array(other["doc"]), pa.array(other["pos"])]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(line["doc"]), pa.array(line["pos"]), *ends, none if word is None else pa.array(word.astype(np.int64)), pa.array(np.zeros(n, bool) if more is None else more)], names=["kind", "doc", "pos", "other_doc", "other_pos", "word", "more"])
+        def out(kind: int, doc: np.ndarray, pos: np.ndarray, other: tuple[np.ndarray, np.ndarray] | None = None, word: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
+            none, n = pa.nulls(len(doc), pa.int64()), len(doc)
+            ends = [none, none] if other is None else [pa.array(x) for x in other]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc), pa.array(pos), *ends, none if word is None else pa.array(word.astype(np.int64)), pa.array(np.zeros(n, bool) if more is None else more)], names=["kind", "doc", "pos", "other_doc", "other_pos", "word", "more"])
 
         for b in batches:
             for part, kind, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 1:
-                    yield out(1, _unpack(packed, _LINE, unpacker))
+                    gone = np.ascontiguousarray(np.frombuffer(unpacker.decompress(packed), np.uint8).reshape(_LINE.itemsize, -1).T).view(_LINE).reshape(-1)
+                    yield out(1, gone["doc"], gone["pos"])
                 else:
                     packs.setdefault(part, []).append(packed)
         for part in list(packs):
-            joined = np.concatenate([_unpack(x, _POSTING, unpacker) for x in packs.pop(part)])
-            p, equal, y, x, more = _candidates(joined, threshold, None if wanted is None else wanted.value, listed, bits)
-            if len(equal) and wanted is None:
-                yield out(3, equal[:, 0], equal[:, 1])
+            p, equal, y, x, more = _candidates(_columns(packs.pop(part), unpacker), threshold, None if wanted is None else wanted.value, listed, bits)
+            doc, pos = equal["doc"], equal["pos"]
+            if len(doc) and wanted is None:
+                yield out(3, doc[:, 0], pos[:, 0], (doc[:, 1], pos[:, 1]))
             for a in range(0, len(y), 100_000):
-                u, v = p[y[a : a + 100_000]], p[x[a : a + 100_000]]
-                yield out(2, u, v, u["word"], more[a : a + 100_000])
+                u, v = y[a : a + 100_000], x[a : a + 100_000]
+                yield out(2, p["doc"][u], p["pos"][u], (p["doc"][v], p["pos"][v]), p["word"][u], more[a : a + 100_000])
 
     return dealt.mapInArrow(lean(run), _MEET)
 

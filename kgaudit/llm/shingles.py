@@ -49,6 +49,8 @@ def ngrams(text: str | None, cache: WordHashes, n: int = 5) -> np.ndarray:
 
 
 BITS = 1 << 26
+#: Ids that a task gathers before it cuts them up.
+HELD = 1 << 19
 
 
 def bitmap(rows: DataFrame, ids: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
@@ -56,21 +58,34 @@ def bitmap(rows: DataFrame, ids: Callable[[pa.RecordBatch], np.ndarray]) -> Broa
     size is fixed. What it lets through is tested again by a join."""
     chunk = 1 << 16
 
+    def cut(held: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.unique(np.concatenate(held))
+        part = at // chunk
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(at) else []
+        return pa.RecordBatch.from_arrays([pa.array([int(part[c]) for c in cuts], pa.int32()), pa.array([(x % chunk).astype("<u2").tobytes() for x in np.split(at, cuts[1:])] if len(at) else [], pa.binary())], names=["chunk", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            at = np.unique(ids(b).astype(np.int64) & (BITS - 1))
-            part = at // chunk
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(at) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[c]) for c in cuts], pa.int32()), pa.array([(x % chunk).astype("<u2").tobytes() for x in np.split(at, cuts[1:])] if len(at) else [], pa.binary())], names=["chunk", "at"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        bits = np.zeros(chunk, bool)
-        for x in table.column("at").to_pylist():
-            bits[np.frombuffer(x, "<u2")] = True
-        return pa.table([pa.array([table.column("chunk")[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["chunk", "bits"])
+            held.append(ids(b).astype(np.int64) & (BITS - 1))
+            n += len(held[-1])
+            if n >= HELD:
+                yield cut(held)
+                held, n = [], 0
+        if held:
+            yield cut(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, at in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                bits = np.zeros(chunk, bool)
+                bits[np.frombuffer(at, "<u2")] = True
+                sums[k] = np.packbits(bits) | sums.get(k, np.uint8(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "bits"])
 
     out = np.zeros(BITS // 8, np.uint8)
-    for r in rows.mapInArrow(lean(run), "chunk int, at binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
+    for r in rows.mapInArrow(lean(run), "chunk int, at binary").repartition("chunk").mapInArrow(lean(merge), "chunk int, bits binary").collect():
         out[r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return rows.sparkSession.sparkContext.broadcast(out)
 

@@ -3,9 +3,11 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from kgaudit.llm import line_dedup, ngram_join
+from kgaudit.llm import line_dedup, ngram_join, shingles
 
 
 def plain_lines(rows, t=0.8):
@@ -220,3 +222,20 @@ def test_join_of_very_long_and_hot_texts(spark):
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 144 and rows > 1
+
+
+def test_bitmap_sends_a_part_once_a_task(spark):
+    """Ids that come in many batches are gathered before they are dealt out."""
+    ids = np.arange(40_000, dtype=np.int64) * 7919 * 65_521
+    rows = spark.range(0, 40_000, 1, 1).select((F.col("id") * 7919 * 65_521).alias("x"))
+    bits = shingles.bitmap(rows, lambda b: b.column(0).to_numpy())
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = max(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))
+    values, sent = store.executionMetrics(run), []
+    nodes = store.planGraph(run).allNodes()
+    for metrics in (nodes.apply(i).metrics() for i in range(nodes.size())):
+        sent += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "shuffle records written" and values.get(m.accumulatorId()).isDefined()]
+    assert 0 < max(sent) <= shingles.BITS >> 16  # 20 times that with a row for each batch and part
+    assert shingles.hits(bits.value, ids).all() and int(np.unpackbits(bits.value).sum()) == len(np.unique(ids & (shingles.BITS - 1)))
+    bits.destroy()
